@@ -27,6 +27,18 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op8_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequery.llm.vectors import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequery.llm.simhash import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
