@@ -36,6 +36,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequery.llm.pii import found
+
+    return found(table(spark, sf_dir, "documents"))
+
+
 def op8_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequery.llm.vectors import nearest
 
