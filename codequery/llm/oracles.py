@@ -80,5 +80,17 @@ r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score
 SELECT * FROM r WHERE rank <= {NEAREST}"""
 
 
+def _warc() -> str:
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digit = lambda k: f"substr('{alphabet}', ((v >> {15 - 5 * k}) & 31) + 1, 1)"
+    return rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+d AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::INTEGER) AS v5 FROM m)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(v5, lambda v: {' || '.join(digit(k) for k in range(4))}), '') AS payload_digest,
+  CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _quality(), "op5_source_mixing": _mixing(), "op8_block_search": _nearest()}
+    return {"op3_quality_rules": _quality(), "op5_source_mixing": _mixing(), "op6_warc": _warc(), "op8_block_search": _nearest()}

@@ -18,6 +18,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequery.llm.html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequery.llm.quality import report
 
@@ -36,6 +42,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequery.llm.warc import report
+
+    return report(table(spark, sf_dir, "pages"))
+
+
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequery.llm.pii import found
 
