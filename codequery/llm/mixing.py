@@ -54,33 +54,34 @@ def targets(sizes: DataFrame, share: float = SHARE, passes: int = PASSES, weight
 
 
 def queued(df: DataFrame, share: float = SHARE, passes: int = PASSES, weights: tuple = WEIGHTS, seed: str = "mix") -> DataFrame:
-    """``df`` (doc_id, source, size and any others) with source_size, target, taken and finish, the virtual time at which its first pass ends."""
-    digits = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = checkpointed(df.withColumn("_h", digits))
+    """``df`` (doc_id, source, size and any others) with source_size, weight, target, taken and finish, the virtual time at which its first pass ends.
+
+    ``df`` is read twice; the rows move once, to their hash range.
+    """
     # About as many hash ranges as there are rows in each; their number sets who adds what up, never the result.
-    width = max(2, round(math.log(max(rows.count(), 1), 16) / 2))
-    rows = rows.withColumn("_range", F.substring("_h", 1, width))
-    sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = sums.withColumn("_before", before).withColumnsRenamed({"source": "_rs", "_range": "_rr"})
+    width = max(2, round(math.log(max(df.count(), 1), 16) / 2))
+    digits = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # A key without nulls, so that the join's and the window's partitioning are one.
+    rows = df.withColumn("_h", digits).withColumn("_range", F.substring("_h", 1, width)).withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    sums = checkpointed(rows.groupBy("source", "_s", "_range").agg(F.sum("size").alias("_sum")))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), share, passes, weights)
-    plan = plan.withColumnRenamed("source", "_ps")
-    ranges = ranges.join(plan, F.col("_rs").eqNullSafe(F.col("_ps"))).drop("_ps", "_sum")
-    inside = Window.partitionBy("source", "_range").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = out.join(ranges, F.col("source").eqNullSafe(F.col("_rs")) & (F.col("_range") == F.col("_rr")))
+    plan = plan.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_s"), "source_size", "weight", "target")
+    ranges = sums.withColumn("_before", before).select("_s", "_range", "_before").join(plan, "_s")
+    inside = Window.partitionBy("_s", "_range").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(ranges, ["_s", "_range"]).withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     start, cut = F.col("_before") + F.col("_in"), F.round("target").cast("long")
     taken = F.lit(0).cast("long")
     for k in range(passes):
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), cut - k * F.col("source_size") - start))
     out = out.withColumn("taken", taken.cast("long")).withColumn("finish", (start + F.col("size")) / F.col("weight"))
-    return out.drop("_h", "_range", "_in", "_before", "_rs", "_rr", "level")
+    return out.drop("_s", "_h", "_range", "_in", "_before")
 
 
 def report(df: DataFrame) -> DataFrame:
     """What the mix takes of every document."""
     sized = df.select("doc_id", "source", size_of(text_of()).alias("size"))
-    return queued(sized).select("doc_id", "size", "source_size", "target", "taken", F.col("finish").alias("virtual_finish"))
+    return queued(checkpointed(sized)).select("doc_id", "size", "source_size", "target", "taken", F.col("finish").alias("virtual_finish"))
 
 
 def mixed(df: DataFrame, share: float = SHARE, passes: int = PASSES, weights: tuple = WEIGHTS) -> DataFrame:
