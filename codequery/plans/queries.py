@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequery.plans import retrieval
+from codequery.plans import graph, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
