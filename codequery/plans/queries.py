@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequery.plans import graph, retrieval
+from codequery.plans import graph, mining, retrieval
 
-_MODULES = (retrieval, graph)
+_MODULES = (retrieval, graph, mining)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
