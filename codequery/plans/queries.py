@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequery.plans import graph, mining, retrieval
+from codequery.plans import functions, graph, index, mining, retrieval
 
-_MODULES = (retrieval, graph, mining)
+_MODULES = (retrieval, graph, mining, functions, index)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
