@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequery.plans import functions, graph, index, mining, retrieval
+from codequery.plans import functions, graph, index, mining, retrieval, sources
 
-_MODULES = (retrieval, graph, mining, functions, index)
+_MODULES = (retrieval, graph, mining, functions, index, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
