@@ -31,6 +31,8 @@ RAW = frozenset("script style noscript iframe textarea title xmp noembed noframe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line of text; all others part blocks.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Elements without a place in the text: what is on either side of them stays one.
+UNSEEN = frozenset("script style noscript template".split())
 #: Start tags that close an open element of the first set, as far as one of the second does not hold it.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -233,7 +235,7 @@ def _written(node: Node) -> str:
                 out.append(" ")
                 todo.append(" ")
             todo += reversed(x.parts)
-        elif x.tag not in INLINE:
+        elif x.tag not in INLINE and x.tag not in UNSEEN:
             out.append(" ")
     return " ".join("".join(out).split())
 
