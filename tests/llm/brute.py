@@ -134,6 +134,15 @@ def clusters(docs, threshold=2):
     return [(f, least.get(find(f))) for f in fps]
 
 
+def jaccard(a, b, k=5):
+    """Similarity of two texts by their sets of word shingles."""
+    sets = []
+    for t in (a, b):
+        w = WORD.findall(ascii_lower(t))
+        sets.append({" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {" ".join(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
 def nearest(rows, k, every):
     """(query, rank, id, score) for (id, vector) rows, by all products."""
     fine = {i: v for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}

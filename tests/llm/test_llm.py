@@ -325,9 +325,36 @@ def test_simhash(docs, rows, none):
     want = [(r[0], f"{f:016x}", c) for r, (f, c) in zip(rows, brute.clusters([(r[0], r[1]) for r in rows]))]
     assert got == sorted(want, key=str)
     assert simhash.report(none).count() == 0
-    kept = simhash.deduplicated(docs)
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert kept.columns == docs.columns and ids == sorted({c for _, _, c in want if c is not None})
+
+
+def test_near_clusters(spark, docs, rows, none):
+    rng = random.Random(8)
+    text = prose(rng, 400).split()
+    changed = lambda n: " ".join("changed" if i in set(rng.sample(range(400), n)) else w for i, w in enumerate(text))
+    near = [(1000 + i, changed(i % 8), "en", "s", 1, 1, 1.0, "x") for i in range(25)]
+    df = docs.unionByName(spark.createDataFrame(near, SCHEMA))
+    got = {r.doc_id: r.component_id for r in simhash.near_clusters(df).collect()}
+    every = [(r[0], r[1]) for r in [*rows, *near]]
+    for i, (a, t) in enumerate(every):
+        for b, u in every[i + 1 :]:
+            if a is not None and b is not None:
+                j = brute.jaccard(t, u)
+                assert (got[a] == got[b]) if j >= 0.9 else (got[a] != got[b] if max(brute.jaccard(t, x) for c, x in every if got.get(c) == got[b] and c not in (a, None)) < 0.6 else True)
+    kept = simhash.deduplicated(df)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for c in got.values() if c is not None})
+    assert simhash.deduplicated(none).count() == 0
+
+
+def test_wide_distance_tells_similarity():
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(600)]
+    other = list(words)
+    for i in rng.sample(range(600), 12):
+        other[i] = "zz"
+    a, b = simhash.wide_fingerprint(" ".join(words)), simhash.wide_fingerprint(" ".join(other))
+    assert int(np.bitwise_count(a ^ b).sum()) <= simhash.most_bits(0.8)
+    assert int(np.bitwise_count(a ^ simhash.wide_fingerprint(" ".join(words[300:] + [f"q{i}" for i in range(300)]))).sum()) > simhash.most_bits(0.8)
 
 
 @settings(max_examples=60, deadline=None)
@@ -337,6 +364,9 @@ def test_linked_fingerprints_meet(x, i, j):
     anchor, index = simhash.anchors(np.array([x, y], np.uint64))
     at = [set(anchor[index == k].tolist()) for k in (0, 1)]
     assert at[0] & at[1] and all(len(a) <= 32 for a in at)
+    anchor, index = simhash.anchors(np.array([x, x ^ (1 << i % 31) ^ (1 << j % 31)], np.uint64), 31)
+    at = [set(anchor[index == k].tolist()) for k in (0, 1)]
+    assert at[0] & at[1] and all(len(a) <= 16 for a in at)
 
 
 def test_chain_of_links(spark):
