@@ -83,9 +83,9 @@ def bigrams(docs: DataFrame, key: str, text: str, percent: float = 10) -> DataFr
     tf = rows.groupBy("key", "bigram").agg(F.count("*").alias("tf"))
     df = tf.groupBy("bigram").agg(F.count("*").alias("df"))
     sizes = tf.groupBy("key").agg(F.sum("tf").alias("len"))
-    keys = sizes.agg(F.count("*").alias("n_keys"))
-    out = tf.join(df, "bigram").join(sizes, "key").join(F.broadcast(keys), how="cross")  # one row
-    out = out.withColumn("ppmi", F.round(F.log((F.col("tf") / F.col("len")) / (F.col("df") / F.col("n_keys"))), 6)).where("ppmi > 0")
+    n_keys = sizes.count()
+    out = tf.join(df, "bigram").join(sizes, "key")
+    out = out.withColumn("ppmi", F.round(F.log((F.col("tf") / F.col("len")) / (F.col("df") / F.lit(n_keys))), 6)).where("ppmi > 0")
     w = Window.partitionBy("key")
     out = out.withColumn("k", F.row_number().over(w.orderBy(F.desc("ppmi"), "bigram"))).withColumn("m", F.count("*").over(w))
     return out.where(F.col("k") <= F.greatest(F.lit(1), F.ceil(F.col("m") * percent / 100))).select("key", "bigram", "ppmi")
@@ -140,9 +140,9 @@ def co_callers(edges: DataFrame, least: float = 0.05, most_degree: int | None =
 def npmi(pairs: DataFrame, least: int = 2) -> DataFrame:
     """(a, b, n, npmi) of (item, a, b) rows: normalised pointwise mutual information over items."""
     ab = pairs.select("item", "a", "b").distinct()
-    total = ab.select("item").distinct().agg(F.count("*").alias("total"))
+    total = F.lit(ab.select("item").distinct().count())
     count = lambda *c: ab.select("item", *c).distinct().groupBy(*c).agg(F.count("*").alias("n" + "".join(c)))
-    out = count("a", "b").join(count("a"), "a").join(count("b"), "b").join(F.broadcast(total), how="cross").where(F.col("nab") >= least)  # one row
-    pab = F.col("nab") / F.col("total")
-    value = F.when(pab < 1, F.log(pab / (F.col("na") / F.col("total") * F.col("nb") / F.col("total"))) / -F.log(pab)).otherwise(1.0)
+    out = count("a", "b").join(count("a"), "a").join(count("b"), "b").where(F.col("nab") >= least)
+    pab = F.col("nab") / total
+    value = F.when(pab < 1, F.log(pab / (F.col("na") / total * F.col("nb") / total)) / -F.log(pab)).otherwise(1.0)
     return out.select("a", "b", F.col("nab").alias("n"), F.round(value, 6).alias("npmi"))

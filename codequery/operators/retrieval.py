@@ -25,6 +25,8 @@ MATCH_SHARE, MATCH_BOOST, PHRASE_BOOST, SLOP, EXPANSION_BOOST = 0.75, 1.5, 3.0,
 EXPANSION_FIELDS = ("name", "class_name", "javadoc")
 GRAPH_WEIGHT = 0.3
 UNIFIED_SCALE = 150.0
+#: Up to this many synonym rules are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def field_tokens(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -54,7 +56,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def with_synonyms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Query terms and what ``synonyms`` (lhs, rhs) adds to them; places follow the term that brought them."""
-    added = terms.join(F.broadcast(synonyms.limit(100_000)), terms.term == synonyms.lhs).select("query_id", F.explode(X.tokens(F.col("rhs"))).alias("term"), "at")
+    few = synonyms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    added = terms.join(F.broadcast(synonyms) if few else synonyms, terms.term == synonyms.lhs).select("query_id", F.explode(X.tokens(F.col("rhs"))).alias("term"), "at")
     both = terms.select("query_id", "term", "at").unionByName(added).groupBy("query_id", "term").agg(F.min("at").alias("at"))
     return both.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
 

@@ -123,7 +123,7 @@ def f25_linked_classes(spark, sf_dir):
 
 def f28_collision_probability(spark, sf_dir):
     v = vectors(spark, sf_dir).where("doc_id = 0").select(F.col("vec").alias("qv"))
-    pairs = vectors(spark, sf_dir).join(F.broadcast(v), how="cross")  # one row
+    pairs = vectors(spark, sf_dir).join(F.broadcast(v), F.size("vec") == F.size("qv"))  # one query
     return pairs.select("doc_id", F.round(X.collision_probability(R.cosine(F.col("vec"), F.col("qv")), 8), 6).alias("p"))
 
 
@@ -266,7 +266,7 @@ def n1_best_line(spark, sf_dir):
 def n2_best_chunk(spark, sf_dir):
     """The chunk of each document that is nearest to the query, as a range of ids."""
     v, q = vectors(spark, sf_dir), vectors(spark, sf_dir).where("doc_id = 0").select(F.col("vec").alias("qv"))
-    rows = v.join(F.broadcast(q), how="cross").select((F.expr("doc_id div 10")).alias("doc"), F.col("doc_id").alias("chunk"), F.round(R.cosine(F.col("vec"), F.col("qv")), 6).alias("s"))  # one row
+    rows = v.join(F.broadcast(q), F.size("vec") == F.size("qv")).select((F.expr("doc_id div 10")).alias("doc"), F.col("doc_id").alias("chunk"), F.round(R.cosine(F.col("vec"), F.col("qv")), 6).alias("s"))  # one query
     return rows.groupBy("doc").agg(F.max_by("chunk", F.struct("s", -F.col("chunk"))).alias("chunk"), F.max("s").alias("score"))
 
 
