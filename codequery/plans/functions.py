@@ -280,6 +280,42 @@ def s29_line_range(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", L.line_range(F.col("body"), F.lit(2), F.lit(4)).alias("lines"))
 
 
+def p5_class_lookup(spark, sf_dir):
+    return documents(spark, sf_dir).where("doc_type = 'class' AND class_name = 'C8'").select("doc_id", "class_name", "file_path")
+
+
+def p10_constructors(spark, sf_dir):
+    """A class's members parted into constructors and public methods; every tenth row stands for a constructor."""
+    d = documents(spark, sf_dir).withColumn("member", F.when(F.col("doc_id") % 10 == 0, "<init>").otherwise(F.col("name")))
+    part = F.when(F.col("member") == "<init>", "constructor").when(F.col("access") == "public", "public")
+    return d.select("class_name", part.alias("part")).where("part IS NOT NULL").groupBy("class_name", "part").agg(F.count("*").alias("n"))
+
+
+def p12_advice(spark, sf_dir):
+    """Suggestions for the queries of a batch that find nothing, and only for those."""
+    d, q = documents(spark, sf_dir), R.batch(spark, [*QUERIES[:2], (8, "Thb zzqq"), (9, "C11x")])
+    empty = q.join(R.bm25(d, q, 1).select("query_id"), "query_id", "left_anti")
+    return L.did_you_mean(d, empty)
+
+
+def r26_oversample(spark, sf_dir):
+    rows = [(k, t, U.oversample(k, t)) for k in ("KEYWORD", "HYBRID", "VECTOR") for t in ("merge lists", "HashMap merge")]
+    return spark.createDataFrame(rows, "type string, text string, factor int")
+
+
+def m1_embeddings(spark, sf_dir):
+    """The stand-in embedder over the first lines: all vectors have unit length, but those without a word."""
+    from codequery.operators.index import hashing_embedder
+
+    v = documents(spark, sf_dir).select("doc_id", hashing_embedder(F.col("javadoc"), 8).alias("vec"))
+    return v.select("doc_id", F.size("vec").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+
+
+def m5_pair_scores(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.col("javadoc").alias("passage")).withColumn("query", F.lit(QUERIES[0][1]))
+    return d.select("doc_id", F.round(P.overlap_score(), 6).alias("score"))
+
+
 def oracle_sql() -> dict[str, str]:
     v = lambda rows: ", ".join("('" + x.replace("'", "''") + "')" for x in rows)
     names = f"(SELECT * FROM (VALUES {_values(NAMES)}) v(id, x))"
@@ -334,6 +370,10 @@ lw AS (SELECT DISTINCT query_id, doc_id, line, unnest({sql_tokens('t')}) AS term
         "p2_first_project": f"WITH {DOCS}, d AS (SELECT doc_id % 30 AS doc_id, project, min(name) AS name FROM docs GROUP BY ALL) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE project WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 ELSE 99 END, project) = 1",
         "p3_bulk_lookup": f"WITH {DOCS} SELECT doc_id, name FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
         "p4_prefix_lookup": f"WITH {DOCS} SELECT DISTINCT name FROM docs WHERE starts_with(name, 'The ') ORDER BY name LIMIT 50",
+        "p5_class_lookup": f"WITH {DOCS} SELECT doc_id, class_name, file_path FROM docs WHERE doc_type = 'class' AND class_name = 'C8'",
+        "p10_constructors": f"WITH {DOCS}, m AS (SELECT class_name, CASE WHEN doc_id % 10 = 0 OR name = '<init>' THEN 'constructor' WHEN access = 'public' THEN 'public' END AS part FROM docs) SELECT class_name, part, count(*) AS n FROM m WHERE part IS NOT NULL GROUP BY ALL",
+        "m1_embeddings": f"WITH {DOCS} SELECT doc_id, 8::INTEGER AS dims, CASE WHEN len({sql_tokens('javadoc')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM docs",
+        "m5_pair_scores": f"WITH {DOCS} SELECT doc_id, round(len(list_intersect({sql_tokens(chr(39) + QUERIES[0][1] + chr(39))}, list_distinct({sql_tokens('javadoc')})))::DOUBLE / 3, 6) AS score FROM docs",
         "p6_did_you_mean": f"WITH {DOCS}, q AS (SELECT query_id, lower(regexp_extract(trim(text), '^([^\\s#.(]*)', 1)) AS probe FROM (VALUES (1, 'Thb adn'), (2, 'C11#x'), (3, 'Anaea.y'), (4, 'zz')) v(query_id, text)), n AS (SELECT DISTINCT name FROM (SELECT name FROM docs UNION ALL SELECT class_name FROM docs) WHERE name <> '') SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY levenshtein(lower(name), probe), name))::INTEGER AS rank, name, levenshtein(lower(name), probe)::INTEGER AS distance FROM n, q WHERE length(probe) >= 3 AND levenshtein(lower(name), probe) <= 2) WHERE rank <= 5",
         "p7_token_hits": f"WITH {DOCS}, q AS (SELECT query_id, {sql_tokens('text')} AS t FROM (VALUES {_values([*QUERIES, (9, 'zzzqqq license')])}) v(query_id, text)), w AS (SELECT DISTINCT query_id, token FROM (SELECT query_id, unnest(t) AS token FROM q WHERE len(t) > 1) WHERE length(token) >= 3), k AS (SELECT DISTINCT unnest({sql_tokens('name')} || {sql_tokens('body')}) AS token FROM docs) SELECT query_id, token, k.token IS NOT NULL AS found FROM w LEFT JOIN k USING (token)",
         "p8_filter_note": P._bm25(50) + " SELECT query_id, count(*) AS without, sum((doc_type = 'class')::INTEGER)::BIGINT AS with_filter FROM kw JOIN docs USING (doc_id) GROUP BY query_id",
@@ -345,4 +385,4 @@ lw AS (SELECT DISTINCT query_id, doc_id, line, unnest({sql_tokens('t')}) AS term
 
 
 def queries():
-    return {n: f for n, f in globals().items() if n[0] in "fsupn" and n[1:2].isdigit()}
+    return {n: f for n, f in globals().items() if n[0] in "fsupnrm" and n[1:2].isdigit()}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codequery.operators import index as K
 from codequery.plans.views import DOCS, EDGES, documents, part_edges, table
+from codequery.session import shared_dir
 
 
 def _snapshots(spark, sf_dir):
@@ -125,9 +128,19 @@ def k18_invalidated(spark, sf_dir):
     return K.invalidated(old, "docs").select("path", "model_fingerprint")
 
 
+def k19_usage_log(spark, sf_dir):
+    """Events appended to a JSON log in two writes and read back."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    folder = f"{shared_dir(spark).rstrip('/')}/usage-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        e.where(F.col("user_id") % 2 == half).write.mode("append").json(folder)
+    return spark.read.schema("user_id long, event_type string, event_id long").json(folder)
+
+
 def oracle_sql() -> dict[str, str]:
     has = "doc_id % 17 <> 0"
     return {
+        "k19_usage_log": "SELECT user_id, event_type, event_id FROM events",
         "k2_incremental": f"WITH {_SNAP}, f AS (SELECT doc_id, path, text FROM d JOIN documents USING (doc_id)) SELECT path, CASE WHEN ({has}) AND doc_id % 7 <> 0 THEN 1 WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 2 ELSE 1 END::BIGINT AS mtime_ms, CASE WHEN doc_id % 7 = 0 THEN sha256(coalesce(text, '') || 'x') ELSE sha256(coalesce(text, '')) END AS sha256 FROM f WHERE doc_id % 13 <> 0",
         "k3_dirty": f"WITH {_SNAP} SELECT path FROM d WHERE doc_id % 13 <> 0 AND (doc_id % 17 = 0 OR doc_id % 7 = 0)",
         "k4_outdated": f"WITH {_SNAP} SELECT path FROM d WHERE {has} AND (doc_id % 3 <> 1 OR doc_id % 4 <> 0)",
