@@ -16,6 +16,7 @@ part; ties go to the smaller id; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,9 +134,15 @@ def nearest(df: DataFrame, k: int = NEAREST, every: int = EVERY, id_col: str = "
     spread = max(1, -(-n // most))
     candidates = _packed(rows.repartition(spread, "id"), most)
     queries = _packed(rows.where(F.col("id") % every == 0).repartition(max(1, spread // every), "id"), most)
-    # Candidate blocks are dealt to cells by number; each block of queries goes to all of them.
-    side = lambda x, one, cells: x.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))) if one else cells).withColumnsRenamed({"ids": f"{'q' if one else 'c'}_ids", "vectors": f"{'q' if one else 'c'}"})
-    grid = side(queries, True, None).join(side(candidates, False, F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int")), ["cell", "dim"])
+    # A grid of cells: a block of candidates has one row of it and goes to every column, a block of queries the other way
+    # about. So many rows and columns, as many cells as candidate blocks, copy the least where queries are 1 in ``every``.
+    across = min(spread, math.ceil(math.sqrt(spread * every)))
+    down = -(-spread // across)
+    slot = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("h", slot(down)).withColumn("g", each(across)).withColumnsRenamed({"ids": "q_ids", "vectors": "q"})
+    right = candidates.withColumn("g", slot(across)).withColumn("h", each(down)).withColumnsRenamed({"ids": "c_ids", "vectors": "c"})
+    grid = left.join(right, ["g", "h", "dim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
