@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codequery.functions import text as X
+from codequery.session import checkpointed
 
 #: Boost of a field, and of a field in a phrase.
 BOOSTS = {"name": 4.0, "class_name": 4.0, "javadoc": 2.0, "signature": 1.5, "annotations": 1.0, "caller_context": 1.0, "body": 0.5}
@@ -62,15 +63,22 @@ def with_synonyms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     return both.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
 
 
-def matches(tokens: DataFrame, terms: list[str], positions: bool = False) -> DataFrame:
-    """(doc_id, field, len, term, tf[, positions]) of the terms that occur; row-local."""
+def _hits(terms: list[str]) -> Column:
+    """Array of (term, positions) of the terms that ``tokens`` holds."""
     each = F.array(*(F.lit(t) for t in sorted(set(terms)))) if terms else F.array().cast("array<string>")
     here = F.filter(each, lambda t: F.array_contains(F.col("tokens"), t))
     at = lambda t: F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i).otherwise(-1)), lambda i: i >= 0)
-    hit = F.transform(here, lambda t: F.struct(t.alias("term"), at(t).alias("positions")))
-    out = tokens.select("doc_id", "field", "len", F.explode(hit).alias("m"))
-    out = out.select("doc_id", "field", "len", "m.term", F.size("m.positions").cast("long").alias("tf"), "m.positions")
-    return out if positions else out.drop("positions")
+    return F.transform(here, lambda t: F.struct(t.alias("term"), at(t).alias("positions")))
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    out = rows.select("doc_id", "field", "len", F.explode("hits").alias("m"))
+    return out.select("doc_id", "field", "len", "m.term", F.size("m.positions").cast("long").alias("tf"), "m.positions")
+
+
+def matches(tokens: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, field, len, term, tf, positions) of the terms that occur; row-local."""
+    return _exploded(tokens.select("doc_id", "field", "len", _hits(terms).alias("hits")))
 
 
 def similarity(field: Column, tf: Column, length: Column, n: Column, df: Column, avg: Column, mixed: bool = True) -> Column:
@@ -91,10 +99,12 @@ def similarity(field: Column, tf: Column, length: Column, n: Column, df: Column,
 def weighted(tokens: DataFrame, terms: DataFrame, mixed: bool = True, boosts: dict[str, float] | None = None) -> DataFrame:
     """(query_id, term, doc_id, field, n_terms, w) of every match: boosted weights."""
     wanted = [r.term for r in terms.select("term").distinct().collect()]  # a batch's own terms, not the corpus
-    found = matches(tokens, wanted)
+    # One pass over the texts: the statistics and the matches both come from what it leaves.
+    rows = checkpointed(tokens.select("doc_id", "field", "len", _hits(wanted).alias("hits")))
+    found = _exploded(rows)
     df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
     boost = F.coalesce(*(F.when(F.col("field") == f, F.lit(b)) for f, b in (boosts or BOOSTS).items()), F.lit(1.0))
-    out = found.join(df, ["field", "term"]).join(field_stats(tokens), "field").join(terms, "term")
+    out = found.join(df, ["field", "term"]).join(field_stats(rows), "field").join(terms, "term")
     w = similarity(F.col("field"), F.col("tf"), F.col("len"), F.col("n_docs"), F.col("df"), F.col("avg_len"), mixed)
     return out.select("query_id", "term", "doc_id", "field", "n_terms", (boost * w).alias("w"))
 
@@ -117,7 +127,7 @@ def phrases(tokens: DataFrame, terms: DataFrame, slop: int = SLOP, fields: tuple
     less its place in the query, is nearest to the anchor's. The spread is that of the offsets; more than ``slop`` is none.
     """
     wanted = [r.term for r in terms.select("term").distinct().collect()]
-    found = matches(tokens.where(F.col("field").isin(*fields)), wanted, positions=True).join(terms.where("n_terms >= 2"), "term")
+    found = matches(tokens.where(F.col("field").isin(*fields)), wanted).join(terms.where("n_terms >= 2"), "term")
     rows = found.groupBy("query_id", "doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("at", "positions"))).alias("t"), F.max("n_terms").alias("n"))
     rows = rows.where(F.size("t") == F.col("n"))
     offsets = F.transform("t", lambda x: F.transform(x["positions"], lambda p: p - x["at"]))
