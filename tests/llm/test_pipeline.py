@@ -4,11 +4,11 @@ import os
 
 import pytest
 
+import corpus_pipeline
 from codequery.llm import pii, quality
 from codequery.llm.queries import TOKENIZER
 from tests.llm import brute
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not (os.path.isdir(DIR) and os.path.exists(TOKENIZER)), reason="tables are not here")
 
