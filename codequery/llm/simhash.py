@@ -247,7 +247,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
             yield forest(*held)
 
     placed = classes.select("k", "w").mapInArrow(spread, "anchor long, word int, k long")
-    return placed.repartition("anchor").sortWithinPartitions("anchor", "word", F.xxhash64("anchor", "k")).mapInArrow(compare, "a long, b long").distinct()
+    return placed.repartition("anchor").sortWithinPartitions("anchor", "word", "k").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_clusters(df: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE) -> DataFrame:
