@@ -200,8 +200,8 @@ def most_bits(similarity: float) -> int:
     return round(p * n + LEEWAY * math.sqrt(n * p * (1 - p)))
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): classes (k, w array) that meet in a block, as a forest for each anchor: classes of one word hang on its first."""
+def _meeting(classes: DataFrame) -> DataFrame:
+    """(anchor, k): classes (k, w array) at each anchor where another one comes within two bits of their block."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,24 +214,22 @@ def _candidates(classes: DataFrame) -> DataFrame:
                     key = anchor.astype(np.int64) | block << 32
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(word[index].astype(np.int32)), pa.array(k[index])], ["anchor", "word", "k"])
 
-    def forest(anchor: np.ndarray, word: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-        edges: list[np.ndarray] = []
-        same = np.flatnonzero((anchor[1:] == anchor[:-1]) & (word[1:] == word[:-1])) + 1
+    def met(anchor: np.ndarray, word: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
         fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (word[1:] != word[:-1])]
-        head = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))
-        edges.append(np.stack([k[head[same]], k[same]]))
-        anchor, word, k = anchor[fresh], word[fresh].astype(np.uint64), k[fresh]
-        starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        counts = np.diff(np.r_[starts, len(anchor)])
+        row = np.cumsum(fresh) - 1  # the number of each row's (anchor, word)
+        active = np.bincount(row) > 1
+        at, words = anchor[fresh], word[fresh].astype(np.uint64)
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        counts = np.diff(np.r_[starts, len(at)])
         two = starts[counts == 2]
-        two = two[_bits(word[two] ^ word[two + 1]) <= THRESHOLD]
-        edges.append(np.stack([k[two], k[two + 1]]))
+        two = two[_bits(words[two] ^ words[two + 1]) <= THRESHOLD]
+        active[two] = active[two + 1] = True
         for s, n in zip(starts[counts > 2], counts[counts > 2], strict=True):
-            if found := _forest(word[s : s + n], THRESHOLD):
-                edges.append(k[s:][np.array(found).T])
-        both = np.sort(np.concatenate(edges, axis=1), axis=0)
-        both = np.unique(both, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            # an anchor's ball holds 497 words at most
+            near = _bits(words[s : s + n, None] ^ words[s : s + n]) <= THRESHOLD
+            active[s : s + n] |= near.sum(1) > 1
+        left = active[row]
+        return pa.RecordBatch.from_arrays([pa.array(anchor[left]), pa.array(k[left])], ["anchor", "k"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
@@ -242,12 +240,64 @@ def _candidates(classes: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last anchor may go on in the next batch
             held = [r[cut:] for r in rows]
             if cut:
-                yield forest(*(r[:cut] for r in rows))
+                yield met(*(r[:cut] for r in rows))
         if len(held[0]):
-            yield forest(*held)
+            yield met(*held)
 
     placed = classes.select("k", "w").mapInArrow(spread, "anchor long, word int, k long")
-    return placed.repartition("anchor").sortWithinPartitions("anchor", "word", "k").mapInArrow(compare, "a long, b long").distinct()
+    return placed.repartition("anchor").sortWithinPartitions("anchor", "word").mapInArrow(compare, "anchor long, k long")
+
+
+def _wide_forest(w: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """As ``_forest``, over the whole of wide fingerprints."""
+    left, edges = np.arange(len(w)), []
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            k = todo.pop()
+            near = _bits(w[left] ^ w[k]).sum(1, dtype=np.int64) <= most
+            edges += [(k, j) for j in left[near]]
+            todo += list(left[near])
+            left = left[~near]
+    return edges
+
+
+def wide_links(classes: DataFrame, most: int) -> DataFrame:
+    """(a, b): edges between classes (k, w array), each at most ``most`` bits long, that join what all pairs so near
+    would that meet in a block. The whole fingerprint goes to the anchors where a class meets another, and each anchor
+    gives a spanning forest of its links; a forest over the blocks alone would lose links behind a far centre."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
+
+        def found(anchor: np.ndarray, k: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+            counts = np.diff(np.r_[starts, len(anchor)])
+            two = starts[counts == 2]
+            two = two[_bits(w[two] ^ w[two + 1]).sum(1, dtype=np.int64) <= most]
+            edges = [np.stack([k[two], k[two + 1]])]
+            for s, n in zip(starts[counts > 2], counts[counts > 2], strict=True):
+                if near := _wide_forest(w[s : s + n], most):
+                    edges.append(k[s:][np.array(near).T])
+            both = np.unique(np.sort(np.concatenate(edges, axis=1), axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w = b.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+            anchor, k, w = (np.concatenate(x) for x in zip(held, (b.column(0).to_numpy(), b.column(1).to_numpy(), w), strict=True))
+            cut = int(np.searchsorted(anchor, anchor[-1]))
+            held = (anchor[cut:], k[cut:], w[cut:])
+            if cut:
+                yield found(anchor[:cut], k[:cut], w[:cut])
+        if len(held[0]):
+            yield found(*held)
+
+    # At most 192 anchors a class, gathered so that its fingerprint is fetched once.
+    met = _meeting(classes).groupBy(F.col("k").alias("_k")).agg(F.collect_list("anchor").alias("_at"))
+    rows = classes.join(met, F.col("k") == F.col("_k")).select(F.explode("_at").alias("anchor"), "k", "w")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_clusters(df: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE) -> DataFrame:
@@ -263,9 +313,7 @@ def near_clusters(df: DataFrame, similarity: float = SIMILARITY, size: int = WID
     found = df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, w array<long>")
     found = checkpointed(found.withColumn("k", F.xxhash64("w")))
     classes = checkpointed(found.groupBy("k").agg(F.min("w").alias("w"), F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    side = lambda x: classes.select(F.col("k").alias(x), F.col("w").alias(f"w_{x}"))
-    far = F.aggregate(F.zip_with("w_a", "w_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = _candidates(classes).join(side("a"), "a").join(side("b"), "b").where(far <= most_bits(similarity)).select("a", "b")
+    pairs = wide_links(classes, most_bits(similarity))
     return _labelled_rows(found, classes, components(pairs), "k").select("doc_id", "component_id")
 
 

@@ -346,6 +346,20 @@ def test_near_clusters(spark, docs, rows, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def test_wide_links_behind_a_shared_block(spark):
+    # a thousand families share one block's word, as with a common passage; the two of a family meet in that block alone
+    rng = np.random.default_rng(5)
+    rows = []
+    for f in range(1000):
+        one = rng.integers(0, 2**63, simhash.WORDS).astype(np.uint64)
+        one[0] = one[0] >> np.uint64(32) << np.uint64(32) | np.uint64(77)
+        two = one ^ np.uint64(0b111 << 32 | 0b111)
+        two[0] = one[0] ^ np.uint64(0b111 << 32)
+        rows += [(2 * f, one.view(np.int64).tolist()), (2 * f + 1, two.view(np.int64).tolist())]
+    got = simhash.wide_links(spark.createDataFrame(rows, "k long, w array<long>"), simhash.most_bits(0.8))
+    assert sorted(tuple(r) for r in got.collect()) == [(2 * f, 2 * f + 1) for f in range(1000)]
+
+
 def test_wide_distance_tells_similarity():
     rng = random.Random(9)
     words = [f"w{rng.randrange(5000)}" for _ in range(600)]
