@@ -11,8 +11,9 @@ bounded. Equal fingerprints are merged before that, and an anchor gives the edge
 Two bits catch exact copies and the lightest edits. For documents that share most of their 5-word shingles (Jaccard
 similarity of 0.8 and more) the fingerprint is wider: 384 bits, so that its distance tells the similarity. Its twelve
 32-bit blocks are covered each by the Hamming code on 31 bits in the same way, 16 anchors a block; a pair whose blocks
-come within two bits in any of the twelve is a candidate, and the whole distance decides. At similarity 0.8 a pair is a
-candidate with a chance of about five in six, at 0.85 of 19 in 20, at 0.9 nearly always.
+come within two bits in any of the twelve and as a whole is a candidate. Candidates only gather documents into groups;
+within a group the exact similarity of the shingle sets decides. At similarity 0.8 a pair is a candidate with a chance
+of about five in six, at 0.85 of 19 in 20, at 0.9 nearly always.
 
 Edge cases: a null or blank text has fingerprint zero, linked like any other; fewer words than a shingle form one
 shingle; a null id keeps its row, and the least id of a component leaves nulls out (null if it has no other);
@@ -172,16 +173,28 @@ def report(df: DataFrame) -> DataFrame:
 WIDE_SHINGLE, SIMILARITY, WORDS = 5, 0.8, 6
 #: Standard deviations of the measured distance that a pair may lie beyond its similarity's.
 LEEWAY = 1.0
+#: Classes of one part of a group; two parts are compared at a time.
+CELL = 512
 
 
-def wide_fingerprint(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
-    """Six words of 64 bits over the distinct shingles of a text; six zeros without a word."""
+def shingles(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; none without a word."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return np.zeros(WORDS, np.uint64)
+        return np.zeros(0, np.uint64)
     grams = [words] if len(words) < size else zip(*(words[k:] for k in range(size)), strict=False)
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.fromiter((digest(b" ".join(g), SEED) for g in grams), np.uint64))
+    return np.unique(np.fromiter((digest(b" ".join(g), SEED) for g in grams), np.uint64))
+
+
+def wide_fingerprint(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """Six words of 64 bits over the distinct shingles of a text; six zeros without a word."""
+    return _wide(shingles(text, size))
+
+
+def _wide(hashes: np.ndarray) -> np.ndarray:
+    if not len(hashes):
+        return np.zeros(WORDS, np.uint64)
     ones = np.zeros(64 * WORDS, np.int64)
     for k in range(0, len(hashes), 1 << 13):
         # one hash gives all words, each from a mix of its own
@@ -300,20 +313,97 @@ def wide_links(classes: DataFrame, most: int) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges, each between sets of at least that Jaccard similarity, that join what all such pairs would."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.r_[0, np.cumsum(sizes)]
+    owners = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    at = np.r_[0, np.cumsum(np.bincount(ids))] if len(ids) else np.zeros(1, np.int64)
+    left, edges = np.ones(n, bool), []
+    for first in range(n):
+        if not left[first]:
+            continue
+        todo, left[first] = [first], False
+        while todo:
+            k = todo.pop()
+            lists = [owners[at[i] : at[i + 1]] for i in ids[ends[k] : ends[k + 1]]]
+            if not lists or not left.any():
+                continue
+            shared = np.bincount(np.concatenate(lists), minlength=n)
+            near = np.flatnonzero(left & (shared >= similarity * (sizes[k] + sizes - shared) - 1e-9))
+            edges += [(k, j) for j in near]
+            todo += list(near)
+            left[near] = False
+    return edges
+
+
+def exact_links(members: DataFrame, texts: DataFrame, similarity: float, size: int = WIDE_SHINGLE, most: int | None = None) -> DataFrame:
+    """(a, b): edges between classes of one group, each of at least that exact Jaccard similarity, that join what all
+    such pairs of the group would. ``members`` (k, root, t) gives each class, its group and its text's hash, ``texts``
+    (t, text). A group of more than ``most`` classes is dealt into parts, and every two parts meet in a cell."""
+    most = most or CELL
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [shingles(t.as_py(), size).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["_k", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def found() -> pa.RecordBatch:
+            edges = _similar([h for _, h in held], similarity)
+            return pa.RecordBatch.from_arrays([pa.array([held[x[i]][0] for x in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for root, one, two, k, h in (tuple(c.as_py() for c in x) for x in zip(*b.columns, strict=True)):
+                if key != (root, one, two):
+                    if len(held) > 1:
+                        yield found()
+                    key, held = (root, one, two), []
+                held.append((k, np.frombuffer(h, np.uint64)))
+        if len(held) > 1:
+            yield found()
+
+    groups = members.groupBy(F.col("root").alias("_root")).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    placed = members.join(groups, F.col("root") == F.col("_root"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    cells = placed.select("k", "root", F.pmod(F.xxhash64("k"), F.col("_parts")).cast("int").alias("_part"), other.alias("_other"))
+    cells = cells.select("k", "root", F.least("_part", "_other").alias("_one"), F.greatest("_part", "_other").alias("_two"))
+    # Copies are merged before the join, as one text can be most of the rows.
+    sets = texts.dropDuplicates(["t"]).join(members.select(F.col("t").alias("_t"), "k"), F.col("t") == F.col("_t")).select("k", "text")
+    sets = sets.mapInArrow(run, "_k long, hashes binary")
+    rows = cells.join(sets, F.col("k") == F.col("_k")).select("root", "_one", "_two", "k", "hashes")
+    rows = rows.repartition("root", "_one", "_two").sortWithinPartitions("root", "_one", "_two")
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_clusters(df: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE) -> DataFrame:
-    """(doc_id, component_id) of every row: rows as similar as that, directly or by way of others, share the least id."""
+    """(doc_id, component_id) of every row: rows as similar as that, directly or by way of others, share the least id.
+
+    A class is the rows of one shingle set. The distance only gathers classes into groups; within a group the sets decide.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [wide_fingerprint(t.as_py(), size) for t in b.column(1)]
-            flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * WORDS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "w"])
-
-    found = df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, w array<long>")
-    found = checkpointed(found.withColumn("k", F.xxhash64("w")))
-    classes = checkpointed(found.groupBy("k").agg(F.min("w").alias("w"), F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    pairs = wide_links(classes, most_bits(similarity))
+            # a text's hashes are let go before the next one's are made
+            flat, keys = np.zeros((b.num_rows, WORDS), np.uint64), np.zeros(b.num_rows, np.uint64)
+            for i, t in enumerate(b.column(1)):
+                hashes = shingles(t.as_py(), size)
+                flat[i], keys[i] = _wide(hashes), xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS), pa.array(flat.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys.view(np.int64)), lists], ["doc_id", "t", "k", "w"])
+
+    texts = df.select("text", F.xxhash64("text").alias("t"))
+    found = df.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
+    found = checkpointed(found.mapInArrow(run, "doc_id long, t long, k long, w array<long>"))
+    classes = checkpointed(found.groupBy("k").agg(F.min("w").alias("w"), F.min("t").alias("t"), F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    groups = components(wide_links(classes, most_bits(similarity)))
+    members = checkpointed(classes.join(groups, F.col("k") == F.col("node")).select("k", "root", "t"))
+    pairs = exact_links(members, texts, similarity, size)
     return _labelled_rows(found, classes, components(pairs), "k").select("doc_id", "component_id")
 
 

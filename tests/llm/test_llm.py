@@ -360,6 +360,30 @@ def test_wide_links_behind_a_shared_block(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(2 * f, 2 * f + 1) for f in range(1000)]
 
 
+def test_near_clusters_are_exact(spark):
+    # 60 families share a passage, Jaccard 0.6 between them; each holds one copy of 0.95
+    passage = [f"p{i}" for i in range(300)]
+    texts = []
+    for f in range(60):
+        own = passage + [f"f{f}w{i}" for i in range(100)]
+        texts += [" ".join(own), " ".join(own + [f"f{f}x{i}" for i in range(20)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_clusters(df).collect()}
+    assert got == {k: k // 2 * 2 for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("most", [3, 512])
+def test_exact_links_in_parts(spark, most):
+    # a chain of ten texts, each like its neighbours only, and two strangers, all in one group
+    words = [f"c{i}" for i in range(400)]
+    texts = [" ".join(words[10 * k : 10 * k + 120]) for k in range(10)] + ["a b c d e f", "g h i j k l"]
+    rows = [(k, 0, k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k long, root long, t long, text string")
+    edges = simhash.exact_links(df.select("k", "root", "t"), df.select("t", "text"), 0.8, most=most)
+    assert {(r.node, r.root) for r in components(edges).collect()} == {(k, 0) for k in range(10)}
+    assert all(brute.jaccard(texts[r.a], texts[r.b]) >= 0.8 for r in edges.collect())
+
+
 def test_wide_distance_tells_similarity():
     rng = random.Random(9)
     words = [f"w{rng.randrange(5000)}" for _ in range(600)]
