@@ -30,9 +30,6 @@ BASE = (
     ("mit license", "mit"),
 )
 
-#: A text with none of these is not scanned. Of the others, each rule sees only those that hold its own gate string.
-GATES = (" licen", " copyright", " spdx ", " gpl ", " lgpl ", " agpl ", " cc ", " public ", " gnu ", " all rights ", " mpl ", " epl ", " creative commons ", " cc0 ", " cc 0 ", " permission ", " redistribution")
-
 #: label, name as words, versions, short name.
 FAMILIES = (
     ("agpl", "gnu affero general public license", ("3",), "agpl"),
@@ -158,6 +155,12 @@ def rules() -> list[Rule]:
     return [Rule(i, label, _bounded(body), gate, p) for i, (label, body, gate, p) in enumerate(made)]
 
 
+def gates() -> list[str]:
+    """Of the rules' gate strings those that hold no other: a text with none of these holds no rule's gate."""
+    found = {r.gate for r in rules()}
+    return sorted(g for g in found if not any(h != g and h in g for h in found))
+
+
 def _literal(found: list[Rule]) -> Column:
     """The rules as one constant of the plan."""
     rows = [{"order": r.order, "label": r.label, "regex": r.regex, "gate": r.gate, "priority": r.priority, "confidence": CONFIDENCE[r.priority]} for r in found]
@@ -182,7 +185,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """``df``'s ids with ``n_words`` and ``detections``: array of (start, end, order, label, priority, confidence), end exclusive."""
     core = F.trim(F.regexp_replace(F.lower(text_of(text_col)), SEPARATORS, " "))
     gated = F.lit(False)
-    for g in GATES:
+    for g in gates():
         gated = gated | F.contains(F.col("_words"), F.lit(g))
     out = df.select(F.col(id_col), F.concat(F.lit(" "), core, F.lit(" ")).alias("_words"))
     out = out.withColumn("n_words", F.when(F.col("_words") == "  ", F.lit(0)).otherwise(F.length("_words") - F.length(F.replace(F.col("_words"), F.lit(" "), F.lit(""))) - 1).cast("long"))

@@ -85,6 +85,36 @@ def test_license_scan(spark, rows):
         assert 0 <= r.score <= 1
 
 
+def _matches(parsed, most):
+    """A text that a regex of the rules matches: its least one, or with all that is optional and the last branches."""
+    out = ""
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            out += chr(x[0][1] if str(x[0][0]) == "LITERAL" else x[0][1][0])
+        elif op == "BRANCH":
+            out += _matches(x[1][-1 if most else 0], most)
+        elif op == "SUBPATTERN":
+            out += _matches(x[-1], most)
+        elif op == "MAX_REPEAT":
+            out += _matches(x[2], most) * (x[1] if most else x[0])
+        else:
+            assert op == "ASSERT"
+    return out
+
+
+def test_every_license_rule_fires_alone(spark):
+    rules = licenses.rules()
+    rows = [(2 * r.order + most, _matches(re._parser.parse(r.regex), most)) for r in rules for most in (0, 1)]
+    assert all(re.search(rules[k // 2].regex, f" {t} ") for k, t in rows)
+    rows += [(-1, "released under Apache 2.0"), (-2, "the Unlicense"), (-3, "GPL3"), (-4, "nothing of the kind")]
+    got = {r.doc_id: r for r in licenses.digest(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [t for k, t in rows if k >= 0 and not got[k].labels] == []
+    assert (got[-1].labels, got[-2].labels, got[-3].labels, got[-4].labels) == ("apache-2.0", "unlicense", "gpl-3.0", "")
+
+
 def test_license_labels(spark):
     df = spark.createDataFrame(list(enumerate(LICENSED)), "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(df)).collect()}
