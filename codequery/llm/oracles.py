@@ -88,7 +88,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, ''))
 m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p),
 d AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::INTEGER) AS v5 FROM m)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(v5, lambda v: {' || '.join(digit(k) for k in range(4))}), '') AS payload_digest,
-  CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+  CASE WHEN top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
 FROM d"""
 
 
