@@ -5,13 +5,19 @@ are segmented alone, because no piece of the trie holds a marker after another c
 part has the largest sum of log scores. A character that no piece covers costs the lowest score less ten and is
 written as the pieces of its UTF-8 bytes. Equal parts of a batch are segmented once, all parts side by side.
 
+A part of more than LONG bytes is first cut where no piece that occurs in it crosses: the best segmentation is that of
+the stretches between such places. A stretch that is long for all that is walked once, place by place, over the pieces
+found at all places at once. So the time of a text grows with its length whether it has blanks or not.
+
 Pieces come from a public model file. A model of merges stores ranks, not probabilities: the log score of the piece of
 rank r is then that of a Zipf law, ``-ln(r + 1) - ln(sum 1 / (r + 1))``. Decoding joins the pieces' bytes, markers as
 spaces, and drops the first one. A marker character that the text itself holds is no space: it is written as bytes.
 So decoding gives back every text exactly.
 
-Edge cases: null text gives null ids; an empty text gives no ids; long words without blanks are segmented whole;
-repeated rows are encoded each; an empty table gives no rows; other columns pass through.
+Edge cases: null text gives null ids; an empty text gives no ids; long words without blanks are segmented whole; a
+model without pieces for bytes writes its unknown piece, or 0 without one, and such a text does not come back; repeated
+rows are encoded each; an empty table gives no rows; other columns pass through, but those called ``ids``, ``n_bytes``,
+``round_trip`` or ``decoded`` give way to those made here.
 """
 
 from __future__ import annotations
@@ -32,7 +38,9 @@ _MARK = MARK.encode()
 #: What a character without a piece costs beyond the lowest score.
 UNKNOWN = 10.0
 #: Bytes of text that are segmented side by side.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: Bytes of a part beyond which it is cut first, and bytes of it that are searched for pieces at a time.
+LONG, STRETCH = 1 << 10, 1 << 18
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -78,15 +86,20 @@ class Vocabulary:
         """``kinds``: 1 normal, 4 given by the user, 6 byte; pieces of other kinds are control symbols that no text gives."""
         byte_ids = np.full(256, -1, np.int32)
         words: dict[bytes, int] = {}
+        unknown = 0
         for i, (piece, kind) in enumerate(zip(pieces, kinds, strict=True)):
             if kind == 6:
                 byte_ids[int(piece[3:5], 16)] = i
+            elif kind == 2:
+                unknown = i
             elif kind in (1, 4) and b" " not in piece:
                 word = piece.replace(_MARK, b" ")
                 if word and b" " not in word.lstrip(b" "):
                     words.setdefault(word, i)
+        byte_ids[byte_ids < 0] = unknown
         base, check, ids = double_array(words)
-        decoded = [bytes([int(p[3:5], 16)]) if k == 6 else p.replace(_MARK, b" ") if k in (1, 4) else b"" for p, k in zip(pieces, kinds, strict=True)]
+        plain = lambda p, k: p.replace(_MARK, b" ") if k in (1, 4) else b""
+        decoded = [bytes([int(p[3:5], 16)]) if k == 6 else plain(p, k) for p, k in zip(pieces, kinds, strict=True)]
         return cls(pieces, np.array(scores), byte_ids, base, check, ids, decoded)
 
 
@@ -155,8 +168,82 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate([base, pad]), np.concatenate([check, pad - 1]), np.concatenate([ids, pad - 1])
 
 
+def _places(text: bytes, v: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, end, id) of every piece that occurs in a text, by start and end, a stretch of starts at a time."""
+    raw = np.frombuffer(text + b"\0" * 256, np.uint8).astype(np.int32)
+    for lo in range(0, len(text), STRETCH):
+        who = np.arange(lo, min(lo + STRETCH, len(text)))
+        state, found, j = np.zeros(len(who), np.int32), [], 0
+        while len(who):
+            at = who + j
+            step = v.base[state] + raw[np.minimum(at, len(raw) - 1)] + 1
+            good = (v.check[step] == state) & (at < len(text))
+            who, state, j = who[good], step[good], j + 1
+            hit = v.ids[state] >= 0
+            found.append((who[hit], np.full(int(hit.sum()), j), v.ids[state[hit]]))
+        start, size, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((size, start))
+        yield start[order], (start + size)[order], ids[order]
+
+
+def _char_sizes(text: bytes) -> np.ndarray:
+    """The bytes of the character at each place, 0 inside of one."""
+    lead = np.frombuffer(text, np.uint8)
+    return np.where(lead < 0x80, 1, np.where(lead < 0xC0, 0, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))))
+
+
+def _cut(word: bytes, v: Vocabulary) -> list[bytes]:
+    """The stretches of a word between places that no piece crosses."""
+    crossing = np.zeros(len(word) + 1, np.int64)
+    for start, end, _ in _places(word, v):
+        np.add.at(crossing, start + 1, 1)
+        np.add.at(crossing, end, -1)
+    safe = np.flatnonzero((np.cumsum(crossing)[:-1] == 0) & (_char_sizes(word) > 0))
+    ends = np.r_[safe[safe > 0], len(word)].tolist()
+    return [word[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _walk(word: bytes, v: Vocabulary) -> np.ndarray:
+    """The ids of the best segmentation of one word, place by place."""
+    n, sizes, scores = len(word), _char_sizes(word).tolist(), v.scores.tolist()
+    best, piece, back = [-math.inf] * (n + 1), [-2] * (n + 1), [0] * (n + 1)
+    best[0], unknown = 0.0, min(scores) - UNKNOWN
+
+    def as_bytes(i: int) -> None:
+        end = min(i + max(sizes[i], 1), n)
+        if best[i] + unknown > best[end]:
+            best[end], piece[end], back[end] = best[i] + unknown, -2, i
+
+    for lo, (starts, ends, ids) in zip(range(0, n, STRETCH), _places(word, v), strict=True):
+        k, rows = 0, list(zip(starts.tolist(), ends.tolist(), ids.tolist(), strict=True))
+        for i in range(lo, min(lo + STRETCH, n)):
+            known = best[i] == -math.inf
+            while k < len(rows) and rows[k][0] == i:
+                _, end, number = rows[k]
+                k += 1
+                if best[i] > -math.inf:
+                    known |= end - i == sizes[i]
+                    if best[i] + scores[number] > best[end]:
+                        best[end], piece[end], back[end] = best[i] + scores[number], number, i
+            if not known:
+                as_bytes(i)
+    out: list[int] = []
+    at = n
+    while at:
+        i = back[at]
+        out += [piece[at]] if piece[at] >= 0 else [int(v.byte_ids[c]) for c in reversed(word[i:at])]
+        at = i
+    return np.array(out[::-1], np.int32)
+
+
 def segment(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the best segmentation of each word, offsets having one more entry than words."""
+    parts = [_cut(w, v) if len(w) > LONG else [w] for w in words]
+    ids, offsets = _side_by_side([x for p in parts for x in p], v)
+    return ids, offsets[np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)]
+
+
+def _side_by_side(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
     ranked = sizes[order]
@@ -168,7 +255,12 @@ def segment(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         end = max(at + 1, min(end, at + (1 << 20) // max(int(ranked[end - 1]), 1)))
         some = order[at:end]
         at = end
-        parts.append((some, *_segment([words[i] for i in some.tolist()], v)))
+        if ranked[end - 1] > LONG and len(some) < 16:
+            for i in some.tolist():
+                made = _walk(words[i], v)
+                parts.append((np.array([i]), made, np.array([len(made)])))
+        else:
+            parts.append((some, *_segment([words[i] for i in some.tolist()], v)))
     counts = np.zeros(len(words), np.int64)
     for some, _, n in parts:
         counts[some] = n
@@ -300,7 +392,8 @@ def _ids(flat: np.ndarray, offsets: np.ndarray, null: pa.Array) -> pa.Array:
 
 
 def encoded(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ``ids`` (array of int), ``n_bytes`` (ids that stand for bytes) and ``round_trip`` (decoding gave the text back)."""
+    """``df`` with ``ids`` (array of int), ``n_bytes`` (ids that stand for bytes) and ``round_trip`` (decoding gave the
+    text back)."""
     spark = df.sparkSession
     with open(model, "rb") as file:  # on the driver; the pieces go to the executors
         shared = spark.sparkContext.broadcast(load(file.read()))
@@ -318,11 +411,13 @@ def encoded(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
                 texts = b.column(text_col).cast(pa.large_string())
                 flat, offsets = encode(texts, v)
                 raw, ends = decode(flat, offsets, v)
-                given = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)])
+                buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]
+                given = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), buffers)
                 same = pc.equal(given, texts.cast(pa.large_binary()))
                 n_bytes = np.diff(np.r_[0, np.cumsum(is_byte[flat])][offsets])
                 null = pc.is_null(texts)
-                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), _ids(flat, offsets, null), pa.array(n_bytes), same], schema.names)
+                made = [_ids(flat, offsets, null), pa.array(n_bytes), same]
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), *made], schema.names)
 
     return df.select(*(F.col(f"`{x}`") for x in schema.names[:-3])).mapInArrow(run, schema)
 
@@ -343,7 +438,9 @@ def decoded(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
                 counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
                 raw, ends = decode(lists.flatten().to_numpy(), np.r_[0, np.cumsum(counts)], v)
                 data = raw.tobytes()
-                texts = [None if gone else data[i:j].decode("utf-8", "replace") for gone, i, j in zip(null, ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in schema.names[:-1]), pa.array(texts, pa.string())], schema.names)
+                bounds = zip(null, ends[:-1], ends[1:], strict=True)
+                texts = [None if gone else data[i:j].decode("utf-8", "replace") for gone, i, j in bounds]
+                columns = [*(b.column(x) for x in schema.names[:-1]), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return df.select(*(F.col(f"`{x}`") for x in schema.names[:-1])).mapInArrow(run, schema)
