@@ -72,10 +72,11 @@ SELECT doc_id, size, source_size, target, ({taken})::BIGINT AS taken, ((start +
 def _nearest() -> str:
     fine = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
     return rf"""
-WITH e AS (SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND {fine} GROUP BY vec_id),
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND {fine}),
+a AS (SELECT vec_id, min(v) AS v FROM e WHERE vec_id % {EVERY} = 0 GROUP BY vec_id),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda a, x: a + x) AS score
-  FROM e q JOIN e c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+  FROM a q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= {NEAREST}"""
 
