@@ -1,14 +1,16 @@
 """Personal data: pattern matches, and further spans from a linear-chain conditional random field.
 
-Patterns give the base spans of four kinds. The field reads the runs of tokens around digits and at-signs that no base
-span covers, sees each token as its word shape, and tags it as the beginning or inside of a kind or as neither. It is
-trained on the driver from a small labelled table, by the gradient of its log-likelihood; runs are decoded by Viterbi,
-all runs of a batch side by side. What it finds must still have a kind's number of digits and, for cards and
-addresses, its check sum or ranges; it adds phones without a plus or cards with other separators, say.
-
-Positions are code points, ends exclusive. Edge cases: a null or empty text has no spans; matches that fail their check
-are dropped without a retry; overlapping base spans of different kinds all count; repeated rows are each searched; an
-empty table gives no rows; other columns pass through ``redacted`` untouched.
+Patterns give the base spans of four kinds. The field reads the runs of tokens around digits and at-signs, sees each
+token as its word shape, and tags it as the beginning or inside of a kind or as neither. It is trained on the driver
+from a small labelled table, by the gradient of its log-likelihood: lines written by hand (``pii_labels``), and as many
+made of the usual forms of each kind and of near misses. Runs are decoded by Viterbi, all runs of a batch side by side.
+What it finds must touch no base span and must still have a kind's number of digits and, for cards and addresses, its
+check sum or ranges; it adds phones without a plus or cards with other separators, say.
+
+Positions are code points, ends exclusive. Edge cases: a null or empty text has no spans; texts, tokens and runs of any
+length are read whole, in time that grows with their length; matches that fail their check are dropped without a retry;
+overlapping base spans of different kinds all count; repeated rows are each searched; an empty table gives no rows;
+other columns pass through ``redacted`` untouched, but for ``n_chars``, and are not read by ``found``.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequery.llm import pii_labels
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -90,7 +95,7 @@ TAGS = 1 + 2 * len(KINDS)
 def shape(token: str) -> str:
     """Classes of a token's characters, with runs' lengths up to four."""
     out, run, last = [], 0, ""
-    for c in token[:64]:
+    for c in token:
         k = "9" if c in "0123456789" else "A" if c.isupper() else "a" if c.isalpha() else c
         run = run + 1 if k == last else 1
         last = k
@@ -107,12 +112,34 @@ def observed(tokens: list[str]) -> list[list[str]]:
     for i, t in enumerate(tokens):
         n = sum(c.isdigit() for c in t)
         before, after = brief[i - 1] if i else "^", brief[i + 1] if i + 1 < len(tokens) else "$"
-        out.append([f"s={shapes[i]}", f"b={brief[i]}", f"n={min(n, 20)}", f"l={min(len(t), 24) // 3}", f"-1={before}", f"+1={after}", f"-1b={before}|{brief[i]}", f"+1b={brief[i]}|{after}", f"dots={t.count('.')}", f"at={'@' in t}"])
+        own = [f"s={shapes[i]}", f"b={brief[i]}", f"n={min(n, 20)}", f"l={min(len(t), 24) // 3}"]
+        beside = [f"-1={before}", f"+1={after}", f"-1b={before}|{brief[i]}", f"+1b={brief[i]}|{after}"]
+        out.append([*own, *beside, f"dots={t.count('.')}", f"at={'@' in t}"])
+    return out
+
+
+def by_hand(lines: str = pii_labels.TRAIN) -> list[tuple[list[str], list[int]]]:
+    """The lines of a written table as token runs and their tags; what a line has outside of runs is left out."""
+    out = []
+    for line in lines.strip().split("\n"):
+        text, spans, at = "", [], 0
+        for m in re.finditer(r"\{(\w+):([^}]*)\}", line):
+            text += line[at : m.start()]
+            spans.append((KINDS.index(m[1]), len(text), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        text += line[at:]
+        for run in _runs(text):
+            tags, last = [], None
+            for a, b in run:
+                of = next((x for x in spans if a < x[2] and x[1] < b), None)
+                tags.append(0 if of is None else (2 if of == last else 1) + 2 * of[0])
+                last = of
+            out.append(([text[a:b] for a, b in run], tags))
     return out
 
 
-def labelled(seed: int = 11, rows: int = 300) -> list[tuple[list[str], list[int]]]:
-    """The small labelled table: token runs and their tags, written out from a few forms of each kind and of none."""
+def made(seed: int = 11, rows: int = 300) -> list[tuple[list[str], list[int]]]:
+    """Token runs and their tags, written out from a few forms of each kind and of none."""
     rng = random.Random(seed)
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     w = lambda a=2, b=9: "".join(rng.choice("aeionrstlcdmpubghvfw") for _ in range(rng.randint(a, b)))
@@ -160,6 +187,11 @@ def labelled(seed: int = 11, rows: int = 300) -> list[tuple[list[str], list[int]
     return out
 
 
+def labelled() -> list[tuple[list[str], list[int]]]:
+    """The small labelled table that the field is trained from."""
+    return by_hand() + made()
+
+
 @dataclass
 class Field:
     """Weights of features by tag, and of a tag after another; ``index`` numbers the features seen in training."""
@@ -194,7 +226,8 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(table: list[tuple[list[str], list[int]]], rounds: int = 80, rate: float = 0.1, decay: float = 0.02) -> Field:
-    """The field of the largest regularised log-likelihood, approached by Adam; forward and backward sums over all runs at once."""
+    """The field of the largest regularised log-likelihood, approached by Adam; forward and backward sums over all runs
+    at once."""
     rows = [observed(tokens) for tokens, _ in table]
     index: dict[str, int] = {}
     for r in rows:
@@ -224,7 +257,8 @@ def train(table: list[tuple[list[str], list[int]]], rounds: int = 80, rate: floa
         odds = np.exp(fore + back - whole[:, None, None]) * real[..., None]
         joint = np.zeros((TAGS, TAGS))
         for i in range(1, width):
-            joint += (np.exp(fore[:, i - 1, :, None] + step + (e[:, i] + back[:, i])[:, None, :] - whole[:, None, None]) * real[:, i, None, None]).sum(0)
+            both = fore[:, i - 1, :, None] + step + (e[:, i] + back[:, i])[:, None, :] - whole[:, None, None]
+            joint += (np.exp(both) * real[:, i, None, None]).sum(0)
         off = (odds - truth) / n
         g_emit = np.zeros_like(field.emit)
         np.add.at(g_emit, feats[real], off[real][:, None, :])
@@ -244,7 +278,8 @@ def viterbi(parts: list[np.ndarray], field: Field) -> list[np.ndarray]:
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and len(parts[order[end]]) <= len(parts[order[at]]) + 2 and (end - at) * len(parts[order[end]]) < 1 << 16:
+        least = len(parts[order[at]])
+        while end < len(order) and (n := len(parts[order[end]])) <= least + 2 and (end - at) * n < 1 << 16:
             end += 1
         some, at = order[at:end], end
         e, sizes = _padded([parts[i] for i in some])
@@ -269,7 +304,8 @@ def viterbi(parts: list[np.ndarray], field: Field) -> list[np.ndarray]:
 
 
 def _runs(text: str) -> list[list[tuple[int, int]]]:
-    """Token places of each run: tokens with a digit or an at-sign, and what stands between two that are near on a line."""
+    """Token places of each run: tokens with a digit or an at-sign, and what stands between two that are near on a
+    line."""
     spots: list[tuple[int, int]] = []
     for m in _SIGNAL.finditer(text):
         if spots and m.start() - spots[-1][1] <= 24 and "\n" not in text[spots[-1][1] : m.start()]:
@@ -279,9 +315,27 @@ def _runs(text: str) -> list[list[tuple[int, int]]]:
     return [[x.span() for x in _TOKEN.finditer(text, a, b)] for a, b in spots]
 
 
+class _Taken:
+    """Whether spans overlap any of the base spans."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.joined: list[list[int]] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.joined and a <= self.joined[-1][1]:
+                self.joined[-1][1] = max(self.joined[-1][1], b)
+            else:
+                self.joined.append([a, b])
+        self.ends = [b for _, b in self.joined]
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.ends, start + 1)
+        return k < len(self.joined) and self.joined[k][0] < end
+
+
 def spans_of(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, by kind and then start."""
     base = [base_spans(t) for t in texts]
+    taken = [_Taken(b) for b in base]
     owner, places, parts = [], [], []
     for k, text in enumerate(texts):
         if "@" in text or _DIGIT.search(text):
@@ -303,8 +357,10 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span
                 j += 1
             start, end, i = run[i][0], run[j - 1][1], j
             piece = texts[k][start:end]
-            start, end = start + len(piece) - len(piece.lstrip(",.;:!?\"'[{<")), end - len(piece) + len(piece.rstrip(",.;:!?\"')]}>" if piece.count("(") < piece.count(")") else ",.;:!?\"']}>"))
-            if start < end and valid(kind, texts[k][start:end]) and not any(a < end and start < b for _, a, b in base[k]):
+            after = ",.;:!?\"')]}>" if piece.count("(") < piece.count(")") else ",.;:!?\"']}>"
+            start += len(piece) - len(piece.lstrip(",.;:!?\"'[{<"))
+            end -= len(piece) - len(piece.rstrip(after))
+            if start < end and valid(kind, texts[k][start:end]) and not taken[k].meets(start, end):
                 more[k].append((kind, start, end))
     return [(b, sorted(b + m)) for b, m in zip(base, more, strict=True)]
 
@@ -327,7 +383,8 @@ def found(df: DataFrame) -> DataFrame:
             both = spans_of([t.as_py() or "" for t in b.column(1)], shared.value)
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in both], pa.int64()) for k in range(len(KINDS))]
             digest = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in both], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([written(x) for _, x in both], pa.string())], names)
+            spans = pa.array([written(x) for _, x in both], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, spans], names)
 
     schema = df.select("doc_id").schema
     for k in KINDS:
@@ -358,11 +415,13 @@ def redacted(df: DataFrame) -> DataFrame:
         for b in batches:
             columns = dict(zip(b.schema.names, b.columns, strict=True))
             texts = columns["text"].to_pylist()
-            new = [t if t is None or not s[1] else masked(t, s[1]) for t, s in zip(texts, spans_of([t or "" for t in texts], shared.value), strict=True)]
+            every = [spans for _, spans in spans_of([t or "" for t in texts], shared.value)]
+            new = [t if t is None or not spans else masked(t, spans) for t, spans in zip(texts, every, strict=True)]
             columns["text"] = pa.array(new, pa.string())
             if "n_chars" in columns:
                 old = columns["n_chars"]
-                columns["n_chars"] = pa.array([o if t is s or t == s else len(t) for o, s, t in zip(old.to_pylist(), texts, new, strict=True)], old.type)
+                counts = [o if t == s else len(t) for o, s, t in zip(old.to_pylist(), texts, new, strict=True)]
+                columns["n_chars"] = pa.array(counts, old.type)
             yield pa.RecordBatch.from_arrays([columns[x] for x in names], names)
 
     return df.mapInArrow(run, df.schema)
