@@ -1,13 +1,16 @@
 """Ranked retrieval over multi-field documents and vectors.
 
-Queries come in batches: every table has ``query_id``. A batch's terms are few, so documents are matched in their own
-rows against a constant array of the terms; only matched (document, field, term) rows move, and statistics of terms and
-fields are small tables. ``postings`` builds the whole inverted table where an index is kept.
-All orders end in ``doc_id``.
+Queries come in batches: every table has ``query_id``. What a batch matches comes from one of two sources with the same
+rows, ``Matches``: ``scanned`` reads the documents once and keeps, in their own rows, the tokens that are among the
+batch's terms (a hash lookup a token, however many terms there are); ``looked_up`` reads a kept inverted table, dealt by
+a hash of the term and sorted by term, of which only the batch's buckets and terms are read. Tiers, phrases and
+expansions of a batch share one such pass. All orders end in ``doc_id``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,8 +29,10 @@ MATCH_SHARE, MATCH_BOOST, PHRASE_BOOST, SLOP, EXPANSION_BOOST = 0.75, 1.5, 3.0,
 EXPANSION_FIELDS = ("name", "class_name", "javadoc")
 GRAPH_WEIGHT = 0.3
 UNIFIED_SCALE = 150.0
-#: Up to this many synonym rules are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Up to this many synonym rules, or query vectors, are broadcast; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_VECTORS = 100_000, 1_000
+#: Parts of the inverted table by the term's hash, and parts in which a large batch of vectors meets all others.
+BUCKETS, VECTOR_PARTS = 64, 64
 
 
 def field_tokens(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -40,7 +45,18 @@ def field_tokens(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 def postings(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """The inverted table: (field, term, doc_id, tf, positions, len)."""
     rows = field_tokens(docs, fields).select("doc_id", "field", "len", F.posexplode("tokens").alias("pos", "term"))
-    return rows.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.max("len").alias("len"))
+    rows = rows.groupBy("field", "term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.max("len").alias("len"))
+    return rows.select("field", "term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions", "len")
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def save_postings(rows: DataFrame, folder: str) -> None:
+    """The inverted table in ``folder``: a part for each bucket, sorted by term, so that a term is found by skipping."""
+    out = rows.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(4)))
+    out.sortWithinPartitions("bucket", "term", "field", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
 def field_stats(tokens: DataFrame) -> DataFrame:
@@ -63,22 +79,42 @@ def with_synonyms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     return both.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
 
 
-def _hits(terms: list[str]) -> Column:
-    """Array of (term, positions) of the terms that ``tokens`` holds."""
-    each = F.array(*(F.lit(t) for t in sorted(set(terms)))) if terms else F.array().cast("array<string>")
-    here = F.filter(each, lambda t: F.array_contains(F.col("tokens"), t))
-    at = lambda t: F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i).otherwise(-1)), lambda i: i >= 0)
-    return F.transform(here, lambda t: F.struct(t.alias("term"), at(t).alias("positions")))
+@dataclass(frozen=True)
+class Matches:
+    """What a batch's terms match: ``rows`` (doc_id, field, len, term, tf, positions) of all fields, and ``stats`` of the
+    fields (field, n_docs, avg_len)."""
+
+    rows: DataFrame
+    stats: DataFrame
+
+    def of(self, fields: tuple[str, ...]) -> Matches:
+        return Matches(self.rows.where(F.col("field").isin(*fields)), self.stats)
 
 
-def _exploded(rows: DataFrame) -> DataFrame:
-    out = rows.select("doc_id", "field", "len", F.explode("hits").alias("m"))
-    return out.select("doc_id", "field", "len", "m.term", F.size("m.positions").cast("long").alias("tf"), "m.positions")
+def batch_terms(*tables: DataFrame) -> list[str]:
+    """The distinct terms of query tables: a batch's own, not the corpus's."""
+    return sorted({r.term for t in tables for r in t.select("term").distinct().collect()})
 
 
-def matches(tokens: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, field, len, term, tf, positions) of the terms that occur; row-local."""
-    return _exploded(tokens.select("doc_id", "field", "len", _hits(terms).alias("hits")))
+def scanned(tokens: DataFrame, terms: list[str]) -> Matches:
+    """Matches by one pass over ``tokens`` (doc_id, field, tokens, len): of each row the tokens that are among the terms,
+    gathered in the row; row-local. The statistics come from the same pass."""
+    each = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    hits = F.filter(each, lambda x: x["term"].isin(terms)) if terms else F.array().cast("array<struct<term:string,pos:int>>")
+    rows = checkpointed(tokens.select("doc_id", "field", "len", hits.alias("hits")))
+    stats = rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    at = lambda t: F.transform(F.filter("hits", lambda x: x["term"] == t), lambda x: x["pos"])
+    names = F.array_distinct(F.transform("hits", lambda x: x["term"]))
+    rows = rows.where(F.size("hits") > 0).select("doc_id", "field", "len", F.explode(F.transform(names, lambda t: F.struct(t.alias("term"), at(t).alias("positions")))).alias("m"))
+    return Matches(rows.select("doc_id", "field", "len", "m.term", F.size("m.positions").cast("long").alias("tf"), "m.positions"), checkpointed(stats))
+
+
+def looked_up(kept: DataFrame, stats: DataFrame, terms: list[str]) -> Matches:
+    """Matches from an inverted table that ``save_postings`` has written: the batch's buckets, and in them its terms."""
+    wanted = kept.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(bucket(F.col("term")).alias("b"))
+    buckets = [r.b for r in wanted.distinct().collect()]
+    rows = kept.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)) if terms else kept.where("false")
+    return Matches(checkpointed(rows.select("doc_id", "field", "len", "term", "tf", "positions")), stats)
 
 
 def similarity(field: Column, tf: Column, length: Column, n: Column, df: Column, avg: Column, mixed: bool = True) -> Column:
@@ -96,15 +132,11 @@ def similarity(field: Column, tf: Column, length: Column, n: Column, df: Column,
     return out.otherwise(bm25(*BM25_OTHER))
 
 
-def weighted(tokens: DataFrame, terms: DataFrame, mixed: bool = True, boosts: dict[str, float] | None = None) -> DataFrame:
+def weighted(found: Matches, terms: DataFrame, mixed: bool = True, boosts: dict[str, float] | None = None) -> DataFrame:
     """(query_id, term, doc_id, field, n_terms, w) of every match: boosted weights."""
-    wanted = [r.term for r in terms.select("term").distinct().collect()]  # a batch's own terms, not the corpus
-    # One pass over the texts: the statistics and the matches both come from what it leaves.
-    rows = checkpointed(tokens.select("doc_id", "field", "len", _hits(wanted).alias("hits")))
-    found = _exploded(rows)
-    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
+    df = found.rows.groupBy("field", "term").agg(F.count("*").alias("df"))
     boost = F.coalesce(*(F.when(F.col("field") == f, F.lit(b)) for f, b in (boosts or BOOSTS).items()), F.lit(1.0))
-    out = found.join(df, ["field", "term"]).join(field_stats(rows), "field").join(terms, "term")
+    out = found.rows.join(df, ["field", "term"]).join(found.stats, "field").join(terms, "term")
     w = similarity(F.col("field"), F.col("tf"), F.col("len"), F.col("n_docs"), F.col("df"), F.col("avg_len"), mixed)
     return out.select("query_id", "term", "doc_id", "field", "n_terms", (boost * w).alias("w"))
 
@@ -120,31 +152,34 @@ def least_matches(weights: DataFrame) -> DataFrame:
     return rows.where((F.col("n") >= 2) & (F.col("k") >= F.greatest(F.lit(2), F.ceil(MATCH_SHARE * F.col("n"))))).select("query_id", "doc_id", (MATCH_BOOST * F.col("s")).alias("score"))
 
 
-def phrases(tokens: DataFrame, terms: DataFrame, slop: int = SLOP, fields: tuple[str, ...] = PHRASE_FIELDS) -> DataFrame:
+def phrases(found: Matches, terms: DataFrame, slop: int = SLOP, fields: tuple[str, ...] = PHRASE_FIELDS) -> DataFrame:
     """(query_id, doc_id, field, freq): sloppy occurrences of the whole query, ``sum 1 / (1 + spread)``.
 
     Every place of the query's first term anchors at most one occurrence: each other term takes the place whose offset,
     less its place in the query, is nearest to the anchor's. The spread is that of the offsets; more than ``slop`` is none.
     """
-    wanted = [r.term for r in terms.select("term").distinct().collect()]
-    found = matches(tokens.where(F.col("field").isin(*fields)), wanted).join(terms.where("n_terms >= 2"), "term")
-    rows = found.groupBy("query_id", "doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("at", "positions"))).alias("t"), F.max("n_terms").alias("n"))
-    rows = rows.where(F.size("t") == F.col("n"))
+    rows = found.of(fields).rows.join(terms.where("n_terms >= 2"), "term")
+    each = F.array_sort(F.collect_list(F.struct("at", "positions"))).alias("t")
+    rows = rows.groupBy("query_id", "doc_id", "field").agg(F.count("*").alias("k"), F.max("n_terms").alias("n"), each)
+    rows = rows.where(F.col("k") == F.col("n"))
     offsets = F.transform("t", lambda x: F.transform(x["positions"], lambda p: p - x["at"]))
     rows = rows.withColumn("o", offsets)
 
     def spread(anchor: Column) -> Column:
-        near = F.transform("o", lambda ps: F.array_min(F.transform(ps, lambda p: F.struct(F.abs(p - anchor).alias("d"), p.alias("p"))))["p"])
+        nearest = lambda ps: F.array_min(F.transform(ps, lambda p: F.struct(F.abs(p - anchor).alias("d"), p.alias("p"))))
+        near = F.transform("o", lambda ps: nearest(ps)["p"])
         return F.array_max(near) - F.array_min(near)
 
-    freq = F.aggregate(F.transform(F.get("o", F.lit(0)), spread), F.lit(0.0), lambda a, d: a + F.when(d <= slop, 1 / (1 + d)).otherwise(0.0))
+    spreads = F.transform(F.get("o", F.lit(0)), spread)
+    freq = F.aggregate(spreads, F.lit(0.0), lambda a, d: a + F.when(d <= slop, 1 / (1 + d)).otherwise(0.0))
     return rows.select("query_id", "doc_id", "field", freq.alias("freq")).where("freq > 0")
 
 
-def phrase_scores(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+def phrase_scores(found: Matches, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of the phrase tier: freq / (freq + 1), field boosts, tier boost."""
     boost = F.coalesce(*(F.when(F.col("field") == f, F.lit(BOOSTS[f])) for f in PHRASE_FIELDS))
-    return phrases(tokens, terms).groupBy("query_id", "doc_id").agg(F.sum(PHRASE_BOOST * boost * F.col("freq") / (F.col("freq") + 1)).alias("score"))
+    part = F.sum(PHRASE_BOOST * boost * F.col("freq") / (F.col("freq") + 1))
+    return phrases(found, terms).groupBy("query_id", "doc_id").agg(part.alias("score"))
 
 
 def expansion_terms(queries: DataFrame) -> DataFrame:
@@ -170,25 +205,55 @@ def ranked(hits: DataFrame, limit: int | None = None, digits: int = 6) -> DataFr
     return (out.where(F.col("rank") <= limit) if limit else out).select("query_id", "rank", "doc_id", "score")
 
 
-def keyword(docs: DataFrame, queries: DataFrame, limit: int, synonyms: DataFrame | None = None, keep: Column | None = None, intent: Column | None = None) -> DataFrame:
-    """Keyword search: disjunction, enough-matches and phrase tiers, identifier expansion, then the factors on the top."""
-    chosen = docs.where(keep) if keep is not None else docs
-    tokens = field_tokens(docs, tuple(BOOSTS))
-    terms = query_terms(queries)
-    wide = with_synonyms(terms, synonyms) if synonyms is not None else terms
-    weights = weighted(tokens, wide)
-    base = disjunction(weights).unionByName(least_matches(weights)).unionByName(phrase_scores(tokens, terms)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-    more = expansion_terms(queries)
-    extra = disjunction(weighted(tokens.where(F.col("field").isin(*EXPANSION_FIELDS)), more, boosts={f: EXPANSION_BOOST for f in EXPANSION_FIELDS}))
-    raw = base.join(extra.withColumnRenamed("score", "more"), ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    top = ranked(raw.join(chosen.select("doc_id"), "doc_id", "left_semi"), limit)
-    return ranked(multiplied(top, docs, intent))
+@dataclass(frozen=True)
+class Asked:
+    """The terms of a batch: its own, those with synonyms, and those inside of identifiers."""
+
+    plain: DataFrame
+    wide: DataFrame
+    inner: DataFrame
+
+    @classmethod
+    def of(cls, queries: DataFrame, synonyms: DataFrame | None = None) -> Asked:
+        plain = query_terms(queries)
+        wide = with_synonyms(plain, synonyms) if synonyms is not None else plain
+        return cls(plain, wide, expansion_terms(queries))
+
+    def all(self) -> list[str]:
+        return batch_terms(self.wide, self.inner)
+
+
+def keyword(
+    docs: DataFrame,
+    queries: DataFrame,
+    limit: int,
+    synonyms: DataFrame | None = None,
+    keep: Column | None = None,
+    intent: Column | None = None,
+    index: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Keyword search: disjunction, enough-matches and phrase tiers, identifier expansion, then the factors on the top.
+
+    ``index`` (postings, stats) is a kept inverted table of the documents; without it their texts are read.
+    """
+    asked = Asked.of(queries, synonyms)
+    found = looked_up(*index, asked.all()) if index else scanned(field_tokens(docs, tuple(BOOSTS)), asked.all())
+    weights = weighted(found, asked.wide)
+    tiers = disjunction(weights).unionByName(least_matches(weights)).unionByName(phrase_scores(found, asked.plain))
+    base = tiers.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    extra = weighted(found.of(EXPANSION_FIELDS), asked.inner, boosts={f: EXPANSION_BOOST for f in EXPANSION_FIELDS})
+    raw = base.join(disjunction(extra).withColumnRenamed("score", "more"), ["query_id", "doc_id"], "left")
+    raw = raw.select("query_id", "doc_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    if keep is not None:
+        raw = raw.join(docs.where(keep).select("doc_id"), "doc_id", "left_semi")
+    return ranked(multiplied(ranked(raw, limit), docs, intent))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int, field: str = "body") -> DataFrame:
     """BM25 over one field with the common constants."""
-    tokens = field_tokens(docs, (field,))
-    return ranked(disjunction(weighted(tokens, query_terms(queries), mixed=False, boosts={field: 1.0})), limit)
+    terms = query_terms(queries)
+    found = scanned(field_tokens(docs, (field,)), batch_terms(terms))
+    return ranked(disjunction(weighted(found, terms, mixed=False, boosts={field: 1.0})), limit)
 
 
 # -- vectors -----------------------------------------------------------------------------------------------------------
@@ -200,21 +265,32 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """(query_id, rank, doc_id, score): nearest of (doc_id, vec) to (query_id, vec), score (1 + cosine) / 2; exact.
-
-    The query batch is the stated small side and is broadcast.
-    """
+def asked_pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``vectors`` with each query vector of their dimension (query_id, qv). A batch of few is broadcast; a larger one is
+    dealt into parts, each of which all vectors meet."""
     q = queries.select("query_id", F.col("vec").alias("qv"))
-    pairs = vectors.join(F.broadcast(q), F.size("vec") == F.size("qv"))
-    return ranked(pairs.select("query_id", "doc_id", ((1 + cosine(F.col("vec"), F.col("qv"))) / 2).alias("score")), limit)
+    if q.limit(BROADCAST_VECTORS + 1).count() <= BROADCAST_VECTORS:
+        return vectors.join(F.broadcast(q), F.size("vec") == F.size("qv"))
+    q = q.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(VECTOR_PARTS)).cast("int"))
+    each = vectors.withColumn("_each", F.explode(F.sequence(F.lit(0), F.lit(VECTOR_PARTS - 1))))
+    return each.join(q, (F.col("_each") == F.col("_part")) & (F.size("vec") == F.size("qv"))).drop("_part", "_each")
+
+
+def knn(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, rank, doc_id, score): nearest of (doc_id, vec) to (query_id, vec), score (1 + cosine) / 2; exact."""
+    score = (1 + cosine(F.col("vec"), F.col("qv"))) / 2
+    return ranked(asked_pairs(vectors, queries).select("query_id", "doc_id", score.alias("score")), limit)
 
 
 def late_interaction(first: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``first``'s hits scored by their best chunk (doc_id, vec); hits without chunks keep their score."""
-    pairs = first.select("query_id", "doc_id").join(chunks, "doc_id").join(F.broadcast(queries.select("query_id", F.col("vec").alias("qv"))), "query_id")
+    q = queries.select("query_id", F.col("vec").alias("qv"))
+    if q.limit(BROADCAST_VECTORS + 1).count() <= BROADCAST_VECTORS:
+        q = F.broadcast(q)
+    pairs = first.select("query_id", "doc_id").join(chunks, "doc_id").join(q, "query_id")
     best = pairs.groupBy("query_id", "doc_id").agg(F.max((1 + cosine(F.col("vec"), F.col("qv"))) / 2).alias("best"))
-    return ranked(first.select("query_id", "doc_id", "score").join(best, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("best", "score").alias("score")))
+    out = first.select("query_id", "doc_id", "score").join(best, ["query_id", "doc_id"], "left")
+    return ranked(out.select("query_id", "doc_id", F.coalesce("best", "score").alias("score")))
 
 
 def mean_pooled(chunks: DataFrame) -> DataFrame:

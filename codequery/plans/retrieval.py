@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from codequery.functions import text as X
 from codequery.operators import fusion as U
 from codequery.operators import retrieval as R
-from codequery.plans.views import DOCS, EDGES, FIELDS, QUERIES, documents, part_edges, sql_tokens, vector_queries, vectors
+from codequery.plans.views import DOCS, EDGES, FIELDS, QUERIES, documents, part_edges, sql_tokens, table, vector_queries, vectors
+from codequery.session import checkpointed, deleted, shared_dir
 
 LIMIT = 20
 
@@ -18,44 +20,54 @@ def _q(spark):
     return R.batch(spark, QUERIES)
 
 
+def _found(spark, sf_dir, fields, *terms):
+    return R.scanned(R.field_tokens(documents(spark, sf_dir), fields), R.batch_terms(*terms))
+
+
 def r1_disjunction(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return R.ranked(R.disjunction(R.weighted(R.field_tokens(d, FIELDS), R.query_terms(_q(spark)))), LIMIT)
+    t = R.query_terms(_q(spark))
+    return R.ranked(R.disjunction(R.weighted(_found(spark, sf_dir, FIELDS, t), t)), LIMIT)
 
 
 def r2_bm25(spark, sf_dir):
     return R.bm25(documents(spark, sf_dir), _q(spark), 10)
 
 
+def r2_benchmark_batch(spark, sf_dir):
+    """All texts of ``benchmark`` as one batch."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), "text")
+    return R.bm25(documents(spark, sf_dir), q, 10)
+
+
 def r3_idf_only(spark, sf_dir):
-    t = R.field_tokens(documents(spark, sf_dir), R.IDF_FIELDS)
-    return R.ranked(R.disjunction(R.weighted(t, R.query_terms(_q(spark)))), LIMIT)
+    t = R.query_terms(_q(spark))
+    return R.ranked(R.disjunction(R.weighted(_found(spark, sf_dir, R.IDF_FIELDS, t), t)), LIMIT)
 
 
 def r4_enough_matches(spark, sf_dir):
-    t = R.field_tokens(documents(spark, sf_dir), FIELDS)
-    return R.ranked(R.least_matches(R.weighted(t, R.query_terms(_q(spark)))), LIMIT)
+    t = R.query_terms(_q(spark))
+    return R.ranked(R.least_matches(R.weighted(_found(spark, sf_dir, FIELDS, t), t)), LIMIT)
 
 
 def r5_phrase(spark, sf_dir):
-    t = R.field_tokens(documents(spark, sf_dir), (*R.PHRASE_FIELDS, "body"))
-    found = R.phrases(t, R.query_terms(_q(spark)), fields=(*R.PHRASE_FIELDS, "body"))
+    t, fields = R.query_terms(_q(spark)), (*R.PHRASE_FIELDS, "body")
+    found = R.phrases(_found(spark, sf_dir, fields, t), t, fields=fields)
     return found.select("query_id", "doc_id", "field", F.round("freq", 6).alias("freq"))
 
 
 def r6_identifier_expansion(spark, sf_dir):
-    t = R.field_tokens(documents(spark, sf_dir), R.EXPANSION_FIELDS)
-    w = R.weighted(t, R.expansion_terms(_q(spark)), boosts={f: R.EXPANSION_BOOST for f in R.EXPANSION_FIELDS})
-    return R.ranked(R.disjunction(w), LIMIT)
+    t = R.expansion_terms(_q(spark))
+    boosts = {f: R.EXPANSION_BOOST for f in R.EXPANSION_FIELDS}
+    return R.ranked(R.disjunction(R.weighted(_found(spark, sf_dir, R.EXPANSION_FIELDS, t), t, boosts=boosts)), LIMIT)
 
 
 SYNONYMS = [("apache", "license"), ("anea", "thanedble"), ("nicht", "sch einber")]
 
 
 def r7_synonyms(spark, sf_dir):
-    t = R.field_tokens(documents(spark, sf_dir), ("body",))
-    terms = R.with_synonyms(R.query_terms(_q(spark)), spark.createDataFrame(SYNONYMS, "lhs string, rhs string"))
-    return R.ranked(R.disjunction(R.weighted(t, terms, mixed=False, boosts={"body": 1.0})), LIMIT)
+    t = R.with_synonyms(R.query_terms(_q(spark)), spark.createDataFrame(SYNONYMS, "lhs string, rhs string"))
+    found = _found(spark, sf_dir, ("body",), t)
+    return R.ranked(R.disjunction(R.weighted(found, t, mixed=False, boosts={"body": 1.0})), LIMIT)
 
 
 def r8_multipliers(spark, sf_dir):
@@ -68,6 +80,18 @@ def r9_keyword(spark, sf_dir):
     return R.keyword(d, _q(spark), LIMIT, keep=F.col("doc_type") != "chunk")
 
 
+def r9_kept_index(spark, sf_dir):
+    """The same search from an inverted table that was written and read again; its folder goes when the result is kept."""
+    d = documents(spark, sf_dir)
+    folder = f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    stats = checkpointed(R.field_stats(R.field_tokens(d, FIELDS)))
+    R.save_postings(R.postings(d, FIELDS), folder)
+    kept = spark.read.parquet(folder)
+    out = checkpointed(R.keyword(d, _q(spark), LIMIT, keep=F.col("doc_type") != "chunk", index=(kept, stats)))
+    deleted(spark, folder)
+    return out
+
+
 def r10_knn(spark, sf_dir):
     return R.knn(vectors(spark, sf_dir), vector_queries(spark, sf_dir), LIMIT)
 
@@ -189,7 +213,8 @@ def _match_ctes(queries=QUERIES, fields=FIELDS, mixed=True, boosts=None, terms=N
     sim = bm(1.2, 0.75)
     if mixed:
         sim = "CASE WHEN field IN ('name', 'class_name', 'signature') THEN ln((n_docs + 1)::DOUBLE / (df + 1)) + 1 " + f"WHEN field IN ('javadoc', 'caller_context') THEN {bm(1.0, 0.5)} ELSE {bm(1.2, 0.9)} END"
-    own = f"""q AS (SELECT * FROM (VALUES {_values(queries)}) v(query_id, text)),
+    source = queries if isinstance(queries, str) else f"SELECT * FROM (VALUES {_values(queries)}) v(query_id, text)"
+    own = f"""q AS ({source}),
 qt AS (SELECT query_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS spot FROM (SELECT query_id, {sql_tokens('text')} AS ts FROM q)),
 """
     terms = terms or "SELECT query_id, term, min(spot) AS spot FROM qt GROUP BY query_id, term"
@@ -298,6 +323,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "r1_disjunction": _match_ctes() + " " + _ranked("disj"),
         "r2_bm25": _bm25(10) + " SELECT * FROM kw",
+        "r2_benchmark_batch": _bm25(10, "SELECT item_id::INTEGER AS query_id, text FROM benchmark") + " SELECT * FROM kw",
+        "r9_kept_index": kw_all + f"top AS ({_ranked('raw')}) " + _ranked(_multiplied("top"), None),
         "r3_idf_only": _match_ctes(fields=R.IDF_FIELDS) + " " + _ranked("disj"),
         "r4_enough_matches": _match_ctes() + f", {_LEAST} " + _ranked("lm"),
         "r5_phrase": _match_ctes(fields=body) + f", {_phrase_ctes(body)} SELECT query_id, doc_id, field, round(freq, 6) AS freq FROM freqs",

@@ -37,13 +37,15 @@ def test_return_phrase(spark, kind, phrase):
 def test_phrase_beats_scattered_words(spark):
     docs = [(1, "merge ranked lists"), (2, "merge a b c d e ranked x y z lists")]
     d = spark.createDataFrame(docs, "doc_id long, javadoc string")
-    found = R.phrases(R.field_tokens(d, ("javadoc",)), R.query_terms(R.batch(spark, [(1, "merge ranked lists")])))
+    terms = R.query_terms(R.batch(spark, [(1, "merge ranked lists")]))
+    found = R.phrases(R.scanned(R.field_tokens(d, ("javadoc",)), R.batch_terms(terms)), terms)
     assert [r.doc_id for r in found.collect()] == [1]
 
 
 def test_enough_matches_needs_three_of_four(spark):
     d = spark.createDataFrame([(1, "a1 b1 c1 x"), (2, "a1 b1 x y")], "doc_id long, body string")
-    w = R.weighted(R.field_tokens(d, ("body",)), R.query_terms(R.batch(spark, [(1, "a1 b1 c1 d1")])))
+    terms = R.query_terms(R.batch(spark, [(1, "a1 b1 c1 d1")]))
+    w = R.weighted(R.scanned(R.field_tokens(d, ("body",)), R.batch_terms(terms)), terms)
     assert [r.doc_id for r in R.least_matches(w).collect()] == [1]
 
 
