@@ -160,14 +160,18 @@ def fqn_parts(fqn: Column) -> Column:
     owner = F.substring_index(F.substring_index(fqn, "#", 1), "(", 1)
     last = F.element_at(F.split(owner, r"\."), -1)
     args = F.regexp_extract(fqn, r"\((.*)\)$", 1)
-    flat = args
-    for _ in range(4):  # generics nest a few levels at most
-        flat = F.regexp_replace(flat, r"<[^<>]*>", "")
+    # Commas outside of generics, however deep these nest.
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"))
+    step = lambda a, c: F.struct(
+        (a["depth"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)).alias("depth"),
+        (a["n"] + F.when((c == ",") & (a["depth"] == 0), 1).otherwise(0)).alias("n"),
+    )
+    commas = F.aggregate(F.split(args, ""), start, step)["n"]
     return F.struct(
         owner.alias("class_fqn"),
         F.when(F.contains(owner, F.lit(".")), F.regexp_replace(owner, r"\.[^.]*$", "")).otherwise("").alias("package"),
         F.when(F.contains(fqn, F.lit("#")), F.regexp_extract(fqn, r"#([^(]*)", 1)).otherwise(last).alias("simple_name"),
-        F.when(F.trim(args) == "", 0).otherwise(F.size(F.split(flat, ","))).cast("int").alias("n_params"),
+        F.when(F.trim(args) == "", 0).otherwise(commas + 1).cast("int").alias("n_params"),
         F.when(~F.contains(fqn, F.lit("#")), "class").when(F.contains(fqn, F.lit("#<init>")), "constructor").otherwise("method").alias("kind"),
     )
 

@@ -1,11 +1,13 @@
 """Graph operators over edge tables (src, dst[, edge_type]).
 
-Traversal goes hop by hop: one join for each depth, the visited table kept in the shared folder. Nodes keep their least
-depth; caps keep the first nodes by (depth, node). Only the count of new nodes reaches the driver.
+Traversal goes hop by hop: one join for each depth, each hop's new nodes kept in the shared folder once. Nodes keep their
+least depth; caps keep the first nodes by (depth, node). Only the count of new nodes reaches the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,16 +32,38 @@ def neighbours(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, direction: str = "callees") -> DataFrame:
     """(root, node, depth): least depths from each of ``roots`` (root), the root itself at 0; to the end if max_depth is None."""
     steps = checkpointed(directed(edges, direction))
-    seen = front = checkpointed(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    front = checkpointed(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    hops = Hops(front)
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
         reached = front.join(steps, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
-        front = checkpointed(reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = reached.join(hops.all().select("root", "node"), ["root", "node"], "left_anti")
+        front = checkpointed(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(front))
-    return seen
+        hops.add(front)
+    return hops.all()
+
+
+class Hops:
+    """The kept tables of a traversal's hops. Sixteen are merged into one, so that a long walk has a short plan and a row
+    is written a few times at most."""
+
+    def __init__(self, first: DataFrame, width: int = 16) -> None:
+        self.tables, self.width = [[first]], width
+
+    def add(self, hop: DataFrame, level: int = 0) -> None:
+        if level == len(self.tables):
+            self.tables.append([])
+        self.tables[level].append(hop)
+        if len(self.tables[level]) > self.width:
+            merged = checkpointed(reduce(DataFrame.unionByName, self.tables[level]))
+            self.tables[level] = []
+            self.add(merged, level + 1)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, (t for level in self.tables for t in level))
 
 
 def capped(reached: DataFrame, most: int, root_counts: bool = True) -> DataFrame:
@@ -69,15 +93,16 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 32) -> Da
     nodes = steps.select(F.col("a").alias("n")).unionByName(steps.select("b").withColumnRenamed("b", "n")).distinct()
     ends = pairs.join(nodes.withColumnRenamed("n", "src"), "src", "left_semi").join(nodes.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst").distinct()
     front = checkpointed(ends.select("src", F.col("src").alias("node"), F.array("src").alias("path")).distinct())
-    seen = front.select("src", "node")
+    hops = Hops(front.select("src", "node"))
     found = checkpointed(front.join(ends, (front.src == ends.src) & (front.node == ends.dst)).select(front.src, "dst", "path"))
     for _ in range(max_depth):
         open_ = ends.join(found, ["src", "dst"], "left_anti").select("src").distinct()
         reached = front.join(open_, "src", "left_semi").join(steps, F.col("node") == F.col("a")).select("src", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        front = checkpointed(reached.join(seen, ["src", "node"], "left_anti").groupBy("src", "node").agg(F.min("path").alias("path")))
+        new = reached.join(hops.all(), ["src", "node"], "left_anti").groupBy("src", "node").agg(F.min("path").alias("path"))
+        front = checkpointed(new)
         if front.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(front.select("src", "node")))
+        hops.add(front.select("src", "node"))
         hit = front.join(ends, (front.src == ends.src) & (front.node == ends.dst)).select(front.src, "dst", "path")
         found = checkpointed(found.unionByName(hit))
     return found
@@ -123,15 +148,24 @@ def linked(refs: DataFrame, methods: DataFrame) -> DataFrame:
     arity). Where a package hint fits any candidate, only those that it fits count; then two points for the receiver's
     class and one for a positive arity; then the shortest and least fqn.
     """
-    c = methods.select(F.col("project").alias("to_project"), "fqn", F.col("name").alias("c_name"), "class", "package", F.col("arity").alias("c_arity"))
-    pairs = refs.join(c, (F.col("name") == F.col("c_name")) & (F.col("project") != F.col("to_project")))
+    c = methods.select(
+        F.col("project").alias("to_project"), "fqn", F.col("name").alias("c_name"), "class", "package",
+        F.col("arity").alias("c_arity"),
+    )
+    # References that are alike in all that counts meet the candidates once; a name like get or toString has many callers.
+    kinds = ["project", "name", "receiver", "arity", "package_hint"]
+    asked = refs.select(*kinds).distinct()
+    pairs = asked.join(c, (F.col("name") == F.col("c_name")) & (F.col("project") != F.col("to_project")))
     fits = F.coalesce(F.startswith("package", "package_hint"), F.lit(False))
-    key = ["project", "caller", "name", "receiver", "arity", "to_project"]
+    key = [*kinds, "to_project"]
     pairs = pairs.withColumn("_fits", fits).withColumn("_any", F.max("_fits").over(Window.partitionBy(*key)))
     points = F.when(F.col("class") == F.col("receiver"), 2).otherwise(0) + F.when((F.col("arity") > 0) & (F.col("arity") == F.col("c_arity")), 1).otherwise(0)
     best = Window.partitionBy(*key).orderBy(F.desc("points"), F.length("fqn"), "fqn")
     rows = pairs.where("_fits OR NOT _any").withColumn("points", points).withColumn("_k", F.row_number().over(best)).where("_k = 1")
-    return rows.select(*key, "fqn", "points")
+    rows = rows.select(*(F.col(k).alias(f"_{k}") for k in kinds), "to_project", "fqn", "points")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in kinds))
+    out = ["project", "caller", "name", "receiver", "arity", "to_project", "fqn", "points"]
+    return refs.join(rows, same).select(*out).distinct()
 
 
 def package_hint(imports, name):
@@ -148,12 +182,19 @@ def module_listing(modules: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def boundary(own: DataFrame, cross: DataFrame, unresolved: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(entries, exits): own methods (node) that linked projects call, and the first unresolved references with their total."""
+    """(entries, exits): own methods (node) that linked projects call, and the first unresolved references with their
+    total."""
     entries = own.join(cross.select(F.col("dst").alias("node")), "node", "left_semi")
-    exits = unresolved.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy("caller", "name").limit(most)
+    exits = unresolved.orderBy("caller", "name").limit(most).withColumn("total", F.lit(unresolved.count()).cast("long"))
     return entries, exits
 
 
+def stamps(edges: DataFrame) -> DataFrame:
+    """(edge_type, edges, stamp): sums over hashes of all edges, so that any edge added, removed or changed shows."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws(">", "src", "dst")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return edges.groupBy("edge_type").agg(F.count("*").alias("edges"), F.sum(digits).cast("string").alias("stamp"))
+
+
 def symmetric(links: DataFrame) -> DataFrame:
     """Project links (a, b) both ways, once."""
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()

@@ -21,12 +21,13 @@ def by_prefix(docs: DataFrame, column: str, prefix: str, most: int = 50) -> Data
 def did_you_mean(docs: DataFrame, words: DataFrame, edits: int = 2, top: int = 5) -> DataFrame:
     """(query_id, rank, name, distance): indexed names within ``edits`` of each probe word of three characters or more.
 
-    ``words`` is the query batch (query_id, text), which is broadcast; only lengths that can be near are compared.
+    ``words`` is the query batch (query_id, text). A probe meets the names of the lengths that can be near.
     """
     probe = F.lower(F.regexp_extract(F.trim("text"), r"^([^\s#.(]*)", 1))
     q = words.select("query_id", probe.alias("probe")).where(F.length("probe") >= 3)
     names = docs.select(F.explode(F.array("name", "class_name")).alias("name")).where("name <> ''").distinct().withColumn("low", F.lower("name"))
-    pairs = names.join(F.broadcast(q), F.abs(F.length("low") - F.length("probe")) <= edits)
+    q = q.withColumn("_length", F.explode(F.sequence(F.length("probe") - edits, F.length("probe") + edits)))
+    pairs = names.join(q, F.length("low") == F.col("_length"))
     near = pairs.withColumn("distance", F.levenshtein("low", "probe")).where(F.col("distance") <= edits)
     best = Window.partitionBy("query_id").orderBy("distance", "name")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "name", "distance")
@@ -36,7 +37,7 @@ def token_hits(docs: DataFrame, words: DataFrame, fields: tuple[str, ...]) -> Da
     """(query_id, token, found): whether each word of queries with several occurs anywhere."""
     q = words.select("query_id", X.tokens(F.col("text")).alias("t")).where(F.size("t") > 1).select("query_id", F.explode("t").alias("token")).where(F.length("token") >= 3).distinct()
     every = docs.select(F.explode(F.array_distinct(F.flatten(F.array(*(X.tokens(F.col(f)) for f in fields))))).alias("token"))
-    known = every.join(F.broadcast(q.select("token").distinct()), "token", "left_semi").distinct().withColumn("found", F.lit(True))
+    known = every.join(q.select("token").distinct(), "token", "left_semi").distinct().withColumn("found", F.lit(True))
     return q.join(known, "token", "left").select("query_id", "token", F.coalesce("found", F.lit(False)).alias("found"))
 
 

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codequery.functions import text as X
+from codequery.session import checkpointed
 
 STAT_WEIGHT, POSITION_WEIGHT, WINDOW, TOP = 0.4, 0.6, 5, 10
 #: Stop words of characteristic terms.
-STOP_WORDS = (
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with from about also just only very over under after before between during through without within "
-    "against which who what when where how than can may might each one two per i e g etc eg ie returns return param throws method class interface object instance type value result list array map null true false public private protected static"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on",
+    "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with", "from",
+    "about", "also", "just", "only", "very", "over", "under", "after", "before", "between", "during", "through", "without",
+    "within", "against", "which", "who", "what", "when", "where", "how", "than", "can", "may", "might", "each", "one",
+    "two", "per", "i", "e", "g", "etc", "eg", "ie", "returns", "return", "param", "throws", "method", "class", "interface",
+    "object", "instance", "type", "value", "result", "list", "array", "map", "null", "true", "false", "public", "private",
+    "protected", "static",
+]
 
 
 def terms_of(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """(doc_id, field, term) once each, without short, dotted or stop words."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    fine = lambda t: (F.length(t) >= 3) & ~F.contains(t, F.lit(".")) & ~F.array_contains(stop, t)
+    fine = lambda t: (F.length(t) >= 3) & ~F.contains(t, F.lit(".")) & ~t.isin(STOP_WORDS)
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.array_distinct(F.filter(X.tokens(F.col(f)), fine)).alias("t")) for f in fields)))
     return docs.select("doc_id", each.alias("f")).select("doc_id", "f.field", F.explode("f.t").alias("term"))
 
@@ -31,7 +36,7 @@ def background(terms: DataFrame) -> DataFrame:
 
 def characteristic(docs: DataFrame, ranked: DataFrame, fields: tuple[str, ...], top: int = TOP, window: int = WINDOW) -> DataFrame:
     """Of each query's ranked documents the terms that set them apart: frequency against all documents, and early ranks."""
-    every = terms_of(docs, fields)
+    every = checkpointed(terms_of(docs, fields))  # the texts are read once; what it keeps is an inverted table's keys
     n_docs = docs.count()
     ahead = ranked.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
     hits = every.join(ahead.select("query_id", "doc_id", "rank", "n"), "doc_id").select("query_id", "doc_id", "term", "rank", "n").distinct()
@@ -74,9 +79,8 @@ def acronyms(docs: DataFrame, text: str) -> DataFrame:
 def bigrams(docs: DataFrame, key: str, text: str, percent: float = 10) -> DataFrame:
     """(key, bigram, ppmi): of each key's joined neighbouring words those that are likelier in it than in all, the best ``percent``."""
     t = F.col("t")
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
     pair = F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.struct(F.get(t, i).alias("a"), F.get(t, i + 1).alias("b")))
-    content = lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)
+    content = lambda w: (F.length(w) >= 3) & ~w.isin(STOP_WORDS)
     fine = lambda p: (F.length(p["a"]) >= 2) & (F.length(p["b"]) >= 2) & (content(p["a"]) | content(p["b"])) & (F.length(p["a"]) + F.length(p["b"]) >= 4)
     rows = docs.select(F.col(key).alias("key"), X.tokens(F.col(text)).alias("t")).where(F.size("t") >= 2)
     rows = rows.select("key", F.explode(F.transform(F.filter(pair, fine), lambda p: F.concat(p["a"], p["b"]))).alias("bigram"))
@@ -86,9 +90,23 @@ def bigrams(docs: DataFrame, key: str, text: str, percent: float = 10) -> DataFr
     n_keys = sizes.count()
     out = tf.join(df, "bigram").join(sizes, "key")
     out = out.withColumn("ppmi", F.round(F.log((F.col("tf") / F.col("len")) / (F.col("df") / F.lit(n_keys))), 6)).where("ppmi > 0")
-    w = Window.partitionBy("key")
-    out = out.withColumn("k", F.row_number().over(w.orderBy(F.desc("ppmi"), "bigram"))).withColumn("m", F.count("*").over(w))
-    return out.where(F.col("k") <= F.greatest(F.lit(1), F.ceil(F.col("m") * percent / 100))).select("key", "bigram", "ppmi")
+    return best_share(checkpointed(out.select("key", "bigram", "ppmi")), "key", "ppmi", "bigram", percent)
+
+
+def best_share(rows: DataFrame, key: str, score: str, name: str, percent: float) -> DataFrame:
+    """Of each key's rows the best ``percent`` by score, one at least, ties by name. Whole values of the score are taken
+    by their counts; only the value at the cut is ranked by name, so that no task sorts the rows of a large key."""
+    counts = rows.groupBy(F.col(key).alias("_key"), F.col(score).alias("_score")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_key").orderBy(F.desc("_score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    most = F.greatest(F.lit(1), F.ceil(F.sum("_n").over(Window.partitionBy("_key")) * percent / 100))
+    counts = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_left", most - F.col("_upto") + F.col("_n"))
+    counts = counts.where("_left > 0").select("_key", "_score", "_n", "_left")
+    found = rows.join(counts, (F.col(key) == F.col("_key")) & (F.col(score) == F.col("_score")))
+    own = [F.col(c) for c in rows.columns]
+    whole = found.where("_n <= _left").select(*own)
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(name))
+    cut = found.where("_n > _left").withColumn("_k", nth).where("_k <= _left").select(*own)
+    return whole.unionByName(cut)
 
 
 def tf_idf(docs: DataFrame, key: str, text: str, top: int = TOP) -> DataFrame:
@@ -128,13 +146,28 @@ def redundant(rules: DataFrame, hits: DataFrame) -> DataFrame:
     return rules.join(hits.select("lhs", F.col("target").alias("rhs")), ["lhs", "rhs"], "left_anti")
 
 
-def co_callers(edges: DataFrame, least: float = 0.05, most_degree: int | None = None) -> DataFrame:
-    """(a, b, jaccard) of nodes that share callers. Pairs meet by caller; a caller of very many is split by its callees' hash by the join."""
+def co_callers(edges: DataFrame, least: float = 0.05) -> DataFrame:
+    """(a, b, jaccard) of nodes that share callers, at least so similar.
+
+    Prefixes keep hubs from meeting all against all: with callers in the order of their degrees, a pair so similar must
+    share one of the first ``n - ceil(least * n) + 1`` callers of either, and sizes must be within ``least`` of each
+    other. Pairs that meet so are then counted in full.
+    """
     e = edges.select("src", "dst").distinct()
-    size = e.groupBy("dst").agg(F.count("*").alias("n"))
-    pairs = e.alias("x").join(e.alias("y"), (F.col("x.src") == F.col("y.src")) & (F.col("x.dst") < F.col("y.dst"))).groupBy(F.col("x.dst").alias("a"), F.col("y.dst").alias("b")).agg(F.count("*").alias("both"))
-    out = pairs.join(size.select(F.col("dst").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("dst").alias("b"), F.col("n").alias("nb")), "b")
-    return out.withColumn("jaccard", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6)).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    degree = e.groupBy(F.col("src").alias("_s")).agg(F.count("*").alias("_d"))
+    rows = e.join(degree, F.col("src") == F.col("_s")).groupBy("dst")
+    sets = checkpointed(rows.agg(F.array_sort(F.collect_list(F.struct("_d", "src"))).alias("callers"), F.count("*").alias("n")))
+    first = F.slice("callers", F.lit(1), (F.col("n") - F.ceil(least * F.col("n")) + 1).cast("int"))
+    heads = sets.select("dst", "n", F.explode(first).alias("c")).select("dst", "n", F.col("c.src").alias("src"))
+    x, y = heads.alias("x"), heads.alias("y")
+    near = (F.col("x.n") >= least * F.col("y.n")) & (F.col("y.n") >= least * F.col("x.n"))
+    pairs = x.join(y, (F.col("x.src") == F.col("y.src")) & (F.col("x.dst") < F.col("y.dst")) & near)
+    pairs = pairs.select(F.col("x.dst").alias("a"), F.col("y.dst").alias("b")).distinct()
+    of = lambda end: sets.select(F.col("dst").alias(end), F.transform("callers", lambda c: c["src"]).alias(f"_{end}"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    out = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", both)
+    share = F.round(F.col("both") / (F.size("_a") + F.size("_b") - F.col("both")), 6)
+    return out.select("a", "b", share.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def npmi(pairs: DataFrame, least: int = 2) -> DataFrame:

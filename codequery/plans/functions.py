@@ -113,7 +113,7 @@ def f23_first_sentence(spark, sf_dir):
 
 def f24_normal_terms(spark, sf_dir):
     stop = F.array(F.lit("the"), F.lit("and"), F.lit("with"))
-    d = table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("t"))
     return d.select("doc_id", X.normal_term(F.col("t"), stop).alias("term")).where("term IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("n_distinct"))
 
 
@@ -322,7 +322,7 @@ def oracle_sql() -> dict[str, str]:
     asks = f"q AS (SELECT * FROM (VALUES {_values(ASKS)}) v(query_id, text))"
     scope = "CASE {c} WHEN regexp_matches(file_path, '\\.(md|txt|yml|adoc|yaml|sh|xml)$') THEN 'docs' WHEN contains(file_path, '/src/test/') OR contains(file_path, '/test/') OR contains(file_path, '/benchmark/') OR contains(file_path, '/jmh/') THEN 'test' ELSE 'prod' END"
     scope_of = lambda c: scope.replace("{c}", c)
-    phrases = "ph AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{i}')" for i, ps in U.INTENTS.items() for p in ps.split("|")) + ") v(phrase, intent))"
+    phrases = "ph AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{i}')" for p, i in U.INTENT_PHRASES) + ") v(phrase, intent))"
     grams = "w AS (SELECT query_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9#@]+', ' ', 'g')), ' ') AS w FROM q), s AS (SELECT query_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), g AS (SELECT query_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM s, (VALUES (1), (2), (3), (4)) v(n)), tag AS (SELECT query_id, arg_min(intent, i * 10 - n) AS intent FROM g JOIN ph USING (phrase) GROUP BY query_id)"
     words = "regexp_split_to_array(trim(text), '\\s+')"
     any_ = lambda c: f"len(list_filter({words}, lambda w: {c})) > 0"
@@ -357,7 +357,7 @@ lw AS (SELECT DISTINCT query_id, doc_id, line, unnest({sql_tokens('t')}) AS term
         "f20_field_name": f"SELECT x, substr(regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 64) AS field FROM (VALUES {v(['BAAI/bge-small-en-v1.5', 'a..b', '--x--', 'm' * 80])}) t(x)",
         "f22_first_word": f"SELECT x, lower(regexp_extract(x, '^.[^A-Z]*', 0)) AS word FROM {names}",
         "f23_first_sentence": "SELECT doc_id, substr(trim(regexp_extract(text, '(?s)^(.*?)(?:\\.\\s|\\.$|$)', 1)), 1, 200) AS sentence FROM documents",
-        "f24_normal_terms": f"WITH t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS t FROM documents WHERE doc_id < 50), n AS (SELECT doc_id, regexp_replace(lower(t), '^[0-9]+|[0-9]+$', '', 'g') AS term FROM t) SELECT doc_id, count(*) AS n, count(DISTINCT term) AS n_distinct FROM n WHERE length(term) >= 3 AND term NOT IN ('the', 'and', 'with') GROUP BY doc_id",
+        "f24_normal_terms": f"WITH t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS t FROM documents), n AS (SELECT doc_id, regexp_replace(lower(t), '^[0-9]+|[0-9]+$', '', 'g') AS term FROM t) SELECT doc_id, count(*) AS n, count(DISTINCT term) AS n_distinct FROM n WHERE length(term) >= 3 AND term NOT IN ('the', 'and', 'with') GROUP BY doc_id",
         "f28_collision_probability": f"SELECT e.vec_id AS doc_id, round(pow(1 - acos(greatest(-1, least(1, {P._cos('e.embedding', 'q.embedding')}))) / pi(), 8), 6) AS p FROM embeddings e, embeddings q WHERE q.vec_id = 0",
         "s3_project_name": f"SELECT x, regexp_replace(x, '-\\d+(\\.\\d+)*$', '') AS name FROM (VALUES {v(['lucene-10.4.0', 'app-1', 'tool', 'a-b-2.x', 'x-1.2-3.4'])}) t(x)",
         "u1_intents": f"WITH {asks}, {phrases}, {grams} SELECT query_id, intent FROM q LEFT JOIN tag USING (query_id)",

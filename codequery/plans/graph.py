@@ -126,14 +126,14 @@ def g16_induced_subgraph(spark, sf_dir):
 def g17_cross_project_links(spark, sf_dir):
     """Customers refer to suppliers by the last digit of their key; segment, nation and region stand for receiver and package."""
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    refs = c.where("c_custkey % 10 = 0").select(F.col("c_mktsegment").alias("project"), F.col("c_name").alias("caller"), (F.expr("c_custkey div 10") % 10).cast("string").alias("name"), (F.col("c_nationkey") % 5).cast("string").alias("receiver"), (F.col("c_nationkey") % 3).cast("long").alias("arity"), (F.col("c_nationkey") % 4).cast("string").alias("package_hint"))
+    refs = c.select(F.col("c_mktsegment").alias("project"), F.col("c_name").alias("caller"), (F.expr("c_custkey div 10") % 10).cast("string").alias("name"), (F.col("c_nationkey") % 5).cast("string").alias("receiver"), (F.col("c_nationkey") % 3).cast("long").alias("arity"), (F.col("c_nationkey") % 4).cast("string").alias("package_hint"))
     m = s.select(F.lit("SUPPLIERS").alias("project"), F.col("s_name").alias("fqn"), (F.col("s_suppkey") % 10).cast("string").alias("name"), (F.col("s_nationkey") % 5).cast("string").alias("class"), (F.col("s_nationkey") % 7).cast("string").alias("package"), (F.col("s_suppkey") % 3).cast("long").alias("arity"))
     return G.linked(refs, m)
 
 
 def g18_freshness(spark, sf_dir):
     """A stamp of each type graph, equal as long as its edges are."""
-    return _types(spark, sf_dir).groupBy("edge_type").agg(F.count("*").alias("edges"), F.max(F.md5(F.concat_ws(">", "src", "dst"))).alias("stamp"))
+    return G.stamps(_types(spark, sf_dir))
 
 
 def _deps(spark, sf_dir):
@@ -177,7 +177,20 @@ def g24_module_resolve(spark, sf_dir):
 def g25_module_boundary(spark, sf_dir):
     own = table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("node"))
     cross = part_edges(spark, sf_dir).join(own, F.col("src") == F.col("node"), "left_anti")
-    return G.boundary(own, cross, spark.createDataFrame([], "caller string, name string"))[0]
+    return G.boundary(own, cross, _unresolved(spark, sf_dir))[0]
+
+
+def _unresolved(spark, sf_dir):
+    """Parts that no order line has as their second one or later, as references to what nothing declares."""
+    e = part_edges(spark, sf_dir)
+    p = table(spark, sf_dir, "part").where("p_size > 45").select(F.col("p_partkey").alias("dst"))
+    return e.join(p, "dst", "left_semi").select(F.lpad(F.col("src").cast("string"), 9, "0").alias("caller"), F.lpad(F.col("dst").cast("string"), 9, "0").alias("name"))
+
+
+def g25_module_exits(spark, sf_dir):
+    """The first unresolved references, and how many there are."""
+    own = spark.createDataFrame([], "node long")
+    return G.boundary(own, part_edges(spark, sf_dir), _unresolved(spark, sf_dir))[1]
 
 
 def g26_project_links(spark, sf_dir):
@@ -210,7 +223,7 @@ SELECT p.src, p.dst, array_to_string(arg_min(path, (d, path)), '>') AS path FROM
 
 def oracle_sql() -> dict[str, str]:
     roots = f"({', '.join(map(str, ROOTS))})"
-    refs = "refs AS (SELECT c_mktsegment AS project, c_name AS caller, ((c_custkey // 10) % 10)::VARCHAR AS name, (c_nationkey % 5)::VARCHAR AS receiver, (c_nationkey % 3)::BIGINT AS arity, (c_nationkey % 4)::VARCHAR AS hint FROM customer WHERE c_custkey % 10 = 0)"
+    refs = "refs AS (SELECT c_mktsegment AS project, c_name AS caller, ((c_custkey // 10) % 10)::VARCHAR AS name, (c_nationkey % 5)::VARCHAR AS receiver, (c_nationkey % 3)::BIGINT AS arity, (c_nationkey % 4)::VARCHAR AS hint FROM customer)"
     m = "m AS (SELECT 'SUPPLIERS' AS to_project, s_name AS fqn, (s_suppkey % 10)::VARCHAR AS c_name, (s_nationkey % 5)::VARCHAR AS class, (s_nationkey % 7)::VARCHAR AS package, (s_suppkey % 3)::BIGINT AS c_arity FROM supplier)"
     both = "(SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
     walk = "(SELECT src AS a, dst AS b FROM deps)"
@@ -236,13 +249,14 @@ def oracle_sql() -> dict[str, str]:
         "g15_class_degrees": f"WITH {EDGES}, l AS (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand), d AS (SELECT dst, count(*) AS n FROM l GROUP BY dst) SELECT p_brand AS class, count(*) AS methods, coalesce(max(n), 0) AS in_degree FROM part LEFT JOIN d ON dst = p_brand GROUP BY p_brand",
         "g16_induced_subgraph": f"WITH {EDGES}, t AS (SELECT dst AS node FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 100) SELECT src, dst FROM edges WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)",
         "g17_cross_project_links": f"WITH {refs}, {m}, p AS (SELECT *, starts_with(package, hint) AS fits FROM refs JOIN m ON name = c_name), a AS (SELECT *, bool_or(fits) OVER (PARTITION BY project, caller, name, receiver, arity, to_project) AS anyfit FROM p), s AS (SELECT *, (CASE WHEN class = receiver THEN 2 ELSE 0 END + CASE WHEN arity > 0 AND arity = c_arity THEN 1 ELSE 0 END)::INTEGER AS points FROM a WHERE fits OR NOT anyfit) SELECT project, caller, name, receiver, arity, to_project, fqn, points FROM s QUALIFY row_number() OVER (PARTITION BY project, caller, name, receiver, arity, to_project ORDER BY points DESC, length(fqn), fqn) = 1",
-        "g18_freshness": f"WITH {_TYPES} SELECT edge_type, count(*) AS edges, max(md5(src || '>' || dst)) AS stamp FROM types GROUP BY edge_type",
+        "g18_freshness": f"WITH {_TYPES} SELECT edge_type, count(*) AS edges, sum(('0x' || substr(md5(src || '>' || dst), 1, 12))::BIGINT)::VARCHAR AS stamp FROM types GROUP BY edge_type",
         "g20_module_dependencies": f"WITH {_DEPS} SELECT src AS module, dst AS other, 'needs' AS kind FROM deps UNION ALL SELECT dst, src, 'used_by' FROM deps",
         "g21_module_closure": closure,
         "g22_module_path": f"WITH {_DEPS}, " + _path(walk, "deps", 6, ""),
         "g23_module_listing": f"WITH {_DEPS} SELECT n_name AS module_key, n_regionkey AS status, (SELECT count(DISTINCT dst) FROM deps WHERE src = n_name) AS needs, (SELECT count(DISTINCT src) FROM deps WHERE dst = n_name) AS used_by FROM nation",
         "g24_module_resolve": "WITH q AS (SELECT n_name AS q FROM nation UNION SELECT r_name FROM region) SELECT q, coalesce((SELECT any_value(n_name) FROM nation WHERE n_name = q), (SELECT min(n_name) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = q)) AS module_key FROM q",
         "g25_module_boundary": f"WITH {EDGES}, own AS (SELECT p_partkey AS node FROM part WHERE p_size <= 10) SELECT node FROM own WHERE node IN (SELECT dst FROM edges WHERE src NOT IN (SELECT node FROM own))",
+        "g25_module_exits": f"WITH {EDGES}, u AS (SELECT lpad(src::VARCHAR, 9, '0') AS caller, lpad(dst::VARCHAR, 9, '0') AS name FROM edges WHERE dst IN (SELECT p_partkey FROM part WHERE p_size > 45)) SELECT *, (SELECT count(*) FROM u) AS total FROM u ORDER BY caller, name LIMIT 200",
         "g26_project_links": f"WITH {_DEPS} SELECT src AS a, dst AS b FROM deps UNION SELECT dst, src FROM deps",
     }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codequery.operators import index as K
 from codequery.plans.views import DOCS, EDGES, documents, part_edges, table
-from codequery.session import shared_dir
+from codequery.session import checkpointed, deleted, shared_dir
 
 
 def _snapshots(spark, sf_dir):
@@ -79,12 +79,12 @@ def k12_evicted(spark, sf_dir):
 
 def _modules(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    old = c.where("c_custkey <= 80").select(F.concat(F.lit("g:a"), (F.col("c_custkey") % 50).cast("string")).alias("module_key"), F.col("c_custkey").cast("string").alias("version"), F.when(F.col("c_nationkey") % 2 == 0, "EXTERNAL").otherwise("INDEXED").alias("status"))
-    new = s.where("s_suppkey <= 90").select(F.concat(F.lit("g:a"), F.col("s_suppkey").cast("string")).alias("module_key"), F.lit("9").alias("version"), F.when(F.col("s_suppkey") % 3 == 0, "INDEXED").otherwise("EXTERNAL").alias("status"))
+    old = c.select(F.concat(F.lit("g:a"), (F.col("c_custkey") % 50).cast("string")).alias("module_key"), F.col("c_custkey").cast("string").alias("version"), F.when(F.col("c_nationkey") % 2 == 0, "EXTERNAL").otherwise("INDEXED").alias("status"))
+    new = s.select(F.concat(F.lit("g:a"), F.col("s_suppkey").cast("string")).alias("module_key"), F.lit("9").alias("version"), F.when(F.col("s_suppkey") % 3 == 0, "INDEXED").otherwise("EXTERNAL").alias("status"))
     return old, new
 
 
-_MODS = "old AS (SELECT 'g:a' || (c_custkey % 50) AS module_key, c_custkey::VARCHAR AS version, CASE WHEN c_nationkey % 2 = 0 THEN 'EXTERNAL' ELSE 'INDEXED' END AS status, 0 AS o FROM customer WHERE c_custkey <= 80), new AS (SELECT 'g:a' || s_suppkey AS module_key, '9' AS version, CASE WHEN s_suppkey % 3 = 0 THEN 'INDEXED' ELSE 'EXTERNAL' END AS status, 1 AS o FROM supplier WHERE s_suppkey <= 90)"
+_MODS = "old AS (SELECT 'g:a' || (c_custkey % 50) AS module_key, c_custkey::VARCHAR AS version, CASE WHEN c_nationkey % 2 = 0 THEN 'EXTERNAL' ELSE 'INDEXED' END AS status, 0 AS o FROM customer), new AS (SELECT 'g:a' || s_suppkey AS module_key, '9' AS version, CASE WHEN s_suppkey % 3 = 0 THEN 'INDEXED' ELSE 'EXTERNAL' END AS status, 1 AS o FROM supplier)"
 
 
 def k13_modules(spark, sf_dir):
@@ -99,7 +99,7 @@ def k13_dependencies(spark, sf_dir):
 
 def k14_linked_modules(spark, sf_dir):
     m = _modules(spark, sf_dir)[0].groupBy("module_key").agg(F.min("status").alias("status")).withColumn("project", F.lit(None).cast("string"))
-    p = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(F.lit("g").alias("group_id"), F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("artifact_id"), F.col("s_name").alias("project"))
+    p = table(spark, sf_dir, "supplier").select(F.lit("g").alias("group_id"), F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("artifact_id"), F.col("s_name").alias("project"))
     return K.linked_modules(m, p)
 
 
@@ -134,7 +134,9 @@ def k19_usage_log(spark, sf_dir):
     folder = f"{shared_dir(spark).rstrip('/')}/usage-{uuid.uuid4().hex}"
     for half in (0, 1):
         e.where(F.col("user_id") % 2 == half).write.mode("append").json(folder)
-    return spark.read.schema("user_id long, event_type string, event_id long").json(folder)
+    out = checkpointed(spark.read.schema("user_id long, event_type string, event_id long").json(folder))
+    deleted(spark, folder)
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
@@ -154,7 +156,7 @@ def oracle_sql() -> dict[str, str]:
         "k12_evicted": f"WITH {EDGES} SELECT src, dst FROM edges WHERE src % 5 NOT IN (0, 3)",
         "k13_modules": f"WITH {_MODS} SELECT module_key, version, status FROM (SELECT * FROM old UNION ALL SELECT * FROM new) QUALIFY row_number() OVER (PARTITION BY module_key ORDER BY (status = 'INDEXED') DESC, o, version) = 1",
         "k13_dependencies": "WITH r AS (SELECT o_custkey % 20 AS src, o_orderkey % 20 AS dst, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus ELSE 'compile' END AS scope, CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE o_orderpriority END AS declared_version, o_orderkey % 2 AS o FROM orders) SELECT src, dst, scope, declared_version FROM r QUALIFY row_number() OVER (PARTITION BY src, dst, scope ORDER BY o, declared_version) = 1",
-        "k14_linked_modules": f"WITH {_MODS}, m AS (SELECT module_key, min(status) AS status FROM old GROUP BY module_key), p AS (SELECT 'g:a' || s_suppkey AS module_key, s_name FROM supplier WHERE s_suppkey <= 20) SELECT m.module_key, CASE WHEN s_name IS NOT NULL THEN 'INDEXED' ELSE status END AS status, s_name AS project FROM m LEFT JOIN p USING (module_key)",
+        "k14_linked_modules": f"WITH {_MODS}, m AS (SELECT module_key, min(status) AS status FROM old GROUP BY module_key), p AS (SELECT 'g:a' || s_suppkey AS module_key, s_name FROM supplier) SELECT m.module_key, CASE WHEN s_name IS NOT NULL THEN 'INDEXED' ELSE status END AS status, s_name AS project FROM m LEFT JOIN p USING (module_key)",
         "k16_second_model": "SELECT model, count(*) AS n, max(dims)::INTEGER AS dims FROM documents, (VALUES ('m16', 16), ('m8', 8)) v(model, dims) GROUP BY model",
         "k17_backfill": "SELECT sha256(split_part(coalesce(text, ''), chr(10), 1)) AS key, count(*) AS n, max(len(embedding))::INTEGER AS dims FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY 1",
         "k18_invalidated": f"WITH {_SNAP} SELECT path || CASE WHEN doc_id % 3 = 1 THEN '.md' ELSE '.java' END AS path, CASE WHEN doc_id % 3 <> 1 THEN CASE doc_id % 4 WHEN 0 THEN 'm1' WHEN 1 THEN 'm2' END END AS model_fingerprint FROM d WHERE {has}",

@@ -18,7 +18,7 @@ def a1_characteristic_terms(spark, sf_dir):
 
 
 def a2_background(spark, sf_dir):
-    return M.background(M.terms_of(documents(spark, sf_dir).where("doc_id % 5 = 0"), ("name", "javadoc", "signature"))).where("df >= 2")
+    return M.background(M.terms_of(documents(spark, sf_dir), ("name", "javadoc", "signature"))).where("df >= 2")
 
 
 def a3_name_grams(spark, sf_dir):
@@ -40,7 +40,7 @@ def a5_bigrams(spark, sf_dir):
 def a6_class_terms(spark, sf_dir):
     """Characteristic terms of each class, shared by three classes at most."""
     d = documents(spark, sf_dir)
-    order = d.where("doc_id % 50 < 6").select((F.col("doc_id") % 50).cast("int").alias("query_id"), "doc_id", F.row_number().over(E.Window.partitionBy(F.col("doc_id") % 50).orderBy("doc_id")).alias("rank"))
+    order = d.select((F.col("doc_id") % 50).cast("int").alias("query_id"), "doc_id", F.row_number().over(E.Window.partitionBy(F.col("doc_id") % 50).orderBy("doc_id")).alias("rank"))
     found = M.characteristic(d, order, ("javadoc",), top=5).select(F.col("term").alias("lhs"), F.concat(F.lit("C"), F.col("query_id").cast("string")).alias("rhs"), F.col("fg").alias("n"))
     return M.limited_fan_out(found, 3, 2)
 
@@ -67,7 +67,7 @@ def a8_redundant_rules(spark, sf_dir):
     hits = R.bm25(d, R.batch(spark, [(1, "anea"), (2, "license")]), 5)
     names = spark.createDataFrame([(1, "anea"), (2, "license")], "query_id int, lhs string")
     best = hits.join(names, "query_id").select("lhs", F.col("doc_id").alias("target"))
-    rules = d.where("doc_id < 40").select(F.when(F.col("doc_id") % 2 == 0, "anea").otherwise("license").alias("lhs"), F.col("doc_id").alias("rhs"))
+    rules = d.select(F.when(F.col("doc_id") % 2 == 0, "anea").otherwise("license").alias("lhs"), F.col("doc_id").alias("rhs"))
     return M.redundant(rules, best)
 
 
@@ -76,7 +76,7 @@ def a9_tf_idf(spark, sf_dir):
 
 
 def a10_co_callers(spark, sf_dir):
-    return M.co_callers(part_edges(spark, sf_dir).where("src <= 200"), 0.05)
+    return M.co_callers(part_edges(spark, sf_dir), 0.05)
 
 
 def a11_npmi(spark, sf_dir):
@@ -218,7 +218,7 @@ bigrams AS (SELECT key, bigram, ppmi FROM (SELECT *, row_number() OVER (PARTITIO
     grid = "SELECT step, query_id, doc_id, round(sum((CASE WHEN list = 0 THEN step::DOUBLE / 10 ELSE 1 - step::DOUBLE / 10 END) * (n - rank + 1)) * CASE WHEN count(DISTINCT list) = 2 THEN 1.5::DOUBLE ELSE 1 END, 6) AS score FROM c, (SELECT unnest(range(0, 11))::INTEGER AS step) GROUP BY step, query_id, doc_id"
     return {
         "a1_characteristic_terms": f"{kw20}, {terms('docs', ('javadoc', 'body'))}{wormhole(10, 'SELECT query_id, rank, doc_id FROM kw').replace('terms', 'wterms')}".replace("terms AS (SELECT doc_id, 'javadoc'", "wterms AS (SELECT doc_id, 'javadoc'") + " SELECT * FROM worm",
-        "a2_background": f"WITH {DOCS}, {terms('(SELECT * FROM docs WHERE doc_id % 5 = 0)', ('name', 'javadoc', 'signature'))} SELECT * FROM (SELECT term, max(c) AS df FROM (SELECT field, term, count(*) AS c FROM terms GROUP BY ALL) GROUP BY term) WHERE df >= 2",
+        "a2_background": f"WITH {DOCS}, {terms('docs', ('name', 'javadoc', 'signature'))} SELECT * FROM (SELECT term, max(c) AS df FROM (SELECT field, term, count(*) AS c FROM terms GROUP BY ALL) GROUP BY term) WHERE df >= 2",
         "a3_name_grams": f"WITH {grams} SELECT gram, class FROM grams",
         "a4_acronyms": rf"""WITH t AS (SELECT * FROM (VALUES {', '.join(f"('{x}')" for x in ACRONYMS)}) v(text)),
 m AS (SELECT regexp_extract(x, '\(([A-Z]{{3,10}})\)$', 1) AS acronym, regexp_extract(x, '^(.*?)\s*\([A-Z]{{3,10}}\)$', 1) AS expansion FROM (SELECT unnest(regexp_extract_all(text, '([a-zA-Z][\w\s-]{{3,35}})\s*\(([A-Z]{{3,10}})\)')) AS x FROM t)
@@ -226,12 +226,12 @@ m AS (SELECT regexp_extract(x, '\(([A-Z]{{3,10}})\)$', 1) AS acronym, regexp_ext
 w AS (SELECT acronym, regexp_split_to_array(trim(expansion), '[\s-]+') AS ws FROM m), s AS (SELECT acronym, ws[greatest(1, len(ws) - length(acronym) + 1):] AS tail FROM w)
 SELECT DISTINCT acronym, lower(array_to_string(tail, ' ')) AS expansion FROM s WHERE upper(array_to_string(list_transform(tail, lambda w: w[1]), '')) = acronym""",
         "a5_bigrams": f"WITH {DOCS}, {bigram} SELECT * FROM bigrams",
-        "a6_class_terms": f"WITH {DOCS}, {terms('docs', ('javadoc',))}{wormhole(5, 'SELECT (doc_id % 50)::INTEGER AS query_id, doc_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS rank FROM docs WHERE doc_id % 50 < 6')} SELECT lhs, rhs, n FROM (SELECT term AS lhs, 'C' || query_id AS rhs, fg AS n, count(*) OVER (PARTITION BY term) AS c FROM worm WHERE fg >= 2) WHERE c <= 3",
+        "a6_class_terms": f"WITH {DOCS}, {terms('docs', ('javadoc',))}{wormhole(5, 'SELECT (doc_id % 50)::INTEGER AS query_id, doc_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS rank FROM docs')} SELECT lhs, rhs, n FROM (SELECT term AS lhs, 'C' || query_id AS rhs, fg AS n, count(*) OVER (PARTITION BY term) AS c FROM worm WHERE fg >= 2) WHERE c <= 3",
         "a7_combined_rules": rules + ", u AS (SELECT lhs, rhs, 1 AS bit FROM g UNION ALL SELECT lhs, rhs, 2 FROM b UNION ALL SELECT lhs, rhs, 4 FROM g WHERE length(lhs) > 8) SELECT lhs, rhs, bit_or(bit)::INTEGER AS sources FROM u WHERE length(lhs) <= 20 AND NOT regexp_matches(lhs, '^[0-9]') GROUP BY ALL",
         "k20_appended_rules": rules + ", n AS (SELECT DISTINCT lhs, rhs FROM (SELECT * FROM g UNION ALL SELECT * FROM b) WHERE length(lhs) >= 4 AND lower(lhs) <> lower(rhs) AND NOT starts_with(lower(lhs), 'test') AND lhs NOT IN (SELECT lhs FROM b)) SELECT lhs, rhs FROM n QUALIFY count(*) OVER (PARTITION BY lhs) <= 2",
-        "a8_redundant_rules": P._bm25(5, [(1, "anea"), (2, "license")]) + ", r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'anea' ELSE 'license' END AS lhs, doc_id AS rhs FROM docs WHERE doc_id < 40) SELECT lhs, rhs FROM r WHERE NOT EXISTS (SELECT 1 FROM kw WHERE kw.doc_id = r.rhs AND (CASE kw.query_id WHEN 1 THEN 'anea' ELSE 'license' END) = r.lhs)",
+        "a8_redundant_rules": P._bm25(5, [(1, "anea"), (2, "license")]) + ", r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'anea' ELSE 'license' END AS lhs, doc_id AS rhs FROM docs) SELECT lhs, rhs FROM r WHERE NOT EXISTS (SELECT 1 FROM kw WHERE kw.doc_id = r.rhs AND (CASE kw.query_id WHEN 1 THEN 'anea' ELSE 'license' END) = r.lhs)",
         "a9_tf_idf": f"WITH {DOCS}, t AS (SELECT lang AS key, unnest({sql_tokens('javadoc')}) AS term FROM docs), tf AS (SELECT key, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT key, term, round(tf * ln((SELECT count(DISTINCT lang) FROM docs)::DOUBLE / df), 6) AS score FROM tf JOIN df USING (term)) SELECT * FROM (SELECT key, (row_number() OVER (PARTITION BY key ORDER BY score DESC, term))::INTEGER AS rank, term, score FROM s) WHERE rank <= 5",
-        "a10_co_callers": f"WITH {EDGES}, e AS (SELECT * FROM edges WHERE src <= 200), z AS (SELECT dst, count(*) AS n FROM e GROUP BY dst), p AS (SELECT x.dst AS a, y.dst AS b, count(*) AS k FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst GROUP BY ALL), j AS (SELECT a, b, round(k::DOUBLE / (za.n + zb.n - k), 6) AS jaccard FROM p JOIN z za ON za.dst = a JOIN z zb ON zb.dst = b) SELECT * FROM j WHERE jaccard >= 0.05",
+        "a10_co_callers": f"WITH {EDGES}, e AS (SELECT * FROM edges), z AS (SELECT dst, count(*) AS n FROM e GROUP BY dst), p AS (SELECT x.dst AS a, y.dst AS b, count(*) AS k FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst GROUP BY ALL), j AS (SELECT a, b, round(k::DOUBLE / (za.n + zb.n - k), 6) AS jaccard FROM p JOIN z za ON za.dst = a JOIN z zb ON zb.dst = b) SELECT * FROM j WHERE jaccard >= 0.05",
         "a11_npmi": "WITH e AS (SELECT user_id AS item, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), ab AS (SELECT DISTINCT * FROM e WHERE b IS NOT NULL), t AS (SELECT count(DISTINCT item)::DOUBLE AS total FROM ab), na AS (SELECT a, count(DISTINCT item) AS na FROM ab GROUP BY a), nb AS (SELECT b, count(DISTINCT item) AS nb FROM ab GROUP BY b), nab AS (SELECT a, b, count(*) AS n FROM ab GROUP BY ALL HAVING count(*) >= 2) SELECT a, b, n, round(CASE WHEN n / total < 1 THEN ln((n / total) / (na / total * nb / total)) / -ln(n / total) ELSE 1 END, 6) AS npmi FROM nab JOIN na USING (a) JOIN nb USING (b), t",
         "a12_languages": f"WITH {DOCS} SELECT coalesce(nullif(lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)), ''), 'other') AS extension, count(*) AS n FROM docs GROUP BY 1".replace("\\\\", "\\"),
         "a13_skeleton": f"WITH {DOCS}, t AS (SELECT * FROM docs WHERE access IN ('public', 'protected') QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY doc_id) <= 10) SELECT class_name, string_agg(name, '; ' ORDER BY doc_id) AS members, count(*) AS n FROM t GROUP BY class_name",

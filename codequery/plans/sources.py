@@ -98,7 +98,7 @@ def s19_rst_chunks(spark, sf_dir):
 
 def s20_paragraphs(spark, sf_dir):
     """Paragraphs of the documents: lines up to a blank one; every document's number and longest."""
-    d = documents(spark, sf_dir).where("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("path"), F.col("body").alias("text"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.col("body").alias("text"))
     return files.paragraph_chunks(d, 3).groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("end") - F.col("start")).alias("longest"))
 
 
@@ -151,7 +151,7 @@ def f18_segmented_words(spark, sf_dir):
 def oracle_sql() -> dict[str, str]:
     return {
         "s14_last_before": "SELECT p.event_id, p.user_id, coalesce((SELECT s.event_id FROM events s WHERE s.user_id = p.user_id AND s.event_type = 'signup' AND s.ts <= p.ts ORDER BY s.ts DESC, s.event_id DESC LIMIT 1), -1) AS signup FROM events p WHERE event_type = 'purchase'",
-        "s20_paragraphs": f"WITH {DOCS}, l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM docs WHERE doc_id % 4 = 0), b AS (SELECT *, trim(t) = '' AS blank, coalesce(lag(trim(t) = '') OVER (PARTITION BY doc_id ORDER BY line), TRUE) AS before FROM l), p AS (SELECT *, sum((NOT blank AND before)::INTEGER) OVER (PARTITION BY doc_id ORDER BY line) AS para FROM b), c AS (SELECT doc_id, para, line, (row_number() OVER (PARTITION BY doc_id, para ORDER BY line) - 1) // 3 AS cut FROM p WHERE NOT blank), s AS (SELECT doc_id, para, cut, max(line) - min(line) AS span FROM c GROUP BY ALL) SELECT doc_id::VARCHAR AS path, count(*) AS n, max(span)::INTEGER AS longest FROM s GROUP BY doc_id",
+        "s20_paragraphs": f"WITH {DOCS}, l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM docs), b AS (SELECT *, trim(t) = '' AS blank, coalesce(lag(trim(t) = '') OVER (PARTITION BY doc_id ORDER BY line), TRUE) AS before FROM l), p AS (SELECT *, sum((NOT blank AND before)::INTEGER) OVER (PARTITION BY doc_id ORDER BY line) AS para FROM b), c AS (SELECT doc_id, para, line, (row_number() OVER (PARTITION BY doc_id, para ORDER BY line) - 1) // 3 AS cut FROM p WHERE NOT blank), s AS (SELECT doc_id, para, cut, max(line) - min(line) AS span FROM c GROUP BY ALL) SELECT doc_id::VARCHAR AS path, count(*) AS n, max(span)::INTEGER AS longest FROM s GROUP BY doc_id",
         "s23_page_links": "SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) GROUP BY ALL",
     }
 
