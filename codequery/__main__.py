@@ -10,7 +10,10 @@ from pyspark.sql import SparkSession
 from codequery.api import CodeIndex
 from codequery.sources import files
 
-QUESTIONS = ("search", "get", "callers", "callees", "impact", "trace", "path", "usages", "subtypes", "skeleton", "languages", "stats", "dependencies", "module_listing", "suggestions")
+QUESTIONS = (
+    "search", "get", "callers", "callees", "impact", "trace", "path", "usages", "subtypes", "links", "skeleton", "languages",
+    "counts", "stamps", "dependencies", "module_listing", "suggestions",
+)
 
 
 def main(argv: list[str] | None = None) -> None:

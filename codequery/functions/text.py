@@ -219,6 +219,25 @@ def linked_classes(comment: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(inline, see), lambda x: F.element_at(F.split(F.substring_index(x, "#", 1), r"\."), -1)))
 
 
+def escaped(query: Column) -> Column:
+    """A query with the signs of the query syntax taken as text."""
+    return F.regexp_replace(query, r'([+\-!(){}\[\]^"~*?:\\/|&])', r"\\$1")
+
+
+def encoded_ranges(ranges: Column) -> Column:
+    """Line ranges (start, end) as bytes: their number, then each start and end, four bytes each, the highest first."""
+    four = lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0")
+    return F.unhex(F.concat(four(F.size(ranges)), F.array_join(F.transform(ranges, lambda r: F.concat(four(r["start"]), four(r["end"]))), "")))
+
+
+def decoded_ranges(raw: Column) -> Column:
+    """The line ranges that ``encoded_ranges`` has written; none of less than four bytes."""
+    at = lambda k: F.conv(F.substr(F.hex(raw), k * 8 + 1, F.lit(8)), 16, 10).cast("long").cast("int")
+    each = F.transform(F.sequence(F.lit(0), at(F.lit(0)) - 1), lambda i: F.struct(at(2 * i + 1).alias("start"), at(2 * i + 2).alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.when(F.coalesce(F.length(raw), F.lit(0)) < 4, none).when(at(F.lit(0)) == 0, none).otherwise(each)
+
+
 def label(doc_type: Column) -> Column:
     """What a result is called; both spellings of a document count."""
     return F.when(doc_type == "class", "class").when(doc_type.isin("doc", "document"), "document").when(doc_type == "chunk", "chunk").otherwise("method")

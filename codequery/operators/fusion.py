@@ -38,6 +38,27 @@ def borda(lists: list[DataFrame], weights: list[float] | None = None, limit: int
     return ranked(sums.select("query_id", "doc_id", (F.col("s") * F.when((F.col("k") == 2) & F.lit(two), AGREEMENT).otherwise(1.0)).alias("score")), limit)
 
 
+#: Weights of words and vectors in the older hybrid, for names and for other queries.
+NAME_WEIGHTS, OTHER_WEIGHTS = (0.8, 0.2), (0.5, 0.5)
+
+
+def camel_hybrid(words: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """The older hybrid: a Borda merge whose weights favour words where the query (query_id, text) names a class or an
+    acronym; without vector hits a query keeps its words' ranking."""
+    named = F.exists(F.split("text", r"\s+"), lambda w: F.rlike(w, F.lit(r"^(?:[A-Z][a-zA-Z0-9]*[a-z][a-zA-Z0-9]*|[A-Z]{3,})$")))
+    kind = queries.select("query_id", named.alias("_named"))
+    rows = tagged([words, vectors]).withColumn("n", F.count("*").over(Window.partitionBy("query_id", "list"))).join(kind, "query_id")
+    pick = lambda i: F.when(F.col("_named"), NAME_WEIGHTS[i]).otherwise(OTHER_WEIGHTS[i])
+    weight = F.when(F.col("list") == 0, pick(0)).otherwise(pick(1))
+    sums = rows.groupBy("query_id", "doc_id").agg(
+        F.sum(weight * (F.col("n") - F.col("rank") + 1)).alias("s"), F.countDistinct("list").alias("k"),
+        F.max(F.when(F.col("list") == 0, F.col("score"))).alias("w"),
+    )
+    both = vectors.select("query_id").distinct().withColumn("_v", F.lit(True))
+    score = F.when(F.col("_v"), F.col("s") * F.when(F.col("k") == 2, AGREEMENT).otherwise(1.0)).otherwise(F.col("w"))
+    return ranked(sums.join(both, "query_id", "left").select("query_id", "doc_id", score.alias("score")), limit)
+
+
 def rrf(lists: list[DataFrame], k: int = RRF_K, limit: int | None = None) -> DataFrame:
     """Reciprocal ranks ``1 / (k + rank)``; of exactly two lists, half as much again for what both hold."""
     sums = tagged(lists).groupBy("query_id", "doc_id").agg(F.sum(1 / (k + F.col("rank"))).alias("s"), F.countDistinct("list").alias("n"))

@@ -97,6 +97,27 @@ def cached(texts: DataFrame, cache: DataFrame, embed: Column) -> DataFrame:
     return rows.join(cache.select("key", "vec").unionByName(new), "key").select("id", "vec")
 
 
+def with_model(vectors: DataFrame, texts: DataFrame, model: str, embed: Column) -> DataFrame:
+    """``vectors`` (model, id, vec) and those of ``texts`` (id, text) by another model; ids that it has already are kept."""
+    had = vectors.where(F.col("model") == model).select("id")
+    new = texts.join(had, "id", "left_anti").select(F.lit(model).alias("model"), "id", embed.alias("vec"))
+    return vectors.select("model", "id", "vec").unionByName(new)
+
+
+def backfilled(vectors: DataFrame, texts: DataFrame) -> DataFrame:
+    """A cache (model, key, vec) of what an index holds: one vector for each text's hash, that of the least id."""
+    rows = vectors.join(texts.select("id", F.sha2("text", 256).alias("key")), "id")
+    return rows.groupBy("model", "key").agg(F.min_by("vec", "id").alias("vec"))
+
+
+def refs_stamp(refs: DataFrame) -> DataFrame:
+    """(project, refs, stamp) of unresolved references (project, caller, name, receiver): sums over their hashes, so that
+    any that comes, goes or changes shows, in whatever order they are."""
+    text = F.concat_ws("\u0001", F.coalesce("caller", F.lit("")), F.coalesce("name", F.lit("")), F.coalesce("receiver", F.lit("")))
+    digits = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
+    return refs.groupBy("project").agg(F.count("*").alias("refs"), F.sum(digits).cast("string").alias("stamp"))
+
+
 def without_project(docs: DataFrame, project: str) -> DataFrame:
     return docs.where(~F.col("project").eqNullSafe(project))
 

@@ -76,6 +76,74 @@ def acronyms(docs: DataFrame, text: str) -> DataFrame:
     return rows.where(fits).select("acronym", F.lower(F.array_join(tail, " ")).alias("expansion")).distinct()
 
 
+def expansion_grams(phrases: DataFrame) -> DataFrame:
+    """(gram, class) of (phrase, class): pairs of content words, the whole phrase, and runs of three words, joined."""
+    words = phrases.select("class", F.split(F.lower(F.trim("phrase")), r"[\s-]+").alias("w"))
+    words = words.withColumn("c", F.filter("w", lambda x: (F.length(x) >= 3) & ~x.isin(STOP_WORDS)))
+    runs = lambda a, n, fine: F.when(F.size(a) >= n, F.filter(F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, F.lit(n)), "")), fine)).otherwise(F.array().cast("array<string>"))
+    plain = lambda least: lambda g: (F.length(g) >= least) & (F.length(g) <= 20) & ~F.rlike(g, F.lit("^[0-9]"))
+    w, c = F.col("w"), F.col("c")
+    whole = F.filter(F.array(F.array_join(w, "")), lambda g: (F.size(w) >= 2) & plain(4)(g))
+    starts = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.when(F.length(F.get(w, i - 1)) >= 2, F.array_join(F.slice(w, i, F.lit(3)), ""))))
+    three = F.coalesce(F.filter(starts, lambda g: g.isNotNull() & plain(6)(g)), F.array().cast("array<string>"))
+    grams = F.concat(runs(c, 2, lambda g: F.length(g) >= 4), whole, three)
+    return words.select(F.explode(grams).alias("gram"), "class").distinct()
+
+
+def initialisms(docs: DataFrame, text: str) -> DataFrame:
+    """(acronym, phrase, class): words of the text whose initials spell a part of the class's name that has no vowel."""
+    parts = F.filter(F.split(X.split_identifier(F.col("class")), " "), lambda p: F.rlike(p, F.lit(r"^[^aeiou]{3,6}$")))
+    clean = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z\s]", " ")), r"\s+")
+    rows = docs.select("class", F.explode(F.array_distinct(parts)).alias("acronym"), clean.alias("w"))
+    n = F.length("acronym")
+    at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+    some = F.transform(at, lambda i: F.slice("w", i, n))
+    fits = lambda s: F.array_join(F.transform(s, lambda x: F.substring(x, 1, 1)), "") == F.col("acronym")
+    found = rows.select("class", "acronym", F.explode(F.filter(some, fits)).alias("s"))
+    return found.select("acronym", F.array_join("s", " ").alias("phrase"), "class").distinct()
+
+
+def link_graph(docs: DataFrame) -> DataFrame:
+    """(lhs, rhs) of (class, comment): the first sentence's terms, and each class's own name, lead to the classes that its
+    comment links to; those lead back to it."""
+    rows = docs.select("class", F.explode(X.linked_classes(F.col("comment"))).alias("to"), X.first_sentence(F.col("comment")).alias("s"))
+    known = docs.select(F.lower("class").alias("_low"), F.col("class").alias("target")).distinct()
+    rows = rows.join(known, F.lower("to") == F.col("_low"))
+    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
+    terms = F.filter(F.transform(X.tokens(F.col("s")), lambda t: X.normal_term(t, stop)), lambda t: t.isNotNull())
+    said = rows.select(F.explode(terms).alias("lhs"), F.col("target").alias("rhs"))
+    there = rows.select(F.lower("class").alias("lhs"), F.col("target").alias("rhs"))
+    back = rows.select(F.lower("target").alias("lhs"), F.col("class").alias("rhs"))
+    return said.unionByName(there).unionByName(back).distinct()
+
+
+#: Parts of package names that say nothing of a class.
+GENERIC_PARTS = (
+    "org", "apache", "lucene", "java", "javax", "com", "net", "util", "core", "search", "index", "store", "analysis",
+    "common", "codec", "codecs", "document", "query", "queries", "test", "tests",
+)
+
+
+def package_paths(classes: DataFrame) -> DataFrame:
+    """(lhs, rhs) of (fqn, class): the parts of a class's package that are not generic lead to it."""
+    parts = F.filter(F.split(F.regexp_replace("fqn", r"\.?[^.]*$", ""), r"\."), lambda p: (F.length(p) >= 3) & ~p.isin(*GENERIC_PARTS))
+    return classes.select(F.explode(F.transform(parts, F.lower)).alias("lhs"), F.col("class").alias("rhs")).distinct()
+
+
+def context_windows(docs: DataFrame, names: DataFrame, text: str, width: int = 5, least: int = 2, top: int = 15) -> DataFrame:
+    """(lhs, rhs, n): of the terms within ``width`` words of a class's name, or of a word of it, those seen ``least``
+    times, the ``top`` of each class. ``docs`` (doc_id, text), ``names`` (token, class)."""
+    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
+    words = docs.select("doc_id", F.posexplode(X.tokens(F.col(text))).alias("pos", "token"))
+    hits = words.join(names.groupBy("token").agg(F.min("class").alias("class")), "token")
+    steps = F.array(*(F.lit(k) for k in range(-width, width + 1) if k))
+    near = hits.select("doc_id", "class", F.explode(F.transform(steps, lambda k: F.col("pos") + k)).alias("pos"))
+    near = near.join(words, ["doc_id", "pos"]).select(X.normal_term(F.col("token"), stop).alias("lhs"), F.col("class").alias("rhs"))
+    found = near.where("lhs IS NOT NULL").groupBy("lhs", "rhs").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rank = F.row_number().over(Window.partitionBy("rhs").orderBy(F.desc("n"), "lhs"))
+    return found.withColumn("_k", rank).where(F.col("_k") <= top).drop("_k")
+
+
 def bigrams(docs: DataFrame, key: str, text: str, percent: float = 10) -> DataFrame:
     """(key, bigram, ppmi): of each key's joined neighbouring words those that are likelier in it than in all, the best ``percent``."""
     t = F.col("t")

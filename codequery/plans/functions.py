@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequery.functions import text as X
+from codequery.operators import index as K
 from codequery.operators import lookup as L
 from codequery.operators import retrieval as R
 from codequery.operators import routing as U
@@ -46,6 +47,22 @@ def f3_query_terms(spark, sf_dir):
     return R.with_synonyms(R.query_terms(R.batch(spark, QUERIES)), s).select("query_id", "term", F.col("at").alias("place"), "n_terms")
 
 
+def f4_escaped(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.escaped(F.col("url")).alias("escaped"))
+
+
+def f21_line_ranges(spark, sf_dir):
+    """Ranges written as bytes and read back."""
+    p = table(spark, sf_dir, "part").withColumn("r", F.transform(F.sequence(F.lit(1), F.col("p_size") % 4), lambda i: F.struct((i * 10).alias("start"), (i * 10 + F.col("p_size")).alias("end"))))
+    raw = X.encoded_ranges(F.when(F.col("p_size") % 4 > 0, F.col("r")).otherwise(F.slice("r", 1, 0)))
+    return p.select("p_partkey", F.hex(raw).alias("raw"), F.array_join(F.transform(X.decoded_ranges(raw), lambda r: F.concat_ws("-", r["start"], r["end"])), ",").alias("ranges"))
+
+
+def f27_refs_stamp(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return K.refs_stamp(c.select(F.col("c_mktsegment").alias("project"), F.col("c_name").alias("caller"), (F.col("c_custkey") % 10).cast("string").alias("name"), F.when(F.col("c_custkey") % 3 > 0, F.lit("T")).alias("receiver")))
+
+
 def f5_identifier_like(spark, sf_dir):
     return _names(spark).select("x", X.is_identifier_like(F.col("x")).alias("yes"))
 
@@ -159,6 +176,10 @@ def u5_classified(spark, sf_dir):
     return U.classified(_asks(spark))
 
 
+#: Where queries of a type go.
+AUTO = {"KEYWORD": "_auto-keyword", "HYBRID": "_auto-hybrid-rrf", "HYBRID_RERANKED": "_auto-hybrid-rrf-reranked", "default": "_auto-hybrid-rrf"}
+
+
 def registry(spark, sf_dir) -> U.Registry:
     """All pipelines over the fixed tables; vectors are looked up by query id."""
     from codequery.operators import fusion as M
@@ -180,7 +201,7 @@ def registry(spark, sf_dir) -> U.Registry:
         make("hybrid-reranked", both, borda, rerankers=[ce, mmr], needs=("vectors", "cross-encoder")), make("_auto-hybrid-rrf-reranked", both, rrf, rerankers=[ce, mmr], needs=("vectors", "cross-encoder")),
         make("hybrid-ce-merge", both, lambda xs, n: M.cross_encoded(xs, texts, asked, P.overlap_score(), n), rerankers=[mmr], needs=("vectors", "cross-encoder")),
         make("hybrid-diverse", both, borda, premerge=[kinds], rerankers=[mmr], oversample=3, needs=("vectors",)), make("hybrid-reranked-diverse", both, borda, premerge=[kinds], rerankers=[ce, mmr], oversample=3, needs=("vectors", "cross-encoder")),
-    ], ("vectors", "cross-encoder"))
+    ], ("vectors", "cross-encoder"), {"auto": AUTO})
 
 
 def u6_pipeline_hybrid_diverse(spark, sf_dir):
@@ -196,9 +217,7 @@ def u8_pipeline_unified(spark, sf_dir):
 
 
 def u9_auto(spark, sf_dir):
-    r = registry(spark, sf_dir)
-    auto = U.Dispatcher({"KEYWORD": r.get("_auto-keyword"), "HYBRID": r.get("_auto-hybrid-rrf"), "HYBRID_RERANKED": r.get("_auto-hybrid-rrf-reranked")}, r.get("_auto-hybrid-rrf"))
-    return auto.run(R.batch(spark, QUERIES), 10)
+    return registry(spark, sf_dir).get("auto").run(R.batch(spark, QUERIES), 10)
 
 
 def u10_pipelines(spark, sf_dir):
@@ -316,6 +335,40 @@ def m5_pair_scores(spark, sf_dir):
     return d.select("doc_id", F.round(P.overlap_score(), 6).alias("score"))
 
 
+#: The kinds of documents, as the pipelines part them.
+KIND = "coalesce(doc_type, 'unknown')"
+_RRF = "SELECT query_id, doc_id, sum(1::DOUBLE / (60 + rank)) * CASE WHEN count(DISTINCT list) = 2 THEN 1.5::DOUBLE ELSE 1.0 END AS score FROM (SELECT 0 AS list, * FROM kw UNION ALL SELECT 1, * FROM kv) GROUP BY query_id, doc_id"
+
+
+def _lists(limit: int, words: str = "kw", vectors: str = "kv") -> str:
+    """The two lists of the fixed queries; the vector of a query is that of its number."""
+    return P._bm25(limit, name=words) + ", " + P._knn((1, 2, 3, 4), limit, vectors)
+
+
+def _diverse(source: str, name: str, key: str) -> str:
+    return f"{name} AS (SELECT query_id, doc_id, score * pow(0.5::DOUBLE, row_number() OVER (PARTITION BY query_id, {key} ORDER BY score DESC, doc_id) - 1) AS score FROM {source} JOIN docs USING (doc_id))"
+
+
+N5_SQL = """
+WITH m AS (SELECT DISTINCT p_brand AS class, string_split(p_name, ' ')[1] || upper(string_split(p_name, ' ')[-1][1]) || lower(string_split(p_name, ' ')[-1][2:]) AS name FROM part),
+w AS (SELECT class, name, lower(regexp_extract(name, '^.[^A-Z]*', 0)) AS word FROM m),
+g AS (SELECT class, name, CASE WHEN count(*) OVER (PARTITION BY class, word) >= 2 THEN word ELSE '(header)' END AS part FROM w)
+SELECT class, part, sha256(string_agg(name, ',' ORDER BY name)) AS names FROM g GROUP BY class, part"""
+
+#: Windows of five lines: the middle of two near hints, two windows for far ones; w = 5, so that a third is 3.
+SNIPPET_SQL = """,
+h AS (SELECT k.query_id, k.doc_id, string_split(body, chr(10)) AS ls, line AS kl, CASE WHEN k.doc_id % 2 = 0 THEN (k.doc_id % 7)::INTEGER END AS vl FROM kw k JOIN docs USING (doc_id) LEFT JOIN best b ON b.query_id = k.query_id AND b.doc_id = k.doc_id),
+c AS (SELECT *, len(ls) AS n, greatest(0, least(len(ls) - 1, kl)) AS k, greatest(0, least(len(ls) - 1, vl)) AS v FROM h),
+a AS (SELECT *, CASE WHEN kl IS NULL THEN v WHEN vl IS NULL THEN k WHEN abs(k - v) <= 2 THEN (k + v) // 2 END AS mid, greatest(0, v - 3) AS vf FROM c),
+t AS (SELECT *, least(n, vf + 6) AS vt FROM a)
+SELECT query_id, doc_id, sha256(CASE
+  WHEN kl IS NULL AND vl IS NULL THEN array_to_string(ls[1:5], chr(10))
+  WHEN mid IS NOT NULL THEN array_to_string(ls[greatest(0, least(mid - 2, n - 5)) + 1:greatest(0, least(mid - 2, n - 5)) + 5], chr(10))
+  WHEN k > v THEN array_to_string(ls[vf + 1:vt], chr(10)) || chr(10) || '// ...' || chr(10) || array_to_string(ls[greatest(vt, k - 1) + 1:greatest(vt, k - 1) + 6], chr(10))
+  ELSE array_to_string(ls[greatest(0, k - 1) + 1:greatest(0, k - 1) + greatest(0, least(6, vf - greatest(0, k - 1)))], chr(10)) || chr(10) || '// ...' || chr(10) || array_to_string(ls[vf + 1:vt], chr(10))
+END) AS snippet FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
     v = lambda rows: ", ".join("('" + x.replace("'", "''") + "')" for x in rows)
     names = f"(SELECT * FROM (VALUES {_values(NAMES)}) v(id, x))"
@@ -345,6 +398,16 @@ lw AS (SELECT DISTINCT query_id, doc_id, line, unnest({sql_tokens('t')}) AS term
         "f1_split_identifier": f"SELECT id, x, {_SPLIT} AS words FROM (SELECT id, x FROM {names} UNION ALL SELECT p_partkey::INTEGER, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') FROM part)",
         "f2_tokens": f"SELECT doc_id, len(t)::INTEGER AS n, len(list_distinct(t))::INTEGER AS n_distinct, list_max(t) AS last FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)",
         "f3_query_terms": f"WITH q AS (SELECT * FROM (VALUES {qs}) v(query_id, text)), qt AS (SELECT query_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS spot FROM (SELECT query_id, {sql_tokens('text')} AS ts FROM q)), t AS (SELECT query_id, term, min(spot) AS spot FROM (SELECT * FROM qt UNION ALL SELECT qt.query_id, unnest(string_split(rhs, ' ')) AS term, qt.spot FROM qt JOIN (VALUES {_values(P.SYNONYMS)}) s(lhs, rhs) ON lhs = qt.term) GROUP BY query_id, term) SELECT query_id, term, spot::INTEGER AS place, count(*) OVER (PARTITION BY query_id) AS n_terms FROM t",
+        "f4_escaped": r"""SELECT page_id, regexp_replace(url, '([+\-!(){}\[\]^"~*?:\\/|&])', '\\\1', 'g') AS escaped FROM pages""",
+        "f21_line_ranges": "WITH r AS (SELECT p_partkey, p_size, range(1, p_size % 4 + 1) AS k FROM part) SELECT p_partkey, printf('%08X', len(k)) || array_to_string(list_transform(k, lambda i: printf('%08X%08X', i * 10, i * 10 + p_size)), '') AS raw, array_to_string(list_transform(k, lambda i: (i * 10) || '-' || (i * 10 + p_size)), ',') AS ranges FROM r",
+        "f27_refs_stamp": "SELECT c_mktsegment AS project, count(*) AS refs, sum(('0x' || substr(md5(c_name || chr(1) || (c_custkey % 10) || chr(1) || CASE WHEN c_custkey % 3 > 0 THEN 'T' ELSE '' END), 1, 12))::BIGINT)::VARCHAR AS stamp FROM customer GROUP BY c_mktsegment",
+        "n5_class_chunks": N5_SQL,
+        "p12_advice": P._bm25(1, [*QUERIES[:2], (8, "Thb zzqq"), (9, "C11x")]) + f", e AS (SELECT query_id, lower(regexp_extract(trim(text), '^([^\\s#.(]*)', 1)) AS probe FROM q ANTI JOIN kw USING (query_id)), n AS (SELECT DISTINCT name FROM (SELECT name FROM docs UNION ALL SELECT class_name FROM docs) WHERE name <> '') SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY levenshtein(lower(name), probe), name))::INTEGER AS rank, name, levenshtein(lower(name), probe)::INTEGER AS distance FROM n, e WHERE length(probe) >= 3 AND levenshtein(lower(name), probe) <= 2) WHERE rank <= 5",
+        "n3_snippets": kw_best + SNIPPET_SQL,
+        "u6_pipeline_hybrid_rrf": f"{_lists(10)}, s AS ({_RRF}), m AS ({P._ranked('s', 10)}), {_diverse('m', 'd', 'class_name')} " + P._ranked("d", 10),
+        "u6_pipeline_hybrid_diverse": f"{_lists(30, 'kw0', 'kv0')}, {_diverse('kw0', 'd1', KIND)}, {_diverse('kv0', 'd2', KIND)}, kw AS ({P._ranked('d1', None)}), kv AS ({P._ranked('d2', None)}), l AS (SELECT 0 AS list, * FROM kw UNION ALL SELECT 1, * FROM kv), c AS (SELECT *, count(*) OVER (PARTITION BY query_id, list) AS n FROM l), s AS (SELECT query_id, doc_id, sum(0.5::DOUBLE * (n - rank + 1)) * CASE WHEN count(DISTINCT list) = 2 THEN 1.5::DOUBLE ELSE 1.0 END AS score FROM c GROUP BY ALL), m AS ({P._ranked('s', 10)}), {_diverse('m', 'd', 'class_name')} " + P._ranked("d", 10),
+        "u8_pipeline_unified": f"{_lists(50)}, u AS (SELECT query_id, doc_id, CASE WHEN vs IS NULL THEN lift * 0.01 ELSE vs + lift END AS score FROM (SELECT coalesce(k.query_id, v.query_id) AS query_id, coalesce(k.doc_id, v.doc_id) AS doc_id, v.score AS vs, 0.3::DOUBLE * (1 - 2 / (exp(2 * coalesce(k.score, 0) / 150.0::DOUBLE) + 1)) AS lift FROM kw k FULL JOIN kv v ON k.query_id = v.query_id AND k.doc_id = v.doc_id)), m AS ({P._ranked('u', 10)}), {_diverse('m', 'd', 'class_name')} " + P._ranked("d", 10),
+        "u9_auto": f"{_lists(10)}, s AS ({_RRF}), m AS ({P._ranked('s', 10)}), {_diverse('m', 'd', 'class_name')}, h AS ({P._ranked('d', 10)}) SELECT * FROM h WHERE query_id IN (1, 2) UNION ALL SELECT * FROM kw WHERE query_id IN (3, 4) AND rank <= 10",
         "f5_identifier_like": f"SELECT x, contains(x, '_') OR regexp_matches(x, '^.+[A-Z]') AS yes FROM {names}",
         "f6_scope": f"WITH {DOCS} SELECT doc_id, {scope_of("WHEN doc_type = 'chunk' THEN 'docs'")} AS scope FROM docs",
         "f7_factors": f"WITH {DOCS} SELECT doc_id, {_PATH} AS path, {_KIND} AS kind, {_ACCESS} AS access, " + ", ".join(f"{_class_type(i)} AS {i.lower()}" for i in ("INTERFACE", "ENUM", "IMPLEMENTATION")) + " FROM docs",
@@ -385,4 +448,4 @@ lw AS (SELECT DISTINCT query_id, doc_id, line, unnest({sql_tokens('t')}) AS term
 
 
 def queries():
-    return {n: f for n, f in globals().items() if n[0] in "fsupnrm" and n[1:2].isdigit()}
+    return {n: f for n, f in globals().items() if n[0] in "fsupnrm" and n[1:2].isdigit() and callable(f)}

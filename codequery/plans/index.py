@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from codequery.operators import index as K
-from codequery.plans.views import DOCS, EDGES, documents, part_edges, table
+from codequery.plans.views import DOCS, EDGES, documents, part_edges, sql_tokens, table
 from codequery.session import checkpointed, deleted, shared_dir
 
 
@@ -110,17 +110,25 @@ def k15_cache(spark, sf_dir):
     return K.cached(d, cache, K.hashing_embedder(F.col("text"))).select("id", F.size("vec").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
+def _models(spark, sf_dir):
+    """The stored vectors as those of a first model, and vectors of lengths as those of a second, a tenth of them there
+    already."""
+    e = table(spark, sf_dir, "embeddings").select(F.lit("m1").alias("model"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("body").alias("text"))
+    had = texts.where("id % 10 = 0").select(F.lit("m2").alias("model"), "id", F.array(F.lit(0.5), F.lit(0.5)).alias("vec"))
+    embed = F.array(F.length("text").cast("double"), F.lit(1.0))
+    return K.with_model(e.unionByName(had), texts, "m2", embed), texts
+
+
 def k16_second_model(spark, sf_dir):
     """A second model's vectors beside the first's."""
-    d = documents(spark, sf_dir)
-    one = lambda m, n: d.select("doc_id", F.lit(m).alias("model"), F.size(K.hashing_embedder(F.col("javadoc"), n)).alias("dims"))
-    return one("m16", 16).unionByName(one("m8", 8)).groupBy("model").agg(F.count("*").alias("n"), F.max("dims").alias("dims"))
+    return _models(spark, sf_dir)[0].select("model", "id", F.size("vec").alias("dims"), F.round(F.get("vec", F.lit(0)), 6).alias("first"))
 
 
 def k17_backfill(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    d = documents(spark, sf_dir).select("doc_id", F.sha2("javadoc", 256).alias("key"))
-    return d.join(e.select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("dims")), "doc_id").groupBy("key").agg(F.count("*").alias("n"), F.max("dims").alias("dims"))
+    """A cache made of the vectors of both models, by text."""
+    out = K.backfilled(*_models(spark, sf_dir))
+    return out.select("model", "key", F.size("vec").alias("dims"), F.round(F.get("vec", F.lit(0)), 6).alias("first"))
 
 
 def k18_invalidated(spark, sf_dir):
@@ -139,6 +147,9 @@ def k19_usage_log(spark, sf_dir):
     return out
 
 
+_MODELS = "models AS (SELECT 'm1' AS model, vec_id AS id, len(embedding)::INTEGER AS dims, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings UNION ALL SELECT 'm2', doc_id, 2, CASE WHEN doc_id % 10 = 0 THEN 0.5 ELSE length(coalesce(text, '')) END::DOUBLE FROM documents)"
+
+
 def oracle_sql() -> dict[str, str]:
     has = "doc_id % 17 <> 0"
     return {
@@ -157,8 +168,9 @@ def oracle_sql() -> dict[str, str]:
         "k13_modules": f"WITH {_MODS} SELECT module_key, version, status FROM (SELECT * FROM old UNION ALL SELECT * FROM new) QUALIFY row_number() OVER (PARTITION BY module_key ORDER BY (status = 'INDEXED') DESC, o, version) = 1",
         "k13_dependencies": "WITH r AS (SELECT o_custkey % 20 AS src, o_orderkey % 20 AS dst, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus ELSE 'compile' END AS scope, CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE o_orderpriority END AS declared_version, o_orderkey % 2 AS o FROM orders) SELECT src, dst, scope, declared_version FROM r QUALIFY row_number() OVER (PARTITION BY src, dst, scope ORDER BY o, declared_version) = 1",
         "k14_linked_modules": f"WITH {_MODS}, m AS (SELECT module_key, min(status) AS status FROM old GROUP BY module_key), p AS (SELECT 'g:a' || s_suppkey AS module_key, s_name FROM supplier) SELECT m.module_key, CASE WHEN s_name IS NOT NULL THEN 'INDEXED' ELSE status END AS status, s_name AS project FROM m LEFT JOIN p USING (module_key)",
-        "k16_second_model": "SELECT model, count(*) AS n, max(dims)::INTEGER AS dims FROM documents, (VALUES ('m16', 16), ('m8', 8)) v(model, dims) GROUP BY model",
-        "k17_backfill": "SELECT sha256(split_part(coalesce(text, ''), chr(10), 1)) AS key, count(*) AS n, max(len(embedding))::INTEGER AS dims FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY 1",
+        "k15_cache": f"WITH {DOCS} SELECT doc_id AS id, 16 AS dims, CASE WHEN len({sql_tokens('javadoc')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM docs",
+        "k16_second_model": f"WITH {_MODELS} SELECT model, id, dims, first FROM models",
+        "k17_backfill": f"WITH {_MODELS} SELECT model, sha256(coalesce(text, '')) AS key, arg_min(dims, id) AS dims, arg_min(first, id) AS first FROM models JOIN documents ON doc_id = id GROUP BY ALL",
         "k18_invalidated": f"WITH {_SNAP} SELECT path || CASE WHEN doc_id % 3 = 1 THEN '.md' ELSE '.java' END AS path, CASE WHEN doc_id % 3 <> 1 THEN CASE doc_id % 4 WHEN 0 THEN 'm1' WHEN 1 THEN 'm2' END END AS model_fingerprint FROM d WHERE {has}",
     }
 

@@ -33,6 +33,44 @@ def a4_acronyms(spark, sf_dir):
     return M.acronyms(spark.createDataFrame([(t,) for t in ACRONYMS], "text string"), "text")
 
 
+def _class_comments(spark, sf_dir):
+    """Documents as classes, called by two of their words, their first lines as comments that link to others."""
+    d = documents(spark, sf_dir)
+    words = F.filter(X.tokens(F.col("javadoc")), lambda t: F.rlike(t, F.lit("^[a-z]+$")))
+    name = lambda k: F.concat(F.initcap(F.coalesce(F.get(words, F.lit(k)), F.lit("x"))), F.initcap(F.coalesce(F.get(words, F.lit(k + 1)), F.lit("y"))))
+    return d.select("doc_id", name(0).alias("class"), F.concat("javadoc", F.lit(" {@link "), name(0), F.lit("} {@link a.b."), name(2), F.lit("#go}")).alias("comment"))
+
+
+_CLASS_COMMENTS = f"""cw AS (SELECT doc_id, javadoc, list_filter({sql_tokens('javadoc')}, lambda t: regexp_matches(t, '^[a-z]+$')) AS w FROM docs),
+cn AS (SELECT doc_id, javadoc, list_transform([coalesce(w[1], 'x'), coalesce(w[2], 'y'), coalesce(w[3], 'x'), coalesce(w[4], 'y')], lambda x: upper(x[1]) || x[2:]) AS p FROM cw),
+cc AS (SELECT doc_id, p[1] || p[2] AS class, p[3] || p[4] AS other, javadoc FROM cn)"""
+
+
+def a4_initialisms(spark, sf_dir):
+    """Classes with a part of consonants, and texts whose words it abbreviates."""
+    rows = [("FSTReader", "A finite state transducer reads fast. Finite state tables too."), ("KNNQuery", "k nearest neighbours of k near nodes"), ("HNSWGraph", "no such words"), ("IndexWriter", "it writes")]
+    return M.initialisms(spark.createDataFrame(rows, "class string, javadoc string"), "javadoc")
+
+
+def a4_expansion_grams(spark, sf_dir):
+    rows = [("finite state transducer", "FST"), ("k nearest neighbours", "KNN"), ("call graph of the index", "CGI"), ("merge-policy", "MP"), ("one", "O")]
+    return M.expansion_grams(spark.createDataFrame(rows, "phrase string, class string"))
+
+
+def a11_link_graph(spark, sf_dir):
+    return M.link_graph(_class_comments(spark, sf_dir))
+
+
+def a11_package_paths(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("org."), F.regexp_replace("p_type", " ", "."), F.lit(".Part")).alias("fqn"), F.col("p_brand").alias("class"))
+    return M.package_paths(p)
+
+
+def a11_context_windows(spark, sf_dir):
+    names = spark.createDataFrame([("license", "License"), ("apache", "ApacheLicense"), ("version", "Version")], "token string, class string")
+    return M.context_windows(documents(spark, sf_dir), names, "body")
+
+
 def a5_bigrams(spark, sf_dir):
     return M.bigrams(documents(spark, sf_dir), "project", "javadoc", 10)
 
@@ -225,6 +263,11 @@ m AS (SELECT regexp_extract(x, '\(([A-Z]{{3,10}})\)$', 1) AS acronym, regexp_ext
   UNION ALL SELECT regexp_extract(x, '^([A-Z]{{3,10}})', 1), regexp_extract(x, '\((.*)\)$', 1) FROM (SELECT unnest(regexp_extract_all(text, '\b([A-Z]{{3,10}})\s+\(([a-zA-Z][\w\s-]{{3,35}})\)')) AS x FROM t)),
 w AS (SELECT acronym, regexp_split_to_array(trim(expansion), '[\s-]+') AS ws FROM m), s AS (SELECT acronym, ws[greatest(1, len(ws) - length(acronym) + 1):] AS tail FROM w)
 SELECT DISTINCT acronym, lower(array_to_string(tail, ' ')) AS expansion FROM s WHERE upper(array_to_string(list_transform(tail, lambda w: w[1]), '')) = acronym""",
+        "a4_initialisms": "SELECT * FROM (VALUES ('fst', 'finite state transducer', 'FSTReader'), ('fst', 'finite state tables', 'FSTReader'), ('knn', 'k nearest neighbours', 'KNNQuery'), ('knn', 'k near nodes', 'KNNQuery')) v(acronym, phrase, class)",
+        "a4_expansion_grams": "SELECT * FROM (VALUES ('finitestate', 'FST'), ('statetransducer', 'FST'), ('nearestneighbours', 'KNN'), ('knearestneighbours', 'KNN'), ('callgraph', 'CGI'), ('graphindex', 'CGI'), ('callgraphoftheindex', 'CGI'), ('callgraphof', 'CGI'), ('graphofthe', 'CGI'), ('oftheindex', 'CGI'), ('mergepolicy', 'MP')) v(gram, class)",
+        "a11_link_graph": f"WITH {DOCS}, {_CLASS_COMMENTS}, k AS (SELECT DISTINCT lower(class) AS low, class AS target FROM cc), l AS (SELECT class, javadoc, target, unnest({sql_tokens('sentence')}) AS t FROM (SELECT c.class, c.javadoc, k.target, substr(trim(regexp_extract(c.javadoc || ' {{@link ' || c.class || '}} {{@link a.b.' || c.other || '#go}}', '(?s)^(.*?)(?:\\.\\s|\\.$|$)', 1)), 1, 200) AS sentence FROM cc c JOIN k ON k.low IN (lower(c.class), lower(c.other)))), n AS (SELECT regexp_replace(t, '^[0-9]+|[0-9]+$', '', 'g') AS lhs, target AS rhs FROM l), p AS (SELECT c.class, k.target FROM cc c JOIN k ON k.low IN (lower(c.class), lower(c.other))) SELECT DISTINCT lhs, rhs FROM n WHERE length(lhs) >= 3 AND NOT list_contains({stop}, lhs) UNION SELECT lower(class), target FROM p UNION SELECT lower(target), class FROM p",
+        "a11_package_paths": "SELECT DISTINCT lower(s) AS lhs, p_brand AS rhs FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS s FROM part) WHERE length(s) >= 3",
+        "a11_context_windows": f"WITH {DOCS}, t AS (SELECT doc_id, unnest({sql_tokens('body')}) AS token, generate_subscripts({sql_tokens('body')}, 1) AS pos FROM docs), n AS (SELECT * FROM (VALUES ('license', 'License'), ('apache', 'ApacheLicense'), ('version', 'Version')) v(token, class)), h AS (SELECT doc_id, pos, class FROM t JOIN n USING (token)), c AS (SELECT regexp_replace(t.token, '^[0-9]+|[0-9]+$', '', 'g') AS lhs, class AS rhs FROM h JOIN t ON t.doc_id = h.doc_id AND t.pos BETWEEN h.pos - 5 AND h.pos + 5 AND t.pos <> h.pos), g AS (SELECT lhs, rhs, count(*) AS n FROM c WHERE length(lhs) >= 3 AND NOT list_contains({stop}, lhs) GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY rhs ORDER BY n DESC, lhs) <= 15",
         "a5_bigrams": f"WITH {DOCS}, {bigram} SELECT * FROM bigrams",
         "a6_class_terms": f"WITH {DOCS}, {terms('docs', ('javadoc',))}{wormhole(5, 'SELECT (doc_id % 50)::INTEGER AS query_id, doc_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS rank FROM docs')} SELECT lhs, rhs, n FROM (SELECT term AS lhs, 'C' || query_id AS rhs, fg AS n, count(*) OVER (PARTITION BY term) AS c FROM worm WHERE fg >= 2) WHERE c <= 3",
         "a7_combined_rules": rules + ", u AS (SELECT lhs, rhs, 1 AS bit FROM g UNION ALL SELECT lhs, rhs, 2 FROM b UNION ALL SELECT lhs, rhs, 4 FROM g WHERE length(lhs) > 8) SELECT lhs, rhs, bit_or(bit)::INTEGER AS sources FROM u WHERE length(lhs) <= 20 AND NOT regexp_matches(lhs, '^[0-9]') GROUP BY ALL",

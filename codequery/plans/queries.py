@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequery.plans import functions, graph, index, mining, retrieval, sources
+from codequery.plans import expected, functions, graph, index, mining, retrieval, sources
 
 _MODULES = (retrieval, graph, mining, functions, index, sources)
 
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.oracle_sql().items()}
+    return {name: sql for m in (*_MODULES, expected) for name, sql in m.oracle_sql().items()}

@@ -191,6 +191,12 @@ def r25_neighbours(spark, sf_dir):
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "kind")
 
 
+def r27_camel_hybrid(spark, sf_dir):
+    """The older hybrid; a query that names a class leans on words."""
+    asked = R.batch(spark, [(1, "HashMap anea"), (7, "merge the lists")])
+    return U.camel_hybrid(*_both(spark, sf_dir), asked, LIMIT)
+
+
 def r28_projection(spark, sf_dir):
     d = documents(spark, sf_dir)
     hits = R.bm25(d, _q(spark), LIMIT).join(d, "doc_id")
@@ -340,6 +346,7 @@ def oracle_sql() -> dict[str, str]:
         "r15_words_without_vectors": unified("(SELECT * FROM kv WHERE FALSE)"),
         "r16_borda": _both_sql() + f", {lists('kw', 'kv')}, {counted}, s AS (SELECT query_id, doc_id, sum((CASE list WHEN 0 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END) * (n - rank + 1)) * CASE WHEN count(DISTINCT list) = 2 THEN 1.5::DOUBLE ELSE 1.0 END AS score FROM c GROUP BY ALL) " + _ranked("s"),
         "r17_borda_many": _both_sql() + f", {lists('kw', 'kv', '(SELECT * FROM kw WHERE rank <= 5)')}, {counted}, s AS (SELECT query_id, doc_id, sum(n - rank + 1)::DOUBLE AS score FROM c GROUP BY ALL) " + _ranked("s"),
+        "r27_camel_hybrid": _both_sql() + f", {lists('kw', 'kv')}, {counted}, s AS (SELECT query_id, doc_id, sum((CASE WHEN query_id = 1 THEN CASE list WHEN 0 THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END ELSE 0.5::DOUBLE END) * (n - rank + 1)) * CASE WHEN count(DISTINCT list) = 2 THEN 1.5::DOUBLE ELSE 1.0 END AS score FROM c GROUP BY ALL) " + _ranked("s"),
         "r18_rrf": _both_sql() + f", {lists('kw', 'kv')}, s AS (SELECT query_id, doc_id, sum(1::DOUBLE / (60 + rank)) * CASE WHEN count(DISTINCT list) = 2 THEN 1.5::DOUBLE ELSE 1.0 END AS score FROM lists GROUP BY ALL) " + _ranked("s"),
         "r19_pool": _both_sql() + f", {lists('kw', 'kv')}, p AS (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY list, rank) = 1) SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY list, rank, doc_id))::INTEGER AS rank, doc_id, score FROM p) WHERE rank <= {LIMIT}",
         "r20_cross_encoder": _bm25(30, _PAIR) + f", p AS (SELECT doc_id, concat_ws(' ', nullif(name, ''), nullif(signature, ''), nullif(CASE WHEN javadoc <> '' THEN substr(javadoc, 1, 300) ELSE substr(body, 1, 300) END, '')) AS passage FROM docs), s AS (SELECT k.query_id, k.doc_id, {q_share} AS score FROM kw k JOIN p USING (doc_id) JOIN q USING (query_id)) " + _ranked("s"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codequery.functions import chunking as N
-from codequery.sources import builds, code, files
+from codequery.sources import builds, code, config, files
 from codequery.plans.views import DOCS, documents, table
 
 CODE = {
@@ -34,6 +36,26 @@ BUILDS = {
 }
 
 
+MORE_CODE = {
+    "lib/src/p/Outer.java": "package p;\n\nimport a.b.Store;\n\n/**\n * Keeps things.\n * See {@link Store}.\n */\npublic abstract class Outer<T> implements X<T> {\n  /** Opens it. */\n  @Override\n  public static synchronized Map<String, List<T>> open(final int a, String... rest) {\n    Store s = find(a);\n    s.put(a, more(1, two(3)), \"x, y\");\n    return null;\n  }\n\n  abstract void close();\n\n  static class Inner {\n    /** The size. */\n    int size() { return 1; }\n  }\n}\n",
+    "lib/shape.swift": "import Foundation\n\n/// A shape.\n@objc(Shape) public class Shape {\n    /// Its area.\n    @discardableResult public func area(scale: Double) -> Double {\n        return scaled(scale)\n    }\n}\n",
+    "lib/util.kt": "package u\n\nimport a.b.Old as New\n\n// Joins.\nfun join(a: String, b: String): String {\n    return glue(a, b)\n}\n",
+    "web/box.ts": "/** A box. */\n@Injectable()\nexport abstract class Box<T> extends Base.Thing implements A {\n  /** Puts. */\n  static async put<K>(key: K, v: { a: number }): Promise<void> { store.set(key, v); }\n  get size(): number { return this.items.length; }\n}\nconst twice = (x, {y}) => mul(x, 2);\nlet late = function (z) { return twice(z); };\n",
+    "tools/src/pkg/doc.py": "class A:\n    \"\"\"An A.\"\"\"\n\n    @staticmethod\n    async def make():\n        \"\"\"Makes one.\"\"\"\n        return A()\n",
+}
+SCRIPT_JSON = '[{"file": "a/b.rb", "package": "x.b", "classes": [{"name": "C", "bases": ["D"], "decorators": [], "line": 1, "end_line": 9}], "functions": [{"name": "go", "class_name": "C", "params": ["n"], "decorators": ["m"], "calls": ["run", "stop"], "line": 2, "end_line": 4}, {"name": "top", "class_name": null, "params": [], "calls": [], "line": 11, "end_line": 12}]}, {"file": "z.rb", "classes": [], "functions": [{"name": "solo", "line": 1, "end_line": 1}]}]'
+GRADLE = {
+    "settings.gradle": "rootProject.name = 'whole'\n",
+    "gradle.properties": "group=org.whole\nversion=7.1\n",
+    "gradle/libs.versions.toml": '[versions]\njson = "2.9"\n[libraries]\njson-core = { module = "org.json:core", version.ref = "json" }\nlog = "org.log:log4:1.2"\nhttp = { group = "net.http", name = "client", version = "5" }\n[bundles]\nbase = ["json-core", "log"]\n',
+    "build.gradle": "dependencies {\n  implementation libs.json.core\n  testImplementation 'junit:junit:4.13'\n}\n",
+    "app/build.gradle.kts": "dependencies {\n  implementation(libs.bundles.base)\n  api(libs.http)\n  implementation(project(\":core\"))\n}\n",
+    "core/gradle.properties": "version=1.0-core\n",
+    "core/build.gradle": "group = 'org.core'\n",
+}
+PIPELINES = "pipelines:\n\n  # words\n  - name: words\n    label: \"Words\"\n    retrievers: [keyword]\n\n  - name: both\n    requires: [vectors, ce]\n    retrievers: [keyword, vector]\n    oversample: 3\n    merger: rrf\n    rerankers: [ce, mmr]  # last\n\n  - name: _auto\n    visible: false\n    router: classifier\n    dispatch:\n      KEYWORD: words\n      default: both\n"
+
+
 def _frame(spark, rows: dict[str, str]):
     return spark.createDataFrame(list(rows.items()), "path string, text string")
 
@@ -52,6 +74,62 @@ def s4_java(spark, sf_dir):
     return rows.select("path", "kind", "owner", "name", F.array_join("params", ",").alias("params"), F.array_join("types", ",").alias("types"), "returns", "access", F.array_join("calls", ",").alias("calls"), "line", "end_line")
 
 
+def s4_comments(spark, sf_dir):
+    """Comments, flags, outer classes and full names of what the parsers find."""
+    rows = code.parsed(_frame(spark, {**CODE, **MORE_CODE})).where("kind IN ('class', 'method')")
+    name = F.when(F.col("kind") == "class", code.class_fqn()).otherwise(code.method_fqn())
+    return rows.select(name.alias("fqn"), "comment", F.array_join("flags", ",").alias("flags")).where("comment <> '' OR flags <> ''")
+
+
+def s11_script_json(spark, sf_dir):
+    out = code.from_script_json(spark.createDataFrame([(SCRIPT_JSON,), ("no json",), ("[]",)], "json string"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("path", "kind", "owner", "name", joined("params"), joined("bases"), joined("annotations"), joined("calls"), "line", "package")
+
+
+def s22_single_chunks(spark, sf_dir):
+    out = files.single_chunks(_frame(spark, {**TEXTS, "a/Readme.cfg": "\n  x = 1\n" + "y" * 130, "b/empty.ini": " \n"}))
+    return out.select("path", "start", "end", F.length("text").alias("size"), "title", "description", files.chunk_name(F.col("description")).alias("name"))
+
+
+def s25_gradle(spark, sf_dir):
+    """Gradle builds with settings, properties and a version catalog beside or above them."""
+    rows = builds.modules(_frame(spark, GRADLE))
+    deps = F.array_join(F.transform("deps", lambda d: F.concat_ws(":", d["group_id"], d["artifact_id"], d["version"])), ",")
+    return rows.select("path", "group_id", "artifact_id", "version", deps.alias("deps"))
+
+
+def s28_projects(spark, sf_dir):
+    """Two projects' indexes, saved and read as one, and one project of them."""
+    from codequery.api import CodeIndex
+    from codequery.session import checkpointed, deleted, shared_dir
+
+    folder = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    one = {p: t for p, t in CODE.items() if p.endswith(".java") and "target" not in p}
+    CodeIndex.build(_frame(spark, one), "shop").save(f"{folder}/a")
+    CodeIndex.build(_frame(spark, {p: t for p, t in CODE.items() if p.endswith(".py")}), "tools").save(f"{folder}/b")
+    every = CodeIndex.load(spark, f"{folder}/a", f"{folder}/b")
+    part = every.of_projects("tools").counts().select(F.lit("tools").alias("of"), "project", "doc_type", "n")
+    out = checkpointed(every.counts().select(F.lit("all").alias("of"), "project", "doc_type", "n").unionByName(part))
+    deleted(spark, folder)
+    return out
+
+
+def s30_synonyms(spark, sf_dir):
+    lines = ["# rules", "", "car, Auto => vehicle", "big, large, huge  # sizes", "alone", "a => a, b"]
+    return config.synonyms(spark.createDataFrame([(x,) for x in lines], "value string"))
+
+
+def s30_pipelines(spark, sf_dir):
+    out = config.pipeline_table(spark, PIPELINES)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("name", "visible", joined("retrievers"), "merger", joined("rerankers"), "oversample", joined("requires"), "dispatches")
+
+
+def g19_package_hints(spark, sf_dir):
+    return code.unresolved_refs(code.parsed(_frame(spark, {p: t for p, t in {**CODE, **MORE_CODE}.items() if p.endswith(".java")})))
+
+
 def s5_resolved_calls(spark, sf_dir):
     return code.resolved_calls(code.parsed(_frame(spark, {p: t for p, t in CODE.items() if p.endswith(".java")})))
 
@@ -157,4 +235,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries():
-    return {n: f for n, f in globals().items() if n[0] in "snf" and n[1:2].isdigit()}
+    return {n: f for n, f in globals().items() if n[0] in "snfg" and n[1:2].isdigit()}

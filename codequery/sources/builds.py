@@ -135,8 +135,6 @@ def read(path: str, text: str) -> dict | None:
     base = path.rsplit("/", 1)[-1]
     if base == "pom.xml":
         return maven(path, text)
-    if base in ("build.gradle", "build.gradle.kts"):
-        return gradle(path, text)
     if base in ("pyproject.toml", "setup.py", "setup.cfg"):
         return python(path, text)
     if base == "package.json":
@@ -144,14 +142,44 @@ def read(path: str, text: str) -> dict | None:
     return cmake(path, text) if base == "CMakeLists.txt" else None
 
 
+def _nearest(builds: DataFrame, files: DataFrame, name: str, ending: str, own_folder: bool = False) -> DataFrame:
+    """``builds`` (path, folder) with column ``name``: the text of the file of that ending in the folder or, unless it
+    must be in the same one, in the nearest of the folders above."""
+    found = files.where(F.rlike("path", F.lit(rf"(?:^|/){ending}$")))
+    of = found.select(F.regexp_replace("path", rf"/?{ending}$", "").alias("_at"), F.col("text").alias("_text"))
+    of = of.groupBy("_at").agg(F.min("_text").alias("_text"))
+    parts = F.filter(F.split("folder", "/"), lambda p: p != "")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    lead = F.when(F.startswith("folder", F.lit("/")), "/").otherwise("")
+    rows = builds.select("path", "folder", F.explode(above).alias("_f")).withColumn("_f", F.concat(lead, "_f"))
+    rows = rows.where(F.col("_f") == F.col("folder")) if own_folder else rows
+    hit = rows.join(of, F.col("_f") == F.col("_at")).groupBy(F.col("path").alias("_path"))
+    hit = hit.agg(F.max_by("_text", F.length("_f")).alias(name))
+    return builds.join(hit, F.col("path") == F.col("_path"), "left").drop("_path")
+
+
 def modules(files: DataFrame) -> DataFrame:
-    """The module of each build file (path, text)."""
+    """The module of each build file (path, text); a Gradle build is read with the settings of its folder, and with the
+    properties and version catalog of its folder or the nearest above."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([r for p, t in zip(b.path, b.text, strict=True) if (r := read(p, t or ""))], columns=NAMES)
 
-    return files.select("path", "text").mapInPandas(run, ROW)
+    def run_gradle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = b[["path", "text", "settings", "properties", "catalog"]].fillna("").itertuples(index=False)
+            yield pd.DataFrame([gradle(*r) for r in rows], columns=NAMES)
+
+    is_gradle = F.rlike("path", F.lit(r"(?:^|/)build\.gradle(?:\.kts)?$"))
+    built = files.where(is_gradle).select("path", "text", F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1).alias("folder"))
+    for name, ending, own in (
+        ("settings", r"settings\.gradle(?:\.kts)?", True), ("properties", r"gradle\.properties", False),
+        ("catalog", r"gradle/libs\.versions\.toml", False),
+    ):
+        built = built.join(_nearest(built.select("path", "folder"), files, name, ending, own).select(F.col("path").alias("_p"), name), F.col("path") == F.col("_p"), "left").drop("_p")
+    others = files.where(~is_gradle).select("path", "text").mapInPandas(run, ROW)
+    return others.unionByName(built.mapInPandas(run_gradle, ROW))
 
 
 def first_of_folder(found: DataFrame) -> DataFrame:

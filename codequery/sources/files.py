@@ -119,6 +119,26 @@ def generic_documents(files: DataFrame) -> DataFrame:
     return files.select("path", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem"), F.substring(clean, 1, TITLE_CHARS).alias("title"), F.regexp_replace(para, r"\s+", " ").alias("description"))
 
 
+def single_chunks(files: DataFrame) -> DataFrame:
+    """(path, start, end, text, title, description): a file as one chunk, titled by its stem; described by its first
+    heading, else its first line of words, shortened, else the stem."""
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    head = F.trim(F.regexp_extract("text", r"(?m)^#{1,6}\s+(\S.*)$", 1))
+    line = F.trim(F.regexp_extract("text", r"(?m)^[ \t]*(\S.*)$", 1))
+    short = F.when(F.length(line) > 120, F.concat(F.substring(line, 1, 117), F.lit("..."))).otherwise(line)
+    said = F.coalesce(F.nullif(head, F.lit("")), F.nullif(short, F.lit("")), stem)
+    return files.select(
+        "path", F.lit(1).alias("start"), F.size(F.split("text", "\n")).alias("end"), F.trim("text").alias("text"),
+        stem.alias("title"), said.alias("description"),
+    )
+
+
+def chunk_name(heading: Column) -> Column:
+    """A heading as a name: other signs and blanks as underscores, none at its ends, 80 characters at most."""
+    plain = F.regexp_replace(F.regexp_replace(heading, r"[^a-zA-Z0-9_\-. ]", "_"), r"\s+", "_")
+    return F.substring(F.regexp_replace(F.regexp_replace(plain, "_+", "_"), "^_|_$", ""), 1, 80)
+
+
 def markdown_links(files: DataFrame) -> DataFrame:
     """(path, target, anchor) of links to other files; web, mail and file-transfer links are left out."""
     links = F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1))

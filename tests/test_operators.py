@@ -155,10 +155,127 @@ def test_stream_replaces_files(spark, tmp_path):
     assert rows(current(spark, out), "path", "term", "tf") == [("a", "three", 1)]
 
 
-def test_late_events_are_dropped(spark):
+def test_late_events_are_dropped(spark, tmp_path):
     from codequery.streaming.incremental import windowed_counts
 
-    assert windowed_counts(spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.lit("x").alias("event_type"))).isStreaming
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    (tmp_path / "src").mkdir()
+    schema = "ts timestamp, event_type string"
+    stream = windowed_counts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src))
+    batches = [[("2024-01-01 10:05:00", "a"), ("2024-01-01 10:50:00", "a")], [("2024-01-01 12:30:00", "b")], [("2024-01-01 10:10:00", "a"), ("2024-01-01 12:40:00", "b")], [("2024-01-01 15:00:00", "c")], [("2024-01-01 15:01:00", "c")]]
+    for rows_ in batches:
+        spark.createDataFrame(rows_, "ts string, event_type string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+        stream.writeStream.format("parquet").option("checkpointLocation", mark).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = rows(spark.read.parquet(out).select(F.date_format("start", "HH:mm").alias("h"), "event_type", "n"), "h", "event_type", "n")
+    assert got == [("10:00", "a", 2), ("12:00", "b", 2)]
+
+
+def test_index_follows_its_tree(spark, tmp_path):
+    from codequery.api import CodeIndex
+    from codequery.plans.sources import CODE
+
+    frame = lambda d: spark.createDataFrame(list(d.items()), "path string, text string")
+    java = {p: t for p, t in CODE.items() if p.endswith(".java") and "target" not in p}
+    cart = "app/src/main/java/shop/Cart.java"
+    CodeIndex.build(frame(java), "shop").save(str(tmp_path / "a"))
+    changed = {cart: java[cart].replace("report(", "notify("), "app/New.java": "package shop; class New { void notify(int n) { new Tax().of(n); } }"}
+    fresh = CodeIndex.load(spark, str(tmp_path / "a")).updated(frame(changed), spark.createDataFrame([("app/src/main/java/shop/Tax.java",)], "path string"), "shop")
+    fresh.save(str(tmp_path / "b"))
+    now = CodeIndex.load(spark, str(tmp_path / "b"))
+    whole = CodeIndex.build(frame({**{p: t for p, t in java.items() if "Tax" not in p}, **changed}), "shop")
+    names = lambda i: rows(i.docs, "fqn")
+    assert names(now) == names(whole) and ("shop.Cart#notify(int)",) in names(now) and ("shop.Tax",) not in names(now)
+    key = lambda i: rows(i.postings.join(i.docs, "doc_id"), "fqn", "field", "term", "tf")
+    plain = lambda k: [x for x in k if x[1] != "caller_context"]
+    assert plain(key(now)) == plain(key(whole))
+    assert now.search("notify", 3).first().fqn.endswith("#notify(int)") and now.search("tax of", 9).where("fqn LIKE 'shop.Tax%'").count() == 0
+    assert now.without_project("shop").docs.count() == 0 and now.of_projects("shop").docs.count() == now.docs.count()
+    assert {r.name for r in now.refs.collect()} >= {"of"}
+
+
+def test_projects_are_linked(spark):
+    from codequery.api import CodeIndex
+
+    frame = lambda d: spark.createDataFrame(list(d.items()), "path string, text string")
+    lib = CodeIndex.build(frame({"S.java": "package a.b; public class Store { public void put(int k) { } void put(String k) { } }"}), "lib")
+    app = CodeIndex.build(frame({"M.java": "package m; import a.b.Store; class M { void go(Store s) { s.put(1); gone(2); } }"}), "app")
+    both = CodeIndex.union([lib, app])
+    assert rows(both.links(), "project", "caller", "name", "to_project", "fqn", "points") == [("app", "m.M#go(Store)", "put", "lib", "a.b.Store#put(int)", 3)]
+    entries, exits = both.boundary("lib")
+    assert rows(entries, "node") == [("a.b.Store#put(int)",)] and exits.count() == 0
+    assert rows(both.boundary("app")[1], "caller", "name", "total") == [("m.M#go(Store)", "gone", 1)]
+
+
+def test_config_readers(spark, tmp_path):
+    from codequery.sources import config
+
+    (tmp_path / "r.json").write_text('{"a": {"path": "/x", "groupId": "g"},\n "b": {"path": "/y"}}')
+    (tmp_path / "g.jsonl").write_text('{"query": "q", "project": "p", "result_id": "r", "rank": 2, "rating": "good", "ts": "t"}\nbroken\n')
+    (tmp_path / "i.csv").write_text("phrase,intent,doctype\nHow to,BEHAVIORAL,\nenum for,ENUM,class\n")
+    assert rows(config.registry(spark, str(tmp_path / "r.json")), "project", "path", "group_id") == [("a", "/x", "g"), ("b", "/y", None)]
+    assert rows(config.ratings(spark, str(tmp_path / "g.jsonl")), "query", "rank", "rating") == [("q", 2, "good")]
+    assert rows(config.intents(spark, str(tmp_path / "i.csv")), "phrase", "intent", "doc_type") == [("enum for", "ENUM", "class"), ("how to", "BEHAVIORAL", None)]
+
+
+def test_http_provider(spark):
+    from codequery.operators import embedding as M
+
+    calls = []
+
+    def service(texts):
+        calls.append([len(t) for t in texts])
+        if len(calls) == 1:
+            return 503, "busy"
+        if sum(map(len, texts)) > 2000:
+            return 400, "maximum context length exceeded"
+        return 200, [[float(len(t)), 1.0] for t in texts]
+
+    p = M.HttpProvider(service, 2, batch=4, pause_s=0.0)
+    got = p.embed(["a" * 900, "b" * 10, "c" * 5000, "d" * 800, "e" * 1100])
+    assert got == [[900.0, 1.0], [10.0, 1.0], [1250.0, 1.0], [800.0, 1.0], [1100.0, 1.0]] and p.batch < 4
+    assert M.HttpProvider(lambda t: (400, "too long") if len(t[0]) > 300 else (200, [[1.0]]), 1).embed(["x" * 4000]) == [None]
+    with pytest.raises(RuntimeError, match="refused"):
+        M.HttpProvider(lambda t: (401, "who are you"), 1).embed(["x"])
+    with pytest.raises(RuntimeError, match="failed"):
+        M.HttpProvider(lambda t: (500, "no"), 1, pause_s=0.0).embed(["x"])
+    with pytest.raises(ValueError, match="dimensions"):
+        M.HttpProvider(lambda t: (200, [[1.0]]), 3).checked()
+    models = M.Models({"one": p, "none": M.NoProvider()}, "one")
+    assert models.get() is p and M.NoProvider().embed(["x"]) == [None]
+    with pytest.raises(M.Unavailable):
+        models.get("none")
+    texts = spark.createDataFrame([(1, "ab"), (2, None)], "id long, text string")
+    out = M.embedded(texts, lambda: M.HttpProvider(lambda t: (200, [[float(len(x))] for x in t]), 1))
+    assert rows(out, "id", F.get("vec", F.lit(0))) == [(1, 2.0), (2, 0.0)]
+
+
+def test_script_parser_by_hand():
+    text = "/** Sums. */\nexport default function sum(a, b = f(1)) { return add(a, b); }\nclass A extends B { #x = 1; run() { if (x) { go(); } } static of(n) { return new A(n); } handler = async (e) => { on(e); } }\nconst t = `class C { m() {} }`; // class D {}\nconst cb = list.map((x) => x);\n"
+    got = [(r["kind"], r["owner"], r["name"], r["params"], r["calls"], r["comment"]) for r in code.parse("u.js", text)]
+    assert got == [
+        ("method", "u", "sum", ["a", "b"], ["add"], "Sums."), ("class", "", "A", [], [], ""), ("method", "A", "run", [], ["go"], ""),
+        ("method", "A", "of", ["n"], [], ""), ("method", "A", "handler", ["e"], ["on"], ""),
+    ]
+
+
+def test_deep_generics_and_long_arguments(spark):
+    fqn = "a.B#m(" + "Map<K," * 9 + "V" + ">" * 9 + ",int)"
+    assert spark.createDataFrame([(fqn,)], "x string").select(X.fqn_parts(F.col("x"))["n_params"]).first()[0] == 2
+    java = "class C { void m(D d) { d.g(1, \"" + "x" * 3000 + "\", h(2, 3)); } }"
+    assert "D.g/3" in next(r["calls"] for r in code.parse("C.java", java) if r["name"] == "m")
+
+
+def test_stamps_see_every_edge(spark):
+    e = spark.createDataFrame([("a", "b", "calls"), ("b", "c", "calls"), ("c", "d", "calls")], "src string, dst string, edge_type string")
+    base = G.stamps(e).first().stamp
+    other = e.where("src <> 'b'").unionByName(spark.createDataFrame([("b", "x", "calls")], e.schema))
+    assert G.stamps(other).first().stamp != base and G.stamps(e.orderBy(F.desc("src"))).first().stamp == base
+
+
+def test_long_walks_merge_their_hops(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    got = rows(G.bfs(e, spark.createDataFrame([(0,)], "root long"), None), "node", "depth")
+    assert got == [(i, i) for i in range(41)]
 
 
 def test_code_index(spark, tmp_path):
@@ -168,8 +285,9 @@ def test_code_index(spark, tmp_path):
     tree = spark.createDataFrame(list({**CODE, **TEXTS, **BUILDS}.items()), "path string, text string")
     CodeIndex.build(tree, "demo").save(str(tmp_path / "i"))
     i = CodeIndex.load(spark, str(tmp_path / "i"))
-    assert i.search("sum tax", 5).first().fqn == "shop.Cart#sum"
-    assert rows(i.callers("shop.Tax#of"), "other") == [("shop.Cart#sum",)]
+    assert i.search("sum tax", 5).first().fqn == "shop.Cart#sum(Tax)"
+    assert rows(i.callers("shop.Tax#of"), "other") == [("shop.Cart#sum(Tax)",)]
+    assert rows(i.get("shop.Cart#sum"), "fqn") == [("shop.Cart#sum(Tax)",)] and i.get("shop.Cart").first().javadoc == "A cart."
     assert rows(i.path("shop.Cart#sum", "shop.Cart#report"), F.size("path")) == [(2,)]
     assert ("inherits",) in rows(i.usages("Base"), "kind")
     assert i.languages().count() > 3 and i.module_listing().count() == 4 and i.trace("shop.Cart#sum").count() > 2
