@@ -3,6 +3,12 @@
 Every stage takes the documents that the one before wrote and returns a table that the next one reads. All but the last
 keep the columns of ``documents``; the last adds the token ids. The stages count words, link fingerprints and train as
 their operators do, so no SQL gives their rows; tests hold them against plain Python.
+
+Edge cases: a document with a null or empty text fails the quality rules and is gone after them; a null language or
+source is a group of its own for the rules and the mix; a null id stays, judged by its row in the near-duplicate stage;
+rows that share an id are judged each for itself; repeated rows count as copies; texts of any length go through whole; an
+empty table gives no rows; further columns pass through, but for those called ``ids``, ``n_bytes`` or ``round_trip``,
+which give way to the last stage's own.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from codequery.llm import mixing, pii, quality, sentencepiece, simhash
-from codequery.llm._support import shared_dir, table
+from codequery.llm._support import deleted, shared_dir, table
 from codequery.llm.queries import TOKENIZER
 
 
@@ -53,10 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and read again."""
+    """All stages over ``documents``; each is written to the shared folder and read again. A stage's folder goes once the
+    next one is written; the last one, which the result reads, is the caller's to remove with it."""
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            deleted(spark, f"{folder}/{k - 1}")
     return docs
