@@ -1,4 +1,4 @@
-"""Embedding providers: none, and one that asks a service over HTTP; several models side by side.
+"""Embedding providers: none, a model on the executor, and one that asks a service over HTTP; several side by side.
 
 A service is asked for batches of texts. A batch that it finds too long is halved and the smaller size kept; a single text
 that is too long is halved until it fits or is too short to be worth it, and then has no vector; other failures are tried
@@ -14,6 +14,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,82 @@ class NoProvider:
         return [None] * len(texts)
 
 
+def masked_mean(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors (n, d): the mean of each text's token vectors (n, tokens, d), padding left out."""
+    weight = mask[..., None].astype(np.float64)
+    mean = (hidden * weight).sum(1) / np.maximum(weight.sum(1), 1e-9)
+    return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+
+
+def positive(logits: np.ndarray) -> np.ndarray:
+    """A pair model's scores (n,) from its outputs (n, labels): the sigmoid of one, else the last one's share of a
+    softmax."""
+    if logits.shape[1] == 1:
+        return 1 / (1 + np.exp(-logits[:, 0]))
+    raised = np.exp(logits - logits.max(1, keepdims=True))
+    return raised[:, -1] / raised.sum(1)
+
+
+def _padded(encoded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    width = max(map(len, encoded), default=0)
+    ids = np.array([e + [0] * (width - len(e)) for e in encoded], np.int64).reshape(len(encoded), width)
+    return ids, np.array([[1] * len(e) + [0] * (width - len(e)) for e in encoded], np.int64).reshape(ids.shape)
+
+
+@dataclass
+class LocalProvider:
+    """A model on the executor: ``encode`` gives a text's token ids, ``run`` an array (n, tokens, d) of (ids, mask), as a
+    session of an ONNX runtime does. Texts of like length are run side by side."""
+
+    encode: Callable[[str], list[int]]
+    run: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    dimensions: int
+    batch: int = 32
+    available: bool = True
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        tokens = [self.encode(t) for t in texts]
+        order = sorted(range(len(texts)), key=lambda i: len(tokens[i]))
+        out: list[list[float] | None] = [None] * len(texts)
+        for at in range(0, len(order), self.batch):
+            some = order[at : at + self.batch]
+            ids, mask = _padded([tokens[i] for i in some])
+            for i, v in zip(some, masked_mean(self.run(ids, mask), mask), strict=True):
+                out[i] = v.tolist()
+        return out
+
+    @classmethod
+    def of_files(cls, model: str, tokenizer: str, dimensions: int, most_tokens: int = 512) -> LocalProvider:
+        """From an ONNX file and a tokenizer's JSON."""
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        session, words = onnxruntime.InferenceSession(model), Tokenizer.from_file(tokenizer)
+        words.enable_truncation(most_tokens)
+        names = {x.name for x in session.get_inputs()}
+
+        def run(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+            return session.run(None, {k: v for k, v in given.items() if k in names})[0]
+
+        return cls(lambda t: words.encode(t).ids, run, dimensions)
+
+
+def pair_scores(pairs: DataFrame, make: Callable[[], Callable[[list[tuple[str, str]]], np.ndarray]], batch: int = 32) -> DataFrame:
+    """(query_id, doc_id, score) of (query_id, doc_id, query, passage) by a cross-encoder: ``make`` gives, once a task, what
+    turns a batch of pairs into outputs (n, labels)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for b in batches:
+            both = list(zip(b["query"], b.passage, strict=True))
+            parts = [positive(model(both[at : at + batch])) for at in range(0, len(both), batch)]
+            yield pd.DataFrame({"query_id": b.query_id, "doc_id": b.doc_id, "score": np.concatenate(parts) if parts else []})
+
+    schema = pairs.select("query_id", "doc_id").schema.add("score", T.DoubleType())
+    return pairs.select("query_id", "doc_id", "query", "passage").mapInPandas(run, schema)
+
+
 @dataclass
 class HttpTransport:
     """Asks an endpoint that takes ``{"model", "input"}`` and answers ``{"data": [{"index", "embedding"}]}``."""

@@ -345,6 +345,44 @@ EXPECTED = {
             ('vector', 1, 1, 1, True),
         ],
     ),
+    "s12_more_languages": (
+        "path VARCHAR, kind VARCHAR, owner VARCHAR, name VARCHAR, params VARCHAR, calls VARCHAR, package VARCHAR, imports VARCHAR, comment VARCHAR, line INTEGER, end_line INTEGER",
+        [
+            ('C.cs', 'class', '', 'Store', '', '', 'App.Core', 'System.Text', '', 4, 4),
+            ('C.cs', 'method', 'Store', 'Clear', '', '', 'App.Core', 'System.Text', '', 10, 10),
+            ('E.hs', 'class', '', 'Tree', '', '', 'Data.Tree', 'Data.Map', '', 4, 4),
+            ('E.hs', 'class', '', 'a', '', '', 'Data.Tree', 'Data.Map', '', 5, 5),
+            ('E.hs', 'method', 'a', 'grow', '', '', 'Data.Tree', 'Data.Map', '', 7, 7),
+            ('H.vb', 'class', '', 'Cart', '', '', 'Shop', 'System.IO', '', 3, 3),
+            ('H.vb', 'method', 'Cart', 'Add', 'Integer', 'Total', 'Shop', 'System.IO', '', 4, 6),
+            ('H.vb', 'method', 'Cart', 'Clear', '', 'Drop', 'Shop', 'System.IO', '', 7, 9),
+            ('a.scala', 'class', '', 'Point', '', '', 'x.y', 'a.b.C', 'Adds.', 5, 5),
+            ('a.scala', 'class', '', 'Run', '', '', 'x.y', 'a.b.C', '', 10, 10),
+            ('a.scala', 'method', 'Point', 'add', 'other,n', 'make', 'x.y', 'a.b.C', '', 6, 8),
+            ('a.scala', 'method', 'Run', 'main', 'args', 'start', 'x.y', 'a.b.C', '', 11, 13),
+            ('b.swift', 'class', '', 'Drawn', '', '', '', 'UIKit', '', 3, 3),
+            ('b.swift', 'class', '', 'View', '', '', '', 'UIKit', '', 5, 5),
+            ('b.swift', 'method', 'View', 'make', 's', 'build', '', 'UIKit', '', 6, 8),
+            ('d.fs', 'class', '', 'Cart', '', '', 'Shop.Cart', 'System', '', 4, 4),
+            ('d.fs', 'method', 'Cart', 'Add', 'item,n', 'total', 'Shop.Cart', 'System', '', 5, 8),
+            ('d.fs', 'method', 'Cart', 'sum', '', '', 'Shop.Cart', 'System', '', 9, 11),
+            ('f.ex', 'class', '', 'Shop.Cart', '', '', 'Shop.Cart', 'Shop.Item', '', 1, 1),
+            ('f.ex', 'method', 'Shop.Cart', 'add', 'cart,item', 'push', 'Shop.Cart', 'Shop.Item', '', 4, 6),
+            ('f.ex', 'method', 'Shop.Cart', 'total', 'cart', '', 'Shop.Cart', 'Shop.Item', '', 8, 9),
+            ('g.clj', 'class', '', 'Cart', '', '', 'shop.cart', 'clojure.set', '', 4, 4),
+            ('g.clj', 'method', 'Cart', 'add', 'item', '', 'shop.cart', 'clojure.set', 'Adds.', 7, 8),
+        ],
+    ),
+    "s26_python_node_cmake": (
+        "path VARCHAR, tool VARCHAR, group_id VARCHAR, artifact_id VARCHAR, version VARCHAR, deps VARCHAR",
+        [
+            ('p/setup.py', 'python', 'python', 'my_lib', '1.2', 'python:numpy:1.2:runtime'),
+            ('q/setup.cfg', 'python', 'python', 'conf_lib', '0.3', 'python:requests:2:runtime,python:click:runtime'),
+            ('r/pyproject.toml', 'python', 'python', 'poet', '2.0', 'python:rich:13.1:runtime,python:attrs:22:runtime'),
+            ('s/package.json', 'node', 'npm', 'plain', 'unknown', 'npm:left-pad:1.0:runtime,npm:u:^2:runtime'),
+            ('v/CMakeLists.txt', 'cmake', 'cmake', 'big.thing', 'unknown', ''),
+        ],
+    ),
 }
 
 

@@ -56,6 +56,26 @@ GRADLE = {
 PIPELINES = "pipelines:\n\n  # words\n  - name: words\n    label: \"Words\"\n    retrievers: [keyword]\n\n  - name: both\n    requires: [vectors, ce]\n    retrievers: [keyword, vector]\n    oversample: 3\n    merger: rrf\n    rerankers: [ce, mmr]  # last\n\n  - name: _auto\n    visible: false\n    router: classifier\n    dispatch:\n      KEYWORD: words\n      default: both\n"
 
 
+LANGUAGES = {
+    'a.scala': 'package x.y\nimport a.b.C\n\n// Adds.\ncase class Point(x: Int) {\n  def add(other: Point, n: Int = 2): Point = {\n    make(x + n)\n  }\n}\nobject Run extends App {\n  override def main(args: Array[String]): Unit = {\n    start(args)\n  }\n}\n',
+    'b.swift': 'import UIKit\n\nprotocol Drawn {\n}\n@objc public class View: Base {\n    private static func make(size s: Int) -> View {\n        return build(s)\n    }\n}\n',
+    'C.cs': 'using System.Text;\nnamespace App.Core\n{\n    public sealed class Store\n    {\n        public async Task<int> Save(string key, int n)\n        {\n            return await Write(key, n);\n        }\n        private static void Clear() { Drop(); }\n    }\n}\n',
+    'd.fs': 'module Shop.Cart\nopen System\n\ntype Cart() =\n    member this.Add(item, n) =\n        push item\n        total(n)\n\nlet rec sum xs =\n    fold xs\n',
+    'E.hs': 'module Data.Tree where\nimport qualified Data.Map as M\n\ndata Tree = Leaf\nclass Shape a where\n  area :: a -> Int\ngrow :: Tree -> Tree\ngrow t = t\n',
+    'f.ex': 'defmodule Shop.Cart do\n  alias Shop.Item\n\n  def add(cart, item) do\n    push(cart, item)\n  end\n\n  defp total(cart), do: sum(cart)\nend\n',
+    'g.clj': '(ns shop.cart\n  (:require [clojure.set :as s]))\n\n(defrecord Cart [items])\n\n; Adds.\n(defn add [cart item]\n  (conj cart item))\n',
+    'H.vb': 'Imports System.IO\nNamespace Shop\nPublic Class Cart\n    Public Function Add(ByVal n As Integer) As Integer\n        Return Total(n)\n    End Function\n    Private Sub Clear()\n        Drop()\n    End Sub\nEnd Class\nEnd Namespace\n',
+}
+MORE_BUILDS = {
+    'p/setup.py': 'from setuptools import setup\nsetup(name=\'my-lib\', version="1.2", install_requires=[\'numpy>=1.2\', \'a.b[x]==3\', "six"])\n',
+    'q/setup.cfg': '[metadata]\nname = conf-lib\nversion = 0.3\n[options]\ninstall_requires =\n    requests>=2\n    click\npackages = find:\n',
+    'r/pyproject.toml': "[tool.poetry]\nname = 'poet'\nversion = '2.0'\n[tool.poetry.dependencies]\npython = '^3.9'\nrich = '^13.1'\nattrs = {version = '22'}\n",
+    's/package.json': '{"name": "plain", "dependencies": {"left-pad": "1.0"}, "peerDependencies": {"@t/u": "^2"}}',
+    'u/pyproject.toml': '[broken',
+    'v/CMakeLists.txt': 'cmake_minimum_required(VERSION 3)\nPROJECT( Big.Thing LANGUAGES C )\n',
+}
+
+
 def _frame(spark, rows: dict[str, str]):
     return spark.createDataFrame(list(rows.items()), "path string, text string")
 
@@ -154,6 +174,16 @@ def s12_languages_by_rule(spark, sf_dir):
     return code.parsed(_frame(spark, {p: t for p, t in CODE.items() if p.startswith("lib/")})).select("path", "kind", "owner", "name", F.array_join("params", ",").alias("params"), F.array_join("calls", ",").alias("calls"), "line", "end_line")
 
 
+def s12_more_languages(spark, sf_dir):
+    rows = code.parsed(_frame(spark, LANGUAGES))
+    return rows.select("path", "kind", "owner", "name", F.array_join("params", ",").alias("params"), F.array_join("calls", ",").alias("calls"), "package", F.array_join("imports", ",").alias("imports"), "comment", "line", "end_line")
+
+
+def s26_python_node_cmake(spark, sf_dir):
+    deps = F.array_join(F.transform("deps", lambda d: F.concat_ws(":", d["group_id"], d["artifact_id"], d["version"], d["scope"])), ",")
+    return builds.modules(_frame(spark, MORE_BUILDS)).select("path", "tool", "group_id", "artifact_id", "version", deps.alias("deps"))
+
+
 def s14_last_before(spark, sf_dir):
     """Each purchase with the user's last signup at or before it."""
     e = table(spark, sf_dir, "events")

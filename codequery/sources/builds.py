@@ -94,6 +94,11 @@ def _requirement(text: str) -> dict | None:
     return _dep("python", m[1].replace("-", "_"), m[2], "runtime") if m else None
 
 
+def _poetry_version(value) -> str | None:
+    value = value.get("version") if isinstance(value, dict) else value
+    return value.lstrip("^~") if isinstance(value, str) else None
+
+
 def python(path: str, text: str) -> dict | None:
     """``pyproject.toml``, ``setup.cfg`` or ``setup.py``."""
     base = path.rsplit("/", 1)[-1]
@@ -103,7 +108,7 @@ def python(path: str, text: str) -> dict | None:
         except tomllib.TOMLDecodeError:
             return None
         p, poetry = raw.get("project", {}), raw.get("tool", {}).get("poetry", {})
-        deps = [_requirement(d) for d in p.get("dependencies", [])] + [_dep("python", k.replace("-", "_"), v.lstrip("^~") if isinstance(v, str) else None, "runtime") for k, v in poetry.get("dependencies", {}).items() if k != "python"]
+        deps = [_requirement(d) for d in p.get("dependencies", [])] + [_dep("python", k.replace("-", "_"), _poetry_version(v), "runtime") for k, v in poetry.get("dependencies", {}).items() if k != "python"]
         name, version = p.get("name") or poetry.get("name"), p.get("version") or poetry.get("version")
     else:
         q = r"\s*=\s*['\"]?([^'\",\n]+)['\"]?"

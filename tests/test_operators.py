@@ -249,6 +249,37 @@ def test_http_provider(spark):
     assert rows(out, "id", F.get("vec", F.lit(0))) == [(1, 2.0), (2, 0.0)]
 
 
+def test_local_models(spark):
+    import numpy as np
+
+    from codequery.operators import embedding as M
+
+    seen = []
+
+    def run(ids, mask):
+        seen.append(ids.shape)
+        return np.stack([ids * 1.0, ids * 0.0 + 1.0], axis=2) + 100 * (1 - mask[..., None])
+
+    p = M.LocalProvider(lambda t: [len(w) for w in t.split()], run, 2, batch=2)
+    got = p.embed(["a bbb", "cc", "a a a a a", ""])
+    want = [(2.0, 1.0), (2.0, 1.0), (1.0, 1.0)]
+    assert all(np.allclose(g, np.array(w) / np.linalg.norm(w)) for g, w in zip(got, want)) and got[3] == [0.0, 0.0]
+    assert seen == [(2, 1), (2, 5)]
+    assert np.allclose(M.positive(np.array([[0.0], [2.0]])), [0.5, 1 / (1 + np.exp(-2))])
+    assert np.allclose(M.positive(np.array([[1.0, 1.0], [0.0, np.log(3)]])), [0.5, 0.75])
+    pairs = spark.createDataFrame([(1, 5, "a b", "a b c"), (1, 6, "a b", "x")], "query_id int, doc_id long, query string, passage string")
+    model = lambda: lambda both: np.array([[float(len(set(q.split()) & set(t.split())))] for q, t in both])
+    assert [(d, round(s, 4)) for d, s in rows(M.pair_scores(pairs, model), "doc_id", "score")] == [(5, 0.8808), (6, 0.5)]
+
+
+def test_walk_reads_a_tree(spark, tmp_path):
+    for p in ("a/x.java", "a/target/y.java", "a/.git/z.java", "a/b/node_modules/w.java", "a/b/n.md", "a/b/c.py"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(f"text of {p}")
+    got = files.walked(spark, str(tmp_path / "a"), ("java", "py"))
+    assert [(p.rsplit("/a/", 1)[1], t) for p, t in rows(got, "path", "text")] == [("b/c.py", "text of a/b/c.py"), ("x.java", "text of a/x.java")]
+
+
 def test_script_parser_by_hand():
     text = "/** Sums. */\nexport default function sum(a, b = f(1)) { return add(a, b); }\nclass A extends B { #x = 1; run() { if (x) { go(); } } static of(n) { return new A(n); } handler = async (e) => { on(e); } }\nconst t = `class C { m() {} }`; // class D {}\nconst cb = list.map((x) => x);\n"
     got = [(r["kind"], r["owner"], r["name"], r["params"], r["calls"], r["comment"]) for r in code.parse("u.js", text)]
