@@ -1,5 +1,9 @@
 """Semantics that the fixed tables do not reach."""
 
+import itertools
+import os
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,6 +18,7 @@ from codequery.operators import retrieval as R
 from codequery.operators import routing as Q
 from codequery.sources import builds, code, files
 
+DIR = "/root/testdata/sf0.001"
 LIST = "query_id int, rank int, doc_id long, score double"
 
 
@@ -280,6 +285,53 @@ def test_walk_reads_a_tree(spark, tmp_path):
     assert [(p.rsplit("/a/", 1)[1], t) for p, t in rows(got, "path", "text")] == [("b/c.py", "text of a/b/c.py"), ("x.java", "text of a/x.java")]
 
 
+def _first_lines(lines, room):
+    """How many lines a chunk takes: as many as fit, one at least, back to a blank line past the half."""
+    sizes = list(itertools.accumulate(len(x) + 1 for x in lines))
+    n = max(1, sum(x <= room for x in sizes))
+    blanks = [i for i in range(1, n) if not lines[i].strip()] if n < len(lines) else []
+    return blanks[-1] + 1 if blanks and sizes[blanks[-1] - 1] > room / 2 else n
+
+
+def _chunk_lengths(body, prefix, budget, head):
+    """(length, last line) of each chunk; ``head`` gives the lines repeated at the start of all but the first."""
+    if len(prefix) + len(body) + 10 <= budget:
+        return [(len(prefix) + len(body), body.count("\n") + 1)]
+    out, lines, done = [], body.split("\n"), 0
+    while done < len(lines):
+        n = _first_lines(lines[done:], max(1, budget - len(prefix) - 400))
+        over = head(lines, done) if done else []
+        kept = sum(len(x) + 1 for x in over) + len("// ...\n") if over else 0
+        out.append((len(prefix) + kept + len("\n".join(lines[done : done + n])), done + n))
+        done += n
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="tables are not here")
+def test_chunk_queries_by_hand(spark):
+    from codequery.plans.sources import n4_method_chunks, n6_document_chunks, n7_text_chunks
+    from codequery.plans.views import documents
+
+    docs = {r.doc_id: (r.body, r.name) for r in documents(spark, DIR).collect()}
+    first = lambda lines, _: [x for x in lines if x.strip()][:2]
+    last = lambda lines, at: lines[max(0, at - 3) : at]
+    four = {i: _chunk_lengths(b, n + "\n", 8000, first) for i, (b, n) in docs.items()}
+    assert rows(n4_method_chunks(spark, DIR), "id", "chunks", "longest", "lines") == sorted((i, len(c), max(x for x, _ in c), c[-1][1]) for i, c in four.items())
+    six = {i: _chunk_lengths(b, "", 4000, last) for i, (b, _) in docs.items()}
+    assert rows(n6_document_chunks(spark, DIR), "id", "chunks", "lines") == sorted((i, len(c), c[-1][1]) for i, c in six.items())
+    seven = []
+    for i, (b, _) in docs.items():
+        sizes = []
+        while len(b) > 2000:
+            ends = [[m.end() for m in re.finditer(sep, b[:2000]) if m.start() > 1000] for sep in ("\n(?=\n)", "\n", r"\. ", " ")]
+            ends[0] = [e + 1 for e in ends[0] if e + 1 <= 2000]
+            n = next((e[-1] for e in ends if e), 2000)
+            sizes.append(n)
+            b = b[max(n - 200, 1) :]
+        seven.append((i, len(sizes) + 1, max([*sizes, len(b)])))
+    assert rows(n7_text_chunks(spark, DIR), "id", "chunks", "longest") == sorted(seven)
+
+
 def test_script_parser_by_hand():
     text = "/** Sums. */\nexport default function sum(a, b = f(1)) { return add(a, b); }\nclass A extends B { #x = 1; run() { if (x) { go(); } } static of(n) { return new A(n); } handler = async (e) => { on(e); } }\nconst t = `class C { m() {} }`; // class D {}\nconst cb = list.map((x) => x);\n"
     got = [(r["kind"], r["owner"], r["name"], r["params"], r["calls"], r["comment"]) for r in code.parse("u.js", text)]
