@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequery.llm._support import checkpointed
+from codequery.llm._support import checkpointed, packed
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node it is linked to, directly or not.
 
     A round gives each node the least label among its neighbours, then the label of its label. Labels only fall, so
-    the rounds end; their number grows with the logarithm of a chain's length. Each round is kept in the shared
-    folder; only the count of changed labels reaches the driver. An empty table gives an empty one.
+    the rounds end; their number grows with the logarithm of a chain's length. Each round is kept in the shared folder,
+    in as many partitions as about ``rows`` edges fill (counted if not given); only counts reach the driver. An empty
+    table gives an empty one.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = checkpointed(both.where("a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("root")))
+    n = both.count() if rows is None else 2 * rows
+    both = packed(both, n)
+    least = packed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")), n)
+    labels = checkpointed(least.select("node", F.least("node", "_b").alias("root")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
-        low = labels.join(near, "node").select("node", F.col("root").alias("_was"), F.least("root", "_near").alias("_low"))
+        near = packed(both.join(labels.select(F.col("node").alias("b"), "root"), "b"), n)
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
+        low = packed(labels.join(near, "node"), n)
+        low = low.select("node", F.col("root").alias("_was"), F.least("root", "_near").alias("_low"))
         # A label is a node, so its own label is at hand: one jump for each round.
         jump = labels.select(F.col("node").alias("_low"), F.col("root").alias("_next"))
-        now = checkpointed(low.join(jump, "_low").select("node", "_was", F.least("_low", "_next").alias("root")))
+        now = packed(low.join(jump, "_low"), n).select("node", "_was", F.least("_low", "_next").alias("root"))
+        now = checkpointed(now)
         changed = now.where("root <> _was").limit(1).count()
         labels = now.select("node", "root")
         if not changed:

@@ -6,8 +6,10 @@ merge by adding counts, and do so for a language and source, a language, and all
 ``q75 + fence * max(q75 - q25, least spread)`` of the finest of those three groups that has ``least_rows`` rows.
 The sketches are joined back to the documents by null-safe keys, and the verdict is taken.
 
-Edge cases: a null text has no words and fails the base rule; null languages and sources are groups of their own;
-repeated rows count each time and are judged alike; columns besides those used pass through untouched.
+Edge cases: a null text has no words and fails the base rule; null languages and sources are groups of their own; texts
+of any length are read whole, and windows are counted by a sort within the text; ties of a rate share a bin; repeated rows
+count each time and are judged alike; an empty table gives no rows; columns besides those used pass through ``filtered``
+untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,15 +9,22 @@ An anchor's ball holds at most 4,034 different fingerprints whatever the input,
 bounded. Equal fingerprints are merged before that, and an anchor gives the edges of a spanning forest, not pairs.
 
 Two bits catch exact copies and the lightest edits. For documents that share most of their 5-word shingles (Jaccard
-similarity of 0.8 and more) the fingerprint is wider: 384 bits, so that its distance tells the similarity. Its twelve
+similarity of 0.8 and more) the fingerprint is wider: 640 bits, so that its distance tells the similarity. Its twenty
 32-bit blocks are covered each by the Hamming code on 31 bits in the same way, 16 anchors a block; a pair whose blocks
-come within two bits in any of the twelve and as a whole is a candidate. Candidates only gather documents into groups;
-within a group the exact similarity of the shingle sets decides. At similarity 0.8 a pair is a candidate with a chance
-of about five in six, at 0.85 of 19 in 20, at 0.9 nearly always.
-
-Edge cases: a null or blank text has fingerprint zero, linked like any other; fewer words than a shingle form one
-shingle; a null id keeps its row, and the least id of a component leaves nulls out (null if it has no other);
-repeated rows share their component; an empty table gives no rows; other columns are not read.
+come within two bits in any of the twenty and that is near as a whole is a candidate. The whole distance is taken at
+the anchor, so that what leaves an anchor is a forest of candidates that joins what all of its candidates would. The
+first block is met alone; at the anchors of the others a class only looks for those that it was not joined to by then.
+Candidates only gather
+documents into groups; within a group the exact similarity of the shingle sets decides, every pair of it. A pair of
+similarity 0.8 is a candidate with a chance of about 0.92 by this arithmetic, one of 0.85 of 0.99.
+
+Edge cases: a null or blank text has fingerprint zero, linked like any other by ``clustered``; as near-duplicates blank
+texts are copies of each other and near nothing else. Fewer words than a shingle form one shingle. A null id keeps its
+row, and the least id of a component leaves nulls out (null if it has no other); repeated rows share their component.
+``deduplicated`` judges rows, not ids: of a group the row with the least id stays, nulls last, ties by a hash of all
+columns; unlike rows that share an id or have none are judged each for itself. Texts of any length are read whole; a
+group's work is dealt out by numbers of shingles. An empty table gives no rows; other columns pass through
+``deduplicated`` whatever their names, and are not read by the others.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequery.llm._support import checkpointed
+from codequery.llm._support import checkpointed, packed
 from codequery.llm.components import components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -64,25 +71,27 @@ def fingerprints(df: DataFrame, size: int = SHINGLE) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def anchors(fp: np.ndarray, width: int = 63) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, index into fp) for every anchor within two bits of the lower ``width`` bits; fp is unsigned.
+def anchors(fp: np.ndarray, width: int = 63) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, index into fp, flips) for every anchor within two bits of the lower ``width`` bits; fp is unsigned.
 
     ``width`` is one less than a power of two. Bit i - 1 of a word stands for column i of the parity check, so the
     syndrome is the xor of the set bits' numbers; a word one or two flips from the code has their numbers xor to it.
+    Flips are the numbers of the bits, 0 for none, as ``i * (width + 1) + j``.
     """
     low = fp & np.uint64(2**width - 1)
     syndrome = np.zeros(len(fp), np.int64)
     for i in range(1, width + 1):
         syndrome ^= np.where((low >> np.uint64(i - 1)) & np.uint64(1), i, 0)
     bit = np.concatenate([[0], np.left_shift(np.uint64(1), np.arange(width, dtype=np.uint64))]).astype(np.uint64)
-    made, index = [low ^ bit[syndrome]], [np.arange(len(fp))]
+    made, index, flips = [low ^ bit[syndrome]], [np.arange(len(fp))], [syndrome * (width + 1)]
     for i in range(1, width + 1):
         # flips i and i ^ syndrome, once for each pair; neither may be the empty flip 0
         j = syndrome ^ i
         at = np.flatnonzero((syndrome != 0) & (j > i))
         made.append(low[at] ^ bit[i] ^ bit[j[at]])
         index.append(at)
-    return np.concatenate(made), np.concatenate(index)
+        flips.append(i * (width + 1) + j[at])
+    return np.concatenate(made), np.concatenate(index), np.concatenate(flips)
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -104,13 +113,15 @@ def _forest(fp: np.ndarray, threshold: int) -> list[tuple[int, int]]:
 
 
 def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): edges between different fingerprints of ``distinct`` (fp) that join what links of at most ``threshold`` <= 2 bits join."""
+    """(a, b): edges between different fingerprints of ``distinct`` (fp) that join what links of at most ``threshold``
+    <= 2 bits join."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            anchor, index = anchors(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[index].view(np.int64))], ["anchor", "fp"])
+            anchor, index, _ = anchors(fp)
+            rows = [pa.array(anchor.view(np.int64)), pa.array(fp[index].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(rows, ["anchor", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -143,7 +154,8 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             yield found(*held)
 
     placed = distinct.select("fp").mapInArrow(spread, "anchor long, fp long")
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
+    placed = placed.repartition("anchor").sortWithinPartitions("anchor")
+    return placed.mapInArrow(compare, "a long, b long").distinct()
 
 
 def clustered(df: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -154,11 +166,14 @@ def clustered(df: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) ->
 
 
 def _labelled_rows(found: DataFrame, classes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    """``found`` with ``component_id``; only classes that hold several rows or are linked need a lookup, all others are their own."""
+    """``found`` with ``component_id``; only classes that hold several rows or are linked need a lookup, all others are
+    their own."""
     near = classes.join(roots, F.col(key) == F.col("node")).select(key, "least", "root")
     lowest = near.groupBy("root").agg(F.min("least").alias("lowest"))
-    alone = classes.where("n > 1").join(roots, F.col(key) == F.col("node"), "left_anti").select(key, F.col("least").alias("lowest"))
-    known = checkpointed(near.join(lowest, "root").select(key, "lowest").unionByName(alone)).select(F.col(key).alias("_key"), "lowest", F.lit(True).alias("_known"))
+    alone = classes.where("n > 1").join(roots, F.col(key) == F.col("node"), "left_anti")
+    alone = alone.select(key, F.col("least").alias("lowest"))
+    known = checkpointed(near.join(lowest, "root").select(key, "lowest").unionByName(alone))
+    known = known.select(F.col(key).alias("_key"), "lowest", F.lit(True).alias("_known"))
     out = found.join(known, F.col(key) == F.col("_key"), "left")
     return out.withColumn("component_id", F.when(F.col("_known"), F.col("lowest")).otherwise(F.col("doc_id")))
 
@@ -170,11 +185,19 @@ def report(df: DataFrame) -> DataFrame:
 
 # -- wide fingerprints -------------------------------------------------------------------------------------------------
 
-WIDE_SHINGLE, SIMILARITY, WORDS = 5, 0.8, 6
-#: Standard deviations of the measured distance that a pair may lie beyond its similarity's.
-LEEWAY = 1.0
-#: Classes of one part of a group; two parts are compared at a time.
-CELL = 512
+WIDE_SHINGLE, SIMILARITY, WORDS = 5, 0.8, 10
+#: Standard deviations of the measured distance that a candidate may lie beyond its similarity's.
+LEEWAY = 2.0
+#: Blocks of a wide fingerprint by round.
+ROUNDS = (range(1), range(1, 2 * WORDS))
+#: Classes, and shingles, of one part of a group; two parts are compared at a time.
+CELL, CELL_SHINGLES = 512, 1 << 20
+#: Classes of a group of several parts that meet all of its parts first, on average.
+LEADERS = 32
+#: Values of the filter of texts that may matter, the most rows that its broadcast can have.
+SLOTS = 1 << 20
+
+_LANES = np.uint64(0x0101010101010101)
 
 
 def shingles(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
@@ -188,129 +211,175 @@ def shingles(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
 
 
 def wide_fingerprint(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
-    """Six words of 64 bits over the distinct shingles of a text; six zeros without a word."""
+    """Ten words of 64 bits over the distinct shingles of a text; zeros without a word."""
     return _wide(shingles(text, size))
 
 
 def _wide(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(WORDS, np.uint64)
-    ones = np.zeros(64 * WORDS, np.int64)
-    for k in range(0, len(hashes), 1 << 13):
+    ones = np.zeros((WORDS, 8, 8), np.int64)  # by word, byte and bit
+    for k in range(0, len(hashes), 255 << 5):
         # one hash gives all words, each from a mix of its own
-        z = hashes[k : k + (1 << 13), None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = hashes[k : k + (255 << 5), None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
-        ones += np.unpackbits(z.astype(">u8").view(np.uint8).reshape(len(z), -1), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64)
+        # Eight counters side by side in each word: 255 rows at a time can't overflow a byte.
+        starts = np.arange(0, len(z), 255)
+        for bit in range(8):
+            lanes = np.add.reduceat((z >> np.uint64(bit)) & _LANES, starts, axis=0)
+            ones[:, :, bit] += lanes.view(np.uint8).reshape(len(starts), WORDS, 8).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones.reshape(WORDS, 64) > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def most_bits(similarity: float) -> int:
-    """The distance of 384 bits up to which a pair counts as so similar: that of sets of equal size, and the leeway."""
+    """The distance up to which a pair is a candidate: that of sets of equal size so similar, and the leeway."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * WORDS
     return round(p * n + LEEWAY * math.sqrt(n * p * (1 - p)))
 
 
-def _meeting(classes: DataFrame) -> DataFrame:
-    """(anchor, k): classes (k, w array) at each anchor where another one comes within two bits of their block."""
+def _by_key(run, width: int, drop: int = 0):
+    """``run`` over the rows of whole keys: batches sorted by their first column, a long, are cut where it changes but
+    for its lowest ``drop`` bits. ``run`` gets ``width`` arrays, the last being a matrix where the column is a list."""
+
+    def column(c: pa.Array) -> np.ndarray:
+        if pa.types.is_list(c.type):
+            return c.flatten().to_numpy().view(np.uint64).reshape(len(c), -1)
+        return c.to_numpy()
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [column(c) for c in b.columns[:width]]
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+            cut = int(np.searchsorted(now[0], now[0][-1] >> drop << drop))  # the last key may go on in the next batch
+            held = [x[cut:] for x in now]
+            if cut:
+                yield run(*(x[:cut] for x in now))
+        if held:
+            yield run(*held)
+
+    return over
+
+
+def _meeting(classes: DataFrame, blocks: range) -> DataFrame:
+    """(anchor, k): classes (k, w array, root) at each anchor where one of another root comes within two bits of their
+    block. A root of 0 is unlike all others."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                b = batch.slice(at, 4096)
-                k, w = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-                for block in range(2 * WORDS):
+            for at in range(0, batch.num_rows, 2048):
+                b = batch.slice(at, 2048)
+                w = b.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+                k, root = b.column(0).to_numpy(), b.column(2).to_numpy()
+                for block in blocks:
                     word = (w[:, block // 2] >> np.uint64(32 * (block % 2))) & np.uint64(2**31 - 1)
-                    anchor, index = anchors(word, 31)
-                    key = anchor.astype(np.int64) | block << 32
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(word[index].astype(np.int32)), pa.array(k[index])], ["anchor", "word", "k"])
-
-    def met(anchor: np.ndarray, word: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-        fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (word[1:] != word[:-1])]
-        row = np.cumsum(fresh) - 1  # the number of each row's (anchor, word)
-        active = np.bincount(row) > 1
-        at, words = anchor[fresh], word[fresh].astype(np.uint64)
+                    anchor, index, flips = anchors(word, 31)
+                    key = (anchor.astype(np.int64) | block << 31) << 10 | flips
+                    rows = [pa.array(key), pa.array(k[index]), pa.array(root[index])]
+                    yield pa.RecordBatch.from_arrays(rows, ["key", "k", "root"])
+
+    bit = np.concatenate([[0], np.left_shift(1, np.arange(31))]).astype(np.uint64)
+
+    def met(key: np.ndarray, k: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))  # the number of each row's (anchor, word)
+        at, flips = key[first] >> 10, key[first] & 1023
+        words = (at & (2**31 - 1)).astype(np.uint64) ^ bit[flips >> 5] ^ bit[flips & 31]
+        # of the words within two bits: the number of rows, the least and the greatest root
+        some = np.bincount(of)
+        low, high = np.minimum.reduceat(root, first), np.maximum.reduceat(root, first)
+        near = [some.copy(), low.copy(), high.copy()]
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         counts = np.diff(np.r_[starts, len(at)])
         two = starts[counts == 2]
         two = two[_bits(words[two] ^ words[two + 1]) <= THRESHOLD]
-        active[two] = active[two + 1] = True
+        for to, x, best in zip(near, (some, low, high), (np.add, np.minimum, np.maximum), strict=True):
+            to[two] = to[two + 1] = best(x[two], x[two + 1])
         for s, n in zip(starts[counts > 2], counts[counts > 2], strict=True):
             # an anchor's ball holds 497 words at most
-            near = _bits(words[s : s + n, None] ^ words[s : s + n]) <= THRESHOLD
-            active[s : s + n] |= near.sum(1) > 1
-        left = active[row]
-        return pa.RecordBatch.from_arrays([pa.array(anchor[left]), pa.array(k[left])], ["anchor", "k"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
-        for b in batches:
-            rows = [np.r_[h, c.to_numpy()] for h, c in zip(held, b.columns, strict=True)]
-            if not len(rows[0]):
-                continue
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last anchor may go on in the next batch
-            held = [r[cut:] for r in rows]
-            if cut:
-                yield met(*(r[:cut] for r in rows))
-        if len(held[0]):
-            yield met(*held)
+            part = slice(s, s + n)
+            close = _bits(words[part, None] ^ words[part]) <= THRESHOLD
+            near[0][part] = close @ some[part]
+            near[1][part] = np.where(close, low[part], np.iinfo(np.int64).max).min(1)
+            near[2][part] = np.where(close, high[part], -1).max(1)
+        left = (near[0][of] > 1) & ((root == 0) | (near[1][of] != root) | (near[2][of] != root))
+        return pa.RecordBatch.from_arrays([pa.array((key >> 10)[left]), pa.array(k[left])], ["anchor", "k"])
 
-    placed = classes.select("k", "w").mapInArrow(spread, "anchor long, word int, k long")
-    return placed.repartition("anchor").sortWithinPartitions("anchor", "word").mapInArrow(compare, "anchor long, k long")
+    placed = classes.select("k", "w", "root").mapInArrow(spread, "key long, k long, root long")
+    placed = placed.repartition(F.shiftright("key", 10)).sortWithinPartitions("key")
+    return placed.mapInArrow(_by_key(met, 3, 10), "anchor long, k long")
 
 
-def _wide_forest(w: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """As ``_forest``, over the whole of wide fingerprints."""
+def _wide_forest(w: np.ndarray, root: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """As ``_forest``, over the whole of wide fingerprints; those that share a root, not 0, count as joined."""
     left, edges = np.arange(len(w)), []
     while len(left):
-        todo, left = [left[0]], left[1:]
+        todo, tree, left = [left[0]], {int(root[left[0]])}, left[1:]
         while todo and len(left):
             k = todo.pop()
             near = _bits(w[left] ^ w[k]).sum(1, dtype=np.int64) <= most
-            edges += [(k, j) for j in left[near]]
-            todo += list(left[near])
+            if root[k]:
+                near |= root[left] == root[k]
+            for j in left[near].tolist():
+                if not root[j] or int(root[j]) not in tree:
+                    edges.append((k, j))
+                tree.add(int(root[j]))
+            todo += left[near].tolist()
             left = left[~near]
     return edges
 
 
-def wide_links(classes: DataFrame, most: int) -> DataFrame:
-    """(a, b): edges between classes (k, w array), each at most ``most`` bits long, that join what all pairs so near
-    would that meet in a block. The whole fingerprint goes to the anchors where a class meets another, and each anchor
-    gives a spanning forest of its links; a forest over the blocks alone would lose links behind a far centre."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
-
-        def found(anchor: np.ndarray, k: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-            counts = np.diff(np.r_[starts, len(anchor)])
-            two = starts[counts == 2]
-            two = two[_bits(w[two] ^ w[two + 1]).sum(1, dtype=np.int64) <= most]
-            edges = [np.stack([k[two], k[two + 1]])]
-            for s, n in zip(starts[counts > 2], counts[counts > 2], strict=True):
-                if near := _wide_forest(w[s : s + n], most):
-                    edges.append(k[s:][np.array(near).T])
-            both = np.unique(np.sort(np.concatenate(edges, axis=1), axis=0), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            w = b.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-            anchor, k, w = (np.concatenate(x) for x in zip(held, (b.column(0).to_numpy(), b.column(1).to_numpy(), w), strict=True))
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            held = (anchor[cut:], k[cut:], w[cut:])
-            if cut:
-                yield found(anchor[:cut], k[:cut], w[:cut])
-        if len(held[0]):
-            yield found(*held)
+def wide_links(classes: DataFrame, most: int, blocks: range = range(2 * WORDS)) -> DataFrame:
+    """(a, b): edges between classes (k, w array, root), each at most ``most`` bits long, that join what all pairs so
+    near would that meet in one of ``blocks``; classes that share a root, not 0, count as joined. The whole fingerprint
+    goes to the anchors where a class meets another, and each anchor gives a spanning forest of its links; a forest over
+    the blocks alone would lose links behind a far centre."""
 
-    # At most 192 anchors a class, gathered so that its fingerprint is fetched once.
-    met = _meeting(classes).groupBy(F.col("k").alias("_k")).agg(F.collect_list("anchor").alias("_at"))
-    rows = classes.join(met, F.col("k") == F.col("_k")).select(F.explode("_at").alias("anchor"), "k", "w")
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
+    def found(anchor: np.ndarray, k: np.ndarray, root: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        counts = np.diff(np.r_[starts, len(anchor)])
+        two = starts[counts == 2]
+        two = two[_bits(w[two] ^ w[two + 1]).sum(1, dtype=np.int64) <= most]
+        edges = [np.stack([k[two], k[two + 1]])]
+        for s, n in zip(starts[counts > 2], counts[counts > 2], strict=True):
+            if near := _wide_forest(w[s : s + n], root[s : s + n], most):
+                edges.append(k[s:][np.array(near).T])
+        both = np.unique(np.sort(np.concatenate(edges, axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    # At most 16 anchors a block and class, gathered so that its fingerprint is fetched once.
+    met = _meeting(classes, blocks).groupBy(F.col("k").alias("_k")).agg(F.collect_list("anchor").alias("_at"))
+    rows = classes.join(met, F.col("k") == F.col("_k")).select(F.explode("_at").alias("anchor"), "k", "root", "w")
+    # In order of k, so that anchors that hold the same classes hang them on the same one.
+    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "k")
+    return rows.mapInArrow(_by_key(found, 4), "a long, b long").distinct()
+
+
+def wide_groups(classes: DataFrame, most: int, rows: int | None = None) -> DataFrame:
+    """(node, root) of the classes (k, w array), about ``rows``, that candidates join. The second round of blocks knows
+    what the first has joined, so that a large group of near copies is not compared again at each of its anchors; and its
+    edges are taken between what the first has joined, so that its many come down to few."""
+    rows = classes.count() if rows is None else rows
+    none = F.lit(0).cast("long").alias("root")
+    first = components(packed(wide_links(classes.select("k", "w", none), most, ROUNDS[0]), rows), rows)
+    known = first.select("node", F.col("root").alias("label"))
+    asked = packed(classes.join(known, F.col("k") == F.col("node"), "left"), rows)
+    asked = asked.select("k", "w", F.coalesce(F.col("label") + 1, none).alias("root"))
+    second = packed(checkpointed(wide_links(asked, most, ROUNDS[1])), rows)
+    at = lambda end: known.select(F.col("node").alias(f"_{end}"), F.col("label").alias(f"_l{end}"))
+    met = packed(second.join(at("a"), F.col("a") == F.col("_a"), "left").select(F.coalesce("_la", "a").alias("a"), "b"), rows)
+    met = met.join(at("b"), F.col("b") == F.col("_b"), "left").select("a", F.coalesce("_lb", "b").alias("b"))
+    roots = components(packed(met, rows), rows).select(F.col("node").alias("_label"), "root")
+    # What the first round has joined follows its label; a label or class of its own that the second has joined is a node.
+    told = packed(known.join(roots, F.col("label") == F.col("_label"), "left"), rows)
+    told = told.select("node", F.coalesce("root", "label").alias("root"))
+    new = roots.join(known, F.col("_label") == F.col("node"), "left_anti").select(F.col("_label").alias("node"), "root")
+    return checkpointed(told.unionByName(packed(new, rows)))
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -318,7 +387,7 @@ def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
     n, sizes = len(sets), np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.r_[0, np.cumsum(sizes)]
-    owners = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    owners = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(ids, kind="stable")]
     at = np.r_[0, np.cumsum(np.bincount(ids))] if len(ids) else np.zeros(1, np.int64)
     left, edges = np.ones(n, bool), []
     for first in range(n):
@@ -327,92 +396,191 @@ def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
         todo, left[first] = [first], False
         while todo:
             k = todo.pop()
-            lists = [owners[at[i] : at[i + 1]] for i in ids[ends[k] : ends[k + 1]]]
-            if not lists or not left.any():
-                continue
-            shared = np.bincount(np.concatenate(lists), minlength=n)
-            near = np.flatnonzero(left & (shared >= similarity * (sizes[k] + sizes - shared) - 1e-9))
+            if not left.any():
+                return edges
+            shared = np.zeros(n, np.int64)
+            own = ids[ends[k] : ends[k + 1]]
+            for lo in range(0, len(own), 1 << 12):
+                lists = [owners[at[i] : at[i + 1]] for i in own[lo : lo + (1 << 12)]]
+                shared += np.bincount(np.concatenate(lists), minlength=n)
+            near = np.flatnonzero(left & (shared >= similarity * (sizes[k] + sizes - shared) - 1e-9) & (shared > 0))
             edges += [(k, j) for j in near]
             todo += list(near)
             left[near] = False
     return edges
 
 
-def exact_links(members: DataFrame, texts: DataFrame, similarity: float, size: int = WIDE_SHINGLE, most: int | None = None) -> DataFrame:
-    """(a, b): edges between classes of one group, each of at least that exact Jaccard similarity, that join what all
-    such pairs of the group would. ``members`` (k, root, t) gives each class, its group and its text's hash, ``texts``
-    (t, text). A group of more than ``most`` classes is dealt into parts, and every two parts meet in a cell."""
-    most = most or CELL
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                sets = [shingles(t.as_py(), size).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["_k", "hashes"])
+def _in_cells(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): edges that join what all pairs so similar within a cell would; rows (cell, k, hashes)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def found() -> pa.RecordBatch:
             edges = _similar([h for _, h in held], similarity)
-            return pa.RecordBatch.from_arrays([pa.array([held[x[i]][0] for x in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+            ends = [pa.array([held[x[i]][0] for x in edges], pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
         for b in batches:
-            for root, one, two, k, h in (tuple(c.as_py() for c in x) for x in zip(*b.columns, strict=True)):
-                if key != (root, one, two):
+            for cell, k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if cell != key:
                     if len(held) > 1:
                         yield found()
-                    key, held = (root, one, two), []
-                held.append((k, np.frombuffer(h, np.uint64)))
+                    key, held = cell, []
+                held.append((k, np.frombuffer(h.as_py(), np.uint64)))
         if len(held) > 1:
             yield found()
 
-    groups = members.groupBy(F.col("root").alias("_root")).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
-    placed = members.join(groups, F.col("root") == F.col("_root"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    cells = placed.select("k", "root", F.pmod(F.xxhash64("k"), F.col("_parts")).cast("int").alias("_part"), other.alias("_other"))
-    cells = cells.select("k", "root", F.least("_part", "_other").alias("_one"), F.greatest("_part", "_other").alias("_two"))
-    # Copies are merged before the join, as one text can be most of the rows.
-    sets = texts.dropDuplicates(["t"]).join(members.select(F.col("t").alias("_t"), "k"), F.col("t") == F.col("_t")).select("k", "text")
-    sets = sets.mapInArrow(run, "_k long, hashes binary")
-    rows = cells.join(sets, F.col("k") == F.col("_k")).select("root", "_one", "_two", "k", "hashes")
-    rows = rows.repartition("root", "_one", "_two").sortWithinPartitions("root", "_one", "_two")
+    rows = rows.select("cell", "k", "hashes").repartition("cell").sortWithinPartitions("cell")
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_clusters(df: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE) -> DataFrame:
-    """(doc_id, component_id) of every row: rows as similar as that, directly or by way of others, share the least id.
+def _slot(t: str):
+    return F.pmod(F.col(t), F.lit(SLOTS))
 
-    A class is the rows of one shingle set. The distance only gathers classes into groups; within a group the sets decide.
+
+def _within(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+    """Those of ``rows`` (t) whose hash has a slot that ``wanted`` (t) has too, or not (how: left_semi, left_anti). The
+    slots, which are SLOTS at most whatever the input, are broadcast; a filter that spares rows a shuffle, no more."""
+    slots = wanted.select(_slot("t").alias("_slot")).distinct()
+    return rows.join(F.broadcast(slots), _slot("t") == F.col("_slot"), how)
+
+
+def exact_links(
+    members: DataFrame,
+    texts: DataFrame,
+    similarity: float,
+    size: int = WIDE_SHINGLE,
+    most: int | None = None,
+    rows: int | None = None,
+) -> DataFrame:
+    """(a, b): edges between classes of one group, each of at least that exact Jaccard similarity, that join what all
+    such pairs of the group would. ``members`` (k, root, t, size) gives each class, its group, its text's hash and its
+    number of shingles; ``texts`` (t, text).
+
+    A group of more than ``most`` classes is dealt into parts. A few of its classes, chosen by hash, meet every part,
+    which joins the copies of a large group at a cost that grows with its size alone. What is apart after that is dealt
+    anew, each large cluster into bins of its own, and bins meet two at a time unless they are of one cluster.
     """
+    most, few = most or CELL, members.count() if rows is None else rows
+    cells = lambda n, total: F.ceil(F.greatest(n / most, total / CELL_SHINGLES)).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingles(t.as_py(), size).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["_k", "hashes"])
+
+    groups = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    groups = groups.select(F.col("root").alias("_root"), F.col("n").alias("_n"), cells(F.col("n"), F.col("total")).alias("parts"))
+    placed = checkpointed(packed(members.join(groups, F.col("root") == F.col("_root")).drop("_root"), few))
+    # Copies are merged before the join, as one text can be most of the rows.
+    once = _within(texts, members, "left_semi").dropDuplicates(["t"])
+    sets = once.join(placed.select(F.col("t").alias("_t"), "k"), F.col("t") == F.col("_t")).select("k", "text")
+    sets = checkpointed(sets.mapInArrow(run, "_k long, hashes binary"))
+
+    leader = (F.col("parts") > 1) & (F.pmod(F.xxhash64("k", F.lit(7)), F.col("_n")) < LEADERS)
+    own = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
+    part = F.explode(F.when(leader, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
+    rows = placed.select("k", "root", part.alias("part")).select("k", F.xxhash64("root", "part").alias("cell"))
+    edges = _in_cells(rows.join(sets, F.col("k") == F.col("_k")), similarity)
+    large = placed.where("parts > 1")
+    if not large.limit(1).count():
+        return edges
+
+    edges = packed(checkpointed(edges), few)
+    joined = components(edges, few).select("node", F.col("root").alias("_c"))
+    large = large.join(joined, F.col("k") == F.col("node"), "left")
+    large = checkpointed(packed(large.select("k", "root", "size", F.coalesce("_c", "k").alias("c")), few))
+    clusters = large.groupBy("root", "c").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    big = (2 * F.col("n") > most) | (2 * F.col("total") > CELL_SHINGLES)
+    clusters = clusters.withColumn("own", F.when(big, cells(F.col("n"), F.col("total"))))
+    rest = clusters.where("own IS NULL").groupBy(F.col("root").alias("_root"))
+    rest = rest.agg(cells(F.sum("n"), F.sum("total")).alias("rest"))
+    clusters = clusters.join(rest, F.col("root") == F.col("_root"), "left")
+    clusters = clusters.select(F.col("root").alias("_root"), F.col("c").alias("_c"), "own", "rest")
+    mine = F.when(F.col("own").isNotNull(), F.struct(F.col("c").alias("c"), F.pmod(F.xxhash64("k"), F.col("own")).alias("i")))
+    mine = mine.otherwise(F.struct(F.lit(None).cast("long").alias("c"), F.pmod(F.xxhash64("c"), F.col("rest")).alias("i")))
+    dealt = large.join(clusters, (F.col("root") == F.col("_root")) & (F.col("c") == F.col("_c")))
+    dealt = checkpointed(packed(dealt.select("k", "root", mine.alias("bin")), few))
+    bins = dealt.select("root", "bin").distinct()
+    one = bins.select("root", F.col("bin").alias("one"))
+    two = bins.select(F.col("root").alias("_root"), F.col("bin").alias("two"))
+    apart = F.col("one.c").isNull() | F.col("two.c").isNull() | (F.col("one.c") != F.col("two.c"))
+    pairs = one.join(two, (F.col("root") == F.col("_root")) & (F.col("one") <= F.col("two")) & apart)
+    pairs = pairs.select(F.col("root").alias("_root"), "one", "two", F.xxhash64("root", "one.c", "one.i", "two.c", "two.i").alias("cell"))
+    both = pairs.select("_root", F.col("one").alias("_bin"), "cell").unionByName(
+        pairs.where("one <> two").select("_root", F.col("two").alias("_bin"), "cell")
+    )
+    rows = dealt.join(both, (F.col("root") == F.col("_root")) & F.col("bin").eqNullSafe(F.col("_bin"))).select("k", "cell")
+    return edges.unionByName(_in_cells(rows.join(sets, F.col("k") == F.col("_k")), similarity)).distinct()
+
+
+def _clusters(rows: DataFrame, similarity: float, size: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(found, classes, roots, number of classes) of rows (doc_id, text, t, r): found (doc_id, t, r, h) has the hash h of every row's shingle
+    set; classes (h, k, least, n) are the rows of one set, k a number that takes less room than a hash where it is
+    copied; roots (node, root) of the numbers of classes that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # a text's hashes are let go before the next one's are made
             flat, keys = np.zeros((b.num_rows, WORDS), np.uint64), np.zeros(b.num_rows, np.uint64)
+            sizes = np.zeros(b.num_rows, np.int64)
             for i, t in enumerate(b.column(1)):
                 hashes = shingles(t.as_py(), size)
-                flat[i], keys[i] = _wide(hashes), xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS), pa.array(flat.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys.view(np.int64)), lists], ["doc_id", "t", "k", "w"])
-
-    texts = df.select("text", F.xxhash64("text").alias("t"))
-    found = df.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
-    found = checkpointed(found.mapInArrow(run, "doc_id long, t long, k long, w array<long>"))
-    classes = checkpointed(found.groupBy("k").agg(F.min("w").alias("w"), F.min("t").alias("t"), F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    groups = components(wide_links(classes, most_bits(similarity)))
-    members = checkpointed(classes.join(groups, F.col("k") == F.col("node")).select("k", "root", "t"))
-    pairs = exact_links(members, texts, similarity, size)
-    return _labelled_rows(found, classes, components(pairs), "k").select("doc_id", "component_id")
-
-
-def deduplicated(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each cluster of near-duplicates: the row with its least id, and every row without an id."""
+                flat[i], keys[i], sizes[i] = _wide(hashes), xxhash.xxh64_intdigest(hashes.tobytes(), SEED), len(hashes)
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS)
+            lists = pa.ListArray.from_arrays(ends, pa.array(flat.ravel().view(np.int64)))
+            made = [b.column(0), b.column(2), b.column(3), pa.array(keys.view(np.int64)), pa.array(sizes), lists]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "t", "r", "h", "size", "w"])
+
+    found = rows.select("doc_id", "text", "t", "r")
+    found = checkpointed(found.mapInArrow(run, "doc_id long, t long, r long, h long, size long, w array<long>"))
+    least = lambda c: F.min(c).alias(c)
+    classes = found.groupBy("h").agg(least("w"), least("t"), least("size"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    classes = checkpointed(classes.withColumn("k", F.monotonically_increasing_id()))
+    n = classes.count()
+    groups = wide_groups(classes.select("k", "w"), most_bits(similarity), n)
+    members = packed(classes.join(groups, F.col("k") == F.col("node")), n).select("k", "root", "t", "size")
+    pairs = exact_links(checkpointed(members), rows.select("t", "text"), similarity, size, rows=n)
+    return found, classes, components(packed(pairs, n), n), n
+
+
+def near_clusters(df: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE) -> DataFrame:
+    """(doc_id, component_id) of every row: rows as similar as that, directly or by way of others, share the least id.
+
+    The distance only gathers classes into groups; within a group the sets decide.
+    """
+    t = F.xxhash64("text")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", t.alias("t"), F.lit(0).cast("long").alias("r"))
+    found, classes, roots, _ = _clusters(rows, similarity, size)
+    named = classes.join(roots, F.col("k") == F.col("node")).select(F.col("h").alias("node"), "root")
+    return _labelled_rows(found, classes, checkpointed(named), "h").select("doc_id", "component_id")
+
+
+def deduplicated(df: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE) -> DataFrame:
+    """One row of each cluster of near-duplicates: that with the least id, nulls last, ties by a hash of its columns."""
     own = df.columns
-    found = near_clusters(df, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = df.join(found, F.col("doc_id") == F.col("_id"), "left_semi")
-    # A repeated id stands for copies: the row with the least text stays.
-    rest = F.struct(*(F.col(f"`{c}`") for c in own if c != "doc_id"))
-    first = kept.groupBy("doc_id").agg(F.min_by(rest, F.col("text")).alias("_rest")).select("doc_id", "_rest.*")
-    return first.select(*own).unionByName(df.where("doc_id IS NULL").select(*own))
+    every = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    rows = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text",
+        F.xxhash64("text").alias("t"), F.xxhash64(*every).alias("r"),
+    )
+    found, classes, roots, n = _clusters(rows.drop("row"), similarity, size)
+    # Rows that have a class to themselves that is not linked stay as they are; the others are judged.
+    linked = packed(classes.join(roots, F.col("k") == F.col("node"), "left"), n).where("n > 1 OR root IS NOT NULL")
+    linked = linked.select(F.col("h").alias("_h"), F.coalesce("root", "k").alias("component"))
+    judged = found.join(linked, F.col("h") == F.col("_h"))
+    judged = judged.groupBy("component", "t", "r").agg(F.min("doc_id").alias("doc_id"))
+    judged = packed(checkpointed(judged), n)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "r")).alias("best")
+    stays = judged.groupBy("component").agg(best).select(F.col("best.t").alias("_t"), F.col("best.r").alias("_r"))
+    goes = judged.join(stays, (F.col("t") == F.col("_t")) & (F.col("r") == F.col("_r")), "left_anti")
+    goes = goes.select(F.col("t").alias("_t"), F.col("r").alias("_r"))
+    rows = rows.select("row", "t", "r")
+    alone = _within(rows, judged, "left_anti").select("row")
+    # Rows alike in all columns are merged before they move.
+    few = _within(rows, judged, "left_semi").groupBy("t", "r").agg(F.first("row").alias("row"))
+    few = few.join(goes, (F.col("t") == F.col("_t")) & (F.col("r") == F.col("_r")), "left_anti").select("row")
+    return alone.unionByName(few).select("row.*")

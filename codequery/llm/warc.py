@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequery.llm._support import checkpointed, shared_dir
+from codequery.llm._support import checkpointed, deleted, shared_dir
 
 ROLES = ("response", "request", "metadata")
 #: Bytes of records after which a task begins another file, and the smallest payload of which repeats become revisits.
@@ -254,10 +254,6 @@ def report(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         told["refers-to-page"].cast("long").alias("refers_to"),
     )
     out = checkpointed(out)
-    _delete(spark, folder)
+    deleted(spark, folder)
     return out
 
-
-def _delete(spark, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

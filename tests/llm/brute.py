@@ -26,13 +26,11 @@ def license_base(text):
 
 
 def license_spans(text, rules):
-    """Detections by rule on the words, resolved by containment: (start, end, label)."""
+    """Detections by rule on the words, resolved by containment: (start, end, label). No gates."""
     words, _ = license_base(text)
     flat = f" {' '.join(words)} " if words else "  "
     found = []
     for r in rules:
-        if r.gate not in flat:
-            continue
         found += [(flat[: m.start()].count(" ") - 1, flat[: m.start()].count(" ") + m[0].count(" "), r) for m in re.finditer(r.regex, flat)]
 
     def drops(e, d):
@@ -134,23 +132,35 @@ def clusters(docs, threshold=2):
     return [(f, least.get(find(f))) for f in fps]
 
 
+def shingle_set(t, k=5):
+    """The word shingles of a text; none without a word."""
+    w = WORD.findall(ascii_lower(t))
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or ({" ".join(w)} if w else set())
+
+
 def jaccard(a, b, k=5):
     """Similarity of two texts by their sets of word shingles."""
-    sets = []
-    for t in (a, b):
-        w = WORD.findall(ascii_lower(t))
-        sets.append({" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {" ".join(w)})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    a, b = shingle_set(a, k), shingle_set(b, k)
+    return len(a & b) / len(a | b) if a or b else 1.0
 
 
 def nearest(rows, k, every):
     """(query, rank, id, score) for (id, vector) rows, by all products."""
-    fine = {i: v for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    fine = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    asked = {}
+    for i, v in fine:
+        if i % every == 0:
+            asked[i] = min(asked.get(i, v), v)
     out = []
-    for q, a in fine.items():
-        if q % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in fine.items() if i != q and len(a) == len(b))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for q, a in asked.items():
+        found = []
+        for i, b in fine:
+            if i != q and len(a) == len(b):
+                s = 0.0
+                for x, y in zip(a, b):
+                    s += x * y
+                found += [(-s, i)] if s == s else []
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:k])]
     return out
 
 
