@@ -12,9 +12,8 @@ Two bits catch exact copies and the lightest edits. For documents that share mos
 similarity of 0.8 and more) the fingerprint is wider: 640 bits, so that its distance tells the similarity. Its twenty
 32-bit blocks are covered each by the Hamming code on 31 bits in the same way, 16 anchors a block; a pair whose blocks
 come within two bits in any of the twenty and that is near as a whole is a candidate. The whole distance is taken at
-the anchor, so that what leaves an anchor is a forest of candidates that joins what all of its candidates would. The
-first block is met alone; at the anchors of the others a class only looks for those that it was not joined to by then.
-Candidates only gather
+the anchor, so that what leaves an anchor is a forest of candidates that joins what all of its candidates would. A pair
+of blocks so near has several anchors in common and is met at the least of them alone. Candidates only gather
 documents into groups; within a group the exact similarity of the shingle sets decides, every pair of it. A pair of
 similarity 0.8 is a candidate with a chance of about 0.92 by this arithmetic, one of 0.85 of 0.99.
 
@@ -188,8 +187,6 @@ def report(df: DataFrame) -> DataFrame:
 WIDE_SHINGLE, SIMILARITY, WORDS = 5, 0.8, 10
 #: Standard deviations of the measured distance that a candidate may lie beyond its similarity's.
 LEEWAY = 2.0
-#: Blocks of a wide fingerprint by round.
-ROUNDS = (range(1), range(1, 2 * WORDS))
 #: Classes, and shingles, of one part of a group; two parts are compared at a time.
 CELL, CELL_SHINGLES = 512, 1 << 20
 #: Classes of a group of several parts that meet all of its parts first, on average.
@@ -266,120 +263,136 @@ def _by_key(run, width: int, drop: int = 0):
     return over
 
 
-def _meeting(classes: DataFrame, blocks: range) -> DataFrame:
-    """(anchor, k): classes (k, w array, root) at each anchor where one of another root comes within two bits of their
-    block. A root of 0 is unlike all others."""
+def _all_anchors(words: np.ndarray) -> np.ndarray:
+    """The anchors of 31-bit words, sixteen a row; -1 where a word has fewer."""
+    anchor, index, _ = anchors(words, 31)
+    order = np.argsort(index, kind="stable")
+    anchor, index = anchor[order].astype(np.int64), index[order]
+    out = np.full((len(words), 16), -1, np.int64)
+    out[index, np.arange(len(index)) - np.searchsorted(index, index)] = anchor
+    return out
+
+
+def _least_common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The least anchor that each row of ``one`` and of ``two`` have in common."""
+    none = np.iinfo(np.int64).max
+    same = (one[:, :, None] == two[:, None, :]) & (one[:, :, None] >= 0)
+    return np.where(same.any(2), one, none).min(1, initial=none)
+
+
+def _meeting(classes: DataFrame) -> DataFrame:
+    """(anchor, k): classes (k, w array) at each anchor where another one comes within two bits of their block, and which
+    is the least that the two blocks have in common."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
                 w = b.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-                k, root = b.column(0).to_numpy(), b.column(2).to_numpy()
-                for block in blocks:
+                k = b.column(0).to_numpy()
+                for block in range(2 * WORDS):
                     word = (w[:, block // 2] >> np.uint64(32 * (block % 2))) & np.uint64(2**31 - 1)
                     anchor, index, flips = anchors(word, 31)
                     key = (anchor.astype(np.int64) | block << 31) << 10 | flips
-                    rows = [pa.array(key), pa.array(k[index]), pa.array(root[index])]
-                    yield pa.RecordBatch.from_arrays(rows, ["key", "k", "root"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(k[index])], ["key", "k"])
 
     bit = np.concatenate([[0], np.left_shift(1, np.arange(31))]).astype(np.uint64)
 
-    def met(key: np.ndarray, k: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    def met(key: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))  # the number of each row's (anchor, word)
-        at, flips = key[first] >> 10, key[first] & 1023
-        words = (at & (2**31 - 1)).astype(np.uint64) ^ bit[flips >> 5] ^ bit[flips & 31]
-        # of the words within two bits: the number of rows, the least and the greatest root
-        some = np.bincount(of)
-        low, high = np.minimum.reduceat(root, first), np.maximum.reduceat(root, first)
-        near = [some.copy(), low.copy(), high.copy()]
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        counts = np.diff(np.r_[starts, len(at)])
+        some = np.diff(np.r_[first, len(key)])  # rows of each (anchor, word)
+        block, flips = key[first] >> 10, key[first] & 1023
+        at = block & (2**31 - 1)
+        words = at.astype(np.uint64) ^ bit[flips >> 5] ^ bit[flips & 31]
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        counts = np.diff(np.r_[starts, len(block)])
+        asked = np.flatnonzero((some > 1) | np.repeat(counts > 1, counts))
+        of = np.full(len(words), -1)
+        of[asked] = np.arange(len(asked))
+        every = _all_anchors(words[asked])
+        active = np.zeros(len(words), bool)
+        equal = np.flatnonzero(some > 1)
+        active[equal] = np.where(every[of[equal]] < 0, at[equal, None], every[of[equal]]).min(1, initial=2**31) == at[equal]
+
+        def paired(i: np.ndarray, j: np.ndarray) -> None:
+            near = _bits(words[i] ^ words[j]) <= THRESHOLD
+            i, j = i[near], j[near]
+            for lo in range(0, len(i), 1 << 14):
+                a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+                here = _least_common(every[of[a]], every[of[b]]) == at[a]
+                active[a[here]] = active[b[here]] = True
+
         two = starts[counts == 2]
-        two = two[_bits(words[two] ^ words[two + 1]) <= THRESHOLD]
-        for to, x, best in zip(near, (some, low, high), (np.add, np.minimum, np.maximum), strict=True):
-            to[two] = to[two + 1] = best(x[two], x[two + 1])
+        paired(two, two + 1)
         for s, n in zip(starts[counts > 2], counts[counts > 2], strict=True):
             # an anchor's ball holds 497 words at most
-            part = slice(s, s + n)
-            close = _bits(words[part, None] ^ words[part]) <= THRESHOLD
-            near[0][part] = close @ some[part]
-            near[1][part] = np.where(close, low[part], np.iinfo(np.int64).max).min(1)
-            near[2][part] = np.where(close, high[part], -1).max(1)
-        left = (near[0][of] > 1) & ((root == 0) | (near[1][of] != root) | (near[2][of] != root))
+            i, j = np.triu_indices(n, 1)
+            paired(s + i, s + j)
+        left = np.repeat(active, some)
         return pa.RecordBatch.from_arrays([pa.array((key >> 10)[left]), pa.array(k[left])], ["anchor", "k"])
 
-    placed = classes.select("k", "w", "root").mapInArrow(spread, "key long, k long, root long")
+    placed = classes.select("k", "w").mapInArrow(spread, "key long, k long")
     placed = placed.repartition(F.shiftright("key", 10)).sortWithinPartitions("key")
-    return placed.mapInArrow(_by_key(met, 3, 10), "anchor long, k long")
+    return placed.mapInArrow(_by_key(met, 2, 10), "anchor long, k long")
 
 
-def _wide_forest(w: np.ndarray, root: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """As ``_forest``, over the whole of wide fingerprints; those that share a root, not 0, count as joined."""
+def _wide_forest(w: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """As ``_forest``, over the whole of wide fingerprints."""
     left, edges = np.arange(len(w)), []
     while len(left):
-        todo, tree, left = [left[0]], {int(root[left[0]])}, left[1:]
+        todo, left = [left[0]], left[1:]
         while todo and len(left):
             k = todo.pop()
             near = _bits(w[left] ^ w[k]).sum(1, dtype=np.int64) <= most
-            if root[k]:
-                near |= root[left] == root[k]
-            for j in left[near].tolist():
-                if not root[j] or int(root[j]) not in tree:
-                    edges.append((k, j))
-                tree.add(int(root[j]))
+            edges += [(k, j) for j in left[near]]
             todo += left[near].tolist()
             left = left[~near]
     return edges
 
 
-def wide_links(classes: DataFrame, most: int, blocks: range = range(2 * WORDS)) -> DataFrame:
-    """(a, b): edges between classes (k, w array, root), each at most ``most`` bits long, that join what all pairs so
-    near would that meet in one of ``blocks``; classes that share a root, not 0, count as joined. The whole fingerprint
-    goes to the anchors where a class meets another, and each anchor gives a spanning forest of its links; a forest over
-    the blocks alone would lose links behind a far centre."""
+def wide_links(classes: DataFrame, most: int) -> DataFrame:
+    """(a, b): edges between classes (k, w array), each at most ``most`` bits long, that join what all pairs so near would
+    that meet in a block. The whole fingerprint goes to the anchors where a class meets another, and each anchor gives a
+    spanning forest of its links; a forest over the blocks alone would lose links behind a far centre."""
 
-    def found(anchor: np.ndarray, k: np.ndarray, root: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    def found(anchor: np.ndarray, k: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         counts = np.diff(np.r_[starts, len(anchor)])
         two = starts[counts == 2]
         two = two[_bits(w[two] ^ w[two + 1]).sum(1, dtype=np.int64) <= most]
         edges = [np.stack([k[two], k[two + 1]])]
         for s, n in zip(starts[counts > 2], counts[counts > 2], strict=True):
-            if near := _wide_forest(w[s : s + n], root[s : s + n], most):
+            if near := _wide_forest(w[s : s + n], most):
                 edges.append(k[s:][np.array(near).T])
         both = np.unique(np.sort(np.concatenate(edges, axis=1), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     # At most 16 anchors a block and class, gathered so that its fingerprint is fetched once.
-    met = _meeting(classes, blocks).groupBy(F.col("k").alias("_k")).agg(F.collect_list("anchor").alias("_at"))
-    rows = classes.join(met, F.col("k") == F.col("_k")).select(F.explode("_at").alias("anchor"), "k", "root", "w")
+    met = _meeting(classes).groupBy(F.col("k").alias("_k")).agg(F.collect_list("anchor").alias("_at"))
+    rows = classes.join(met, F.col("k") == F.col("_k")).select(F.explode("_at").alias("anchor"), "k", "w")
     # In order of k, so that anchors that hold the same classes hang them on the same one.
     rows = rows.repartition("anchor").sortWithinPartitions("anchor", "k")
-    return rows.mapInArrow(_by_key(found, 4), "a long, b long").distinct()
+    return rows.mapInArrow(_by_key(found, 3), "a long, b long").distinct()
 
 
 def wide_groups(classes: DataFrame, most: int, rows: int | None = None) -> DataFrame:
-    """(node, root) of the classes (k, w array), about ``rows``, that candidates join. The second round of blocks knows
-    what the first has joined, so that a large group of near copies is not compared again at each of its anchors; and its
-    edges are taken between what the first has joined, so that its many come down to few."""
+    """(node, root) of the classes (k, w array), about ``rows``, that candidates join. Edges are first taken between what
+    each class's least neighbours lead to, which brings the many of a large group down to few."""
     rows = classes.count() if rows is None else rows
-    none = F.lit(0).cast("long").alias("root")
-    first = components(packed(wide_links(classes.select("k", "w", none), most, ROUNDS[0]), rows), rows)
-    known = first.select("node", F.col("root").alias("label"))
-    asked = packed(classes.join(known, F.col("k") == F.col("node"), "left"), rows)
-    asked = asked.select("k", "w", F.coalesce(F.col("label") + 1, none).alias("root"))
-    second = packed(checkpointed(wide_links(asked, most, ROUNDS[1])), rows)
+    edges = packed(checkpointed(wide_links(classes, most)), rows)
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label"))
+    least = packed(least, rows)
+    further = packed(both.join(least, F.col("b") == F.col("node")), rows).groupBy("a").agg(F.min("label").alias("label"))
+    known = packed(checkpointed(further.select(F.col("a").alias("node"), F.least("a", "label").alias("label"))), rows)
     at = lambda end: known.select(F.col("node").alias(f"_{end}"), F.col("label").alias(f"_l{end}"))
-    met = packed(second.join(at("a"), F.col("a") == F.col("_a"), "left").select(F.coalesce("_la", "a").alias("a"), "b"), rows)
-    met = met.join(at("b"), F.col("b") == F.col("_b"), "left").select("a", F.coalesce("_lb", "b").alias("b"))
+    met = packed(edges.join(at("a"), F.col("a") == F.col("_a")), rows).join(at("b"), F.col("b") == F.col("_b"))
+    # A label may be a node of its own, with another label: it is joined to it.
+    met = met.select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
+    met = met.unionByName(known.where("node <> label").join(known.select(F.col("label").alias("_l")).distinct(), F.col("node") == F.col("_l"), "left_semi").select(F.col("node").alias("a"), F.col("label").alias("b")))
     roots = components(packed(met, rows), rows).select(F.col("node").alias("_label"), "root")
-    # What the first round has joined follows its label; a label or class of its own that the second has joined is a node.
     told = packed(known.join(roots, F.col("label") == F.col("_label"), "left"), rows)
-    told = told.select("node", F.coalesce("root", "label").alias("root"))
-    new = roots.join(known, F.col("_label") == F.col("node"), "left_anti").select(F.col("_label").alias("node"), "root")
-    return checkpointed(told.unionByName(packed(new, rows)))
+    return checkpointed(told.select("node", F.coalesce("root", "label").alias("root")))
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:

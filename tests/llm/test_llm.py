@@ -655,7 +655,7 @@ def test_wide_links_behind_a_shared_block(spark):
 
 
 def test_an_unlike_head_hides_no_link(spark):
-    # the least class of a hot block is unlike all others; the second round finds what the first has not joined
+    # the least class of a hot block is unlike all others
     rng = np.random.default_rng(6)
     head, one = (rng.integers(0, 2**63, simhash.WORDS).astype(np.uint64) for _ in range(2))
     rest = rng.integers(0, 2**63, simhash.WORDS).astype(np.uint64)
@@ -725,6 +725,19 @@ def test_wide_distance_tells_similarity():
     assert int(np.bitwise_count(a ^ simhash.wide_fingerprint(" ".join(words[300:] + [f"q{i}" for i in range(300)]))).sum()) > simhash.most_bits(0.8)
 
 
+def test_the_least_common_anchor():
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 2**31, 300).astype(np.uint64)
+    words[:20] = simhash.anchors(words[:20], 31)[0][:20]  # some are anchors themselves
+    every = simhash._all_anchors(words)
+    flips = np.left_shift(np.uint64(1), rng.integers(0, 31, (2, 300)).astype(np.uint64))
+    other = words ^ flips[0] ^ flips[1]
+    got = simhash._least_common(every, simhash._all_anchors(other))
+    for w, o, row, least in zip(words, other, every.tolist(), got.tolist()):
+        mine, theirs = (set(simhash.anchors(np.array([x], np.uint64), 31)[0].tolist()) for x in (w, o))
+        assert {x for x in row if x >= 0} == mine and least == min(mine & theirs)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.integers(0, 63), st.integers(0, 63))
 def test_linked_fingerprints_meet(x, i, j):
