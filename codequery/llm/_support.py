@@ -30,7 +30,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def packed(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+def packed(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
     """``df``, which has about so many rows, in no more partitions than these fill: shuffles of a small table then write
     few files, whatever the number of partitions that it came in."""
     return df.coalesce(max(1, -(-rows // each)))
