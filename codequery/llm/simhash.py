@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequery.llm._support import checkpointed, packed
-from codequery.llm.components import components
+from codequery.llm.components import LABELLED, components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -191,8 +191,8 @@ LEEWAY = 2.0
 CELL, CELL_SHINGLES = 512, 1 << 20
 #: Classes of a group of several parts that meet all of its parts first, on average.
 LEADERS = 32
-#: Values of the filter of texts that may matter, the most rows that its broadcast can have.
-SLOTS = 1 << 20
+#: Values of the filter of texts that may matter, the bits of its broadcast; and those of one row of it.
+SLOTS, SLOT_BITS = 1 << 20, 1 << 15
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -390,7 +390,7 @@ def wide_groups(classes: DataFrame, most: int, rows: int | None = None) -> DataF
     # A label may be a node of its own, with another label: it is joined to it.
     met = met.select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
     met = met.unionByName(known.where("node <> label").join(known.select(F.col("label").alias("_l")).distinct(), F.col("node") == F.col("_l"), "left_semi").select(F.col("node").alias("a"), F.col("label").alias("b")))
-    roots = components(packed(met, rows), rows).select(F.col("node").alias("_label"), "root")
+    roots = components(packed(met, rows), rows, LABELLED).select(F.col("node").alias("_label"), "root")
     told = packed(known.join(roots, F.col("label") == F.col("_label"), "left"), rows)
     return checkpointed(told.select("node", F.coalesce("root", "label").alias("root")))
 
@@ -454,9 +454,13 @@ def _slot(t: str):
 
 def _within(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
     """Those of ``rows`` (t) whose hash has a slot that ``wanted`` (t) has too, or not (how: left_semi, left_anti). The
-    slots, which are SLOTS at most whatever the input, are broadcast; a filter that spares rows a shuffle, no more."""
-    slots = wanted.select(_slot("t").alias("_slot")).distinct()
-    return rows.join(F.broadcast(slots), _slot("t") == F.col("_slot"), how)
+    slots are broadcast as bits, 128 KB at most whatever the input; a filter that spares rows a shuffle, no more."""
+    part, place = F.floor(_slot("t") / SLOT_BITS), _slot("t") % SLOT_BITS
+    maps = wanted.select(part.alias("_part"), place.alias("_place")).distinct()
+    maps = maps.groupBy("_part").agg(F.bitmap_construct_agg("_place").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0
+    return rows.join(F.broadcast(maps), (part == F.col("_part")) & held, how)
 
 
 def exact_links(
@@ -503,7 +507,7 @@ def exact_links(
         return edges
 
     edges = packed(checkpointed(edges), few)
-    joined = components(edges, few).select("node", F.col("root").alias("_c"))
+    joined = components(edges, few, LABELLED).select("node", F.col("root").alias("_c"))
     large = large.join(joined, F.col("k") == F.col("node"), "left")
     large = checkpointed(packed(large.select("k", "root", "size", F.coalesce("_c", "k").alias("c")), few))
     clusters = large.groupBy("root", "c").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
@@ -557,7 +561,7 @@ def _clusters(rows: DataFrame, similarity: float, size: int) -> tuple[DataFrame,
     groups = wide_groups(classes.select("k", "w"), most_bits(similarity), n)
     members = packed(classes.join(groups, F.col("k") == F.col("node")), n).select("k", "root", "t", "size")
     pairs = exact_links(checkpointed(members), rows.select("t", "text"), similarity, size, rows=n)
-    return found, classes, components(packed(pairs, n), n), n
+    return found, classes, components(packed(pairs, n), n, LABELLED), n
 
 
 def near_clusters(df: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE) -> DataFrame:

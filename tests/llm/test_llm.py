@@ -20,7 +20,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codequery.llm.components import components
+from codequery.llm.components import LABELLED, components
 from codequery.llm import html_text, licenses, mixing, pii, pii_labels, pu, quality, queries, sentencepiece, simhash, vectors, warc
 from tests.llm import brute
 
@@ -667,6 +667,43 @@ def test_an_unlike_head_hides_no_link(spark):
     assert {tuple(r) for r in simhash.wide_groups(df, simhash.most_bits(0.8)).collect()} == {(10, 10), (11, 10)}
 
 
+def test_filter_of_texts_is_broadcast_as_bits(spark):
+    wanted = spark.range(0, 300_000, 2).select((F.col("id") * 5 - 70_000).alias("t"))
+    rows = spark.range(-30_000, 30_000).select(F.col("id").alias("t"))
+    slots = {(t * 5 - 70_000) % simhash.SLOTS for t in range(0, 300_000, 2)}
+    want = {t for t in range(-30_000, 30_000) if t % simhash.SLOTS in slots}
+    some = simhash._within(rows, wanted, "left_semi")
+    assert {r.t for r in some.collect()} == want
+    assert {r.t for r in simhash._within(rows, wanted, "left_anti").collect()} == set(range(-30_000, 30_000)) - want
+    assert simhash._within(rows, wanted.limit(0), "left_semi").count() == 0
+
+    def sent(plan):
+        if plan.nodeName() == "BroadcastExchange":
+            yield plan.metrics().apply("numOutputRows").value()
+        inner = plan.getClass().getSimpleName()
+        below = [plan.executedPlan()] if inner == "AdaptiveSparkPlanExec" else [plan.plan()] if inner.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        for p in below:
+            yield from sent(p)
+
+    sizes = list(sent(some._jdf.queryExecution().executedPlan()))
+    assert sizes and sum(sizes) <= simhash.SLOTS // simhash.SLOT_BITS
+
+
+def test_small_edge_tables_are_labelled_by_one_task(spark):
+    rng = random.Random(14)
+    edges = [(k, k + 1) for k in range(6)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(30)] + [(300, 300)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("labelled", "")
+    try:
+        got = sorted(tuple(r) for r in components(df, len(edges), LABELLED).collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("labelled"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted(tuple(r) for r in components(df, len(edges), 5).collect())
+    assert jobs <= 5
+    assert components(df.limit(0), 0, LABELLED).count() == 0
+
+
 def test_near_clusters_are_exact(spark):
     # 60 families share a passage, Jaccard 0.6 between them; each holds one copy of 0.95
     passage = [f"p{i}" for i in range(300)]
