@@ -667,6 +667,44 @@ def test_an_unlike_head_hides_no_link(spark):
     assert {tuple(r) for r in simhash.wide_groups(df, simhash.most_bits(0.8)).collect()} == {(10, 10), (11, 10)}
 
 
+def test_near_copies_meet_in_few_blocks(spark, monkeypatch):
+    # 300 near copies, a few bits from one another, and two strangers; and one that only the last block brings to them
+    rng = np.random.default_rng(12)
+    one, last, *strangers = (rng.integers(0, 2**63, simhash.WORDS).astype(np.uint64) for _ in range(4))
+    rows = []
+    for k in range(300):
+        w = one.copy()
+        for bit in rng.integers(0, 640, 12):
+            w[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        rows.append((k, words_of(w)))
+    far = np.frombuffer(one.tobytes(), np.uint64) ^ np.uint64(0b111 << 32 | 0b111)
+    far[9] = one[9] ^ np.uint64(0b111)  # its last block is the copies' own
+    rows += [(1000 + k, words_of(w)) for k, w in enumerate([far, *strangers, last])]
+    met, meeting = [], simhash._meeting
+
+    def counted(*args):
+        out = meeting(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_meeting", counted)
+    df = spark.createDataFrame(rows, "k long, w array<long>")
+    got = {tuple(r) for r in simhash.wide_groups(df, simhash.most_bits(0.8)).collect()}
+    assert got == {(k, 0) for k in [*range(300), 1000]}
+    assert sum(met) < 60 * len(rows)  # 202 a class where all of a group meet in all blocks
+
+
+def test_second_round_skips_what_is_joined(spark):
+    rng = np.random.default_rng(13)
+    one = rng.integers(0, 2**63, simhash.WORDS).astype(np.uint64)
+    df = [(k, words_of(one ^ np.uint64(k << 3)), 4 if k < 7 else k) for k in range(4, 8)]
+    df = spark.createDataFrame(df, "k long, w array<long>, label long")
+    every = range(2 * simhash.WORDS)
+    assert simhash._meeting(df.where("k < 7"), every).count() == 0
+    got = {(r.a, r.b) for r in simhash.wide_links(df, simhash.most_bits(0.8)).collect()}
+    assert {a for a, b in got if b == 7} and simhash._meeting(df.withColumn("label", df.k), every).count() > 0
+
+
 def test_filter_of_texts_is_broadcast_as_bits(spark):
     wanted = spark.range(0, 300_000, 2).select((F.col("id") * 5 - 70_000).alias("t"))
     rows = spark.range(-30_000, 30_000).select(F.col("id").alias("t"))
