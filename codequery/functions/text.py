@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ COLLECTION_TYPES = {
 }
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: what a lambda takes from outside is computed anew for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of a text."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))

@@ -131,9 +131,11 @@ def invalidated(state: DataFrame, scope: str) -> DataFrame:
 
 def hashing_embedder(text: Column, dims: int = 16) -> Column:
     """A deterministic stand-in for an embedding model: hashed word counts, unit length."""
-    from codequery.functions.text import tokens
+    from codequery.functions.text import bound, tokens
 
     slots = F.transform(tokens(text), lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+    count = lambda s, d: (F.size(s) - F.size(F.array_remove(s, F.lit(d).cast("long")))).cast("double")
+    counts = bound(slots, lambda s: F.array(*(count(s, d) for d in range(dims))))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    unit = lambda c, n: F.when(n > 0, F.transform(c, lambda x: x / n)).otherwise(c)
+    return bound(counts, lambda c: bound(norm(c), lambda n: unit(c, n)))
