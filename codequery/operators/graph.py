@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codequery.session import checkpointed
+from codequery.session import checkpointed, parts
 
 SUBTYPE = ("inherits", "implements_iface")
 
@@ -152,20 +152,21 @@ def linked(refs: DataFrame, methods: DataFrame) -> DataFrame:
         F.col("project").alias("to_project"), "fqn", F.col("name").alias("c_name"), "class", "package",
         F.col("arity").alias("c_arity"),
     )
-    # References that are alike in all that counts meet the candidates once; a name like get or toString has many callers.
+    # What is alike in all that counts meets once; a name like get or toString has many callers and many methods.
     kinds = ["project", "name", "receiver", "arity", "package_hint"]
     asked = refs.select(*kinds).distinct()
+    c = c.groupBy("to_project", "c_name", "class", "package", "c_arity").agg(F.min(F.struct(F.length("fqn").alias("length"), "fqn")).alias("c"))
     pairs = asked.join(c, (F.col("name") == F.col("c_name")) & (F.col("project") != F.col("to_project")))
     fits = F.coalesce(F.startswith("package", "package_hint"), F.lit(False))
-    key = [*kinds, "to_project"]
-    pairs = pairs.withColumn("_fits", fits).withColumn("_any", F.max("_fits").over(Window.partitionBy(*key)))
     points = F.when(F.col("class") == F.col("receiver"), 2).otherwise(0) + F.when((F.col("arity") > 0) & (F.col("arity") == F.col("c_arity")), 1).otherwise(0)
-    best = Window.partitionBy(*key).orderBy(F.desc("points"), F.length("fqn"), "fqn")
-    rows = pairs.where("_fits OR NOT _any").withColumn("points", points).withColumn("_k", F.row_number().over(best)).where("_k = 1")
-    rows = rows.select(*(F.col(k).alias(f"_{k}") for k in kinds), "to_project", "fqn", "points")
+    # One that fits is before any that does not, so the least of this order is the best: no task sorts a key's candidates.
+    best = F.min(F.struct((~fits).alias("misfit"), (-points).alias("loss"), "c.length", "c.fqn")).alias("best")
+    rows = pairs.groupBy(*kinds, "to_project").agg(best)
+    rows = rows.select(*(F.col(k).alias(f"_{k}") for k in kinds), "to_project", "best.fqn", (-F.col("best.loss")).alias("points"))
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in kinds))
     out = ["project", "caller", "name", "receiver", "arity", "to_project", "fqn", "points"]
-    return refs.join(rows, same).select(*out).distinct()
+    n = parts(refs.sparkSession, refs.count())
+    return refs.join(rows, same).select(*out).repartition(n, *out).distinct()
 
 
 def package_hint(imports, name):

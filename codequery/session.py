@@ -27,6 +27,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a partition where a table is dealt into as many as its size asks for.
+PART_ROWS = 250_000
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """In how many partitions so many rows go, so that a task's memory doesn't grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+
+
 def deleted(spark: SparkSession, folder: str) -> None:
     """Removes a folder that a run has made in the shared one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -14,6 +14,7 @@ from codequery.functions import text as X
 from codequery.operators import evaluation as E
 from codequery.operators import fusion as U
 from codequery.operators import graph as G
+from codequery.operators import index as K
 from codequery.operators import retrieval as R
 from codequery.operators import routing as Q
 from codequery.sources import builds, code, files
@@ -374,3 +375,20 @@ def test_code_index(spark, tmp_path):
     assert rows(i.path("shop.Cart#sum", "shop.Cart#report"), F.size("path")) == [(2,)]
     assert ("inherits",) in rows(i.usages("Base"), "kind")
     assert i.languages().count() > 3 and i.module_listing().count() == 4 and i.trace("shop.Cart#sum").count() > 2
+
+
+def test_embedder_reads_a_text_once(spark):
+    v = spark.createDataFrame([("a b a",), ("",)], "t string").select(K.hashing_embedder(F.col("t"), 4).alias("v"))
+    assert v._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
+    one, none = (r.v for r in v.collect())
+    assert sum(x * x for x in one) == pytest.approx(1) and none == [0.0] * 4
+
+
+def test_alike_candidates_meet_once(spark):
+    refs = spark.createDataFrame([("P", f"c{i}", "get", "A" if i % 2 else None, 1, "p") for i in range(40)], "project string, caller string, name string, receiver string, arity long, package_hint string")
+    names = [("L", f"{p}.f{i:02}", "get", k, p, a) for i in range(50) for p in ("p", "q") for k in ("A", "B") for a in (1, 2)] + [("L", "q.f", "get", "A", "q", 1)]
+    methods = spark.createDataFrame(names, "project string, fqn string, name string, class string, package string, arity long")
+    found = G.linked(refs, methods)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Window" not in plan and plan.index("Join") < plan.rindex("min(struct(length")
+    assert rows(found, "caller", "fqn", "points") == sorted((f"c{i}", "p.f00", 3 if i % 2 else 1) for i in range(40))
