@@ -17,21 +17,27 @@ from codequery.session import checkpointed, parts
 SUBTYPE = ("inherits", "implements_iface")
 
 
-def directed(edges: DataFrame, direction: str) -> DataFrame:
-    """(a, b): steps from a to b along calls (callees), against them (callers), or both."""
+def steps_of(edges: DataFrame, direction: str) -> DataFrame:
+    """(a, b): steps from a to b along calls (callees), against them (callers), or both; repeats stay."""
     out = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     back = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return {"callees": out, "callers": back, "both": out.unionByName(back)}[direction].distinct()
+    return {"callees": out, "callers": back, "both": out.unionByName(back)}[direction]
+
+
+def directed(edges: DataFrame, direction: str) -> DataFrame:
+    """The steps (a, b), once each."""
+    return steps_of(edges, direction).distinct()
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
     """(node, other): direct neighbours of each of ``nodes`` (node)."""
-    return directed(edges, direction).join(nodes.select(F.col("node").alias("a")).distinct(), "a").select(F.col("a").alias("node"), F.col("b").alias("other"))
+    # repeats go after the join, from the few rows that are left
+    return steps_of(edges, direction).join(nodes.select(F.col("node").alias("a")).distinct(), "a").select(F.col("a").alias("node"), F.col("b").alias("other")).distinct()
 
 
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, direction: str = "callees") -> DataFrame:
     """(root, node, depth): least depths from each of ``roots`` (root), the root itself at 0; to the end if max_depth is None."""
-    steps = checkpointed(directed(edges, direction))
+    steps = checkpointed(steps_of(edges, direction))  # each hop drops repeats from what it reaches, so no task holds all steps
     front = checkpointed(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     hops = Hops(front)
     depth = 0

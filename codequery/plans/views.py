@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codequery.functions.text import TOKEN
+from codequery.session import parts
 
 PATHS = ("src/main/java/a/B.java", "src/test/java/a/BTest.java", "x/benchmark/Run.java", "x/jmh/Run.java", "docs/readme.md", "x/.github/ci.java", "lib/test/T.java", "notes.txt", "src/main/py/m.py")
 KINDS = ("class", "method", "chunk", "doc")
@@ -65,8 +66,10 @@ def vector_queries(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (0,
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): parts that follow each other in an order."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
-    return rows.where("dst IS NOT NULL AND src <> dst").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    n = parts(spark, lines.count())
+    rows = lines.repartition(n, "l_orderkey").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    return rows.where("dst IS NOT NULL AND src <> dst").repartition(n, "src", "dst").distinct()
 
 
 EDGES = """edges AS (

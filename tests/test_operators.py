@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from codequery import session
 from codequery.functions import chunking as N
 from codequery.functions import text as X
 from codequery.operators import evaluation as E
@@ -17,6 +18,7 @@ from codequery.operators import graph as G
 from codequery.operators import index as K
 from codequery.operators import retrieval as R
 from codequery.operators import routing as Q
+from codequery.plans.views import part_edges
 from codequery.sources import builds, code, files
 
 DIR = "/root/testdata/sf0.001"
@@ -392,3 +394,18 @@ def test_alike_candidates_meet_once(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "Window" not in plan and plan.index("Join") < plan.rindex("min(struct(length")
     assert rows(found, "caller", "fqn", "points") == sorted((f"c{i}", "p.f00", 3 if i % 2 else 1) for i in range(40))
+
+
+def test_edges_of_lines_in_parts_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 100)
+    n = -(-spark.read.parquet(f"{DIR}/lineitem.parquet").count() // 100)
+    plan = part_edges(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {n}), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_direct_neighbours_once(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (3, 1)], "src long, dst long")
+    found = G.neighbours(edges, spark.createDataFrame([(1,), (1,)], "node long"), "both")
+    assert rows(found, "node", "other") == [(1, 2), (1, 3)]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert re.search("Dedup|Distinct|Aggregate", plan).start() < plan.index("Join")
