@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from codequery.functions.text import first_word
 
 BUDGET, RESERVE, SINGLE_RESERVE, OVERLAP_CHARS = 8000, 400, 10, 200
 MARK = "// ..."
+#: Characters of chunks that a worker gathers before it hands them on.
+OUT_CHARS = 4_000_000
 CHUNK = "id long, chunk int, start_line int, end_line int, text string"
 
 
@@ -51,22 +53,40 @@ def split_text(text: str, budget: int = BUDGET, overlap: int = OVERLAP_CHARS) ->
 def chunked(docs: DataFrame, prefix: str | None = None, tail: bool = False, budget: int = BUDGET) -> DataFrame:
     """Line chunks of (id, body[, prefix])."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cut = lambda row: [(k, *c) for k, c in enumerate(pack_lines(row["body"] or "", row["prefix"] or "", tail, budget))]
+    return _each(docs.select("id", "body", F.col(prefix).alias("prefix") if prefix else F.lit("").alias("prefix")), cut, CHUNK)
+
+
+def _each(docs: DataFrame, cut: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``cut`` makes of each document, its id before them and their text last. Documents are taken one by one
+    and what they give leaves every ``OUT_CHARS``, so that a worker holds no second copy of a batch."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]]) for n, c in zip(names, schema.split(", "), strict=True)])
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k, a, e, t) for i, body, p in zip(b.id, b.body, b.prefix, strict=True) for k, (a, e, t) in enumerate(pack_lines(body or "", p or "", tail, budget))]
-            yield pd.DataFrame(rows, columns=["id", "chunk", "start_line", "end_line", "text"])
+            rows, held = [], 0
+            for at in range(b.num_rows):
+                row = {n: b.column(k)[at].as_py() for k, n in enumerate(b.schema.names)}
+                for r in cut(row):
+                    rows.append((row["id"], *r))
+                    held += len(r[-1]) + 100
+                    if held >= OUT_CHARS:
+                        yield out(rows)
+                        rows, held = [], 0
+            if rows:
+                yield out(rows)
 
-    return docs.select("id", "body", F.col(prefix).alias("prefix") if prefix else F.lit("").alias("prefix")).mapInPandas(run, CHUNK)
+    return docs.mapInArrow(run, schema)
 
 
 def text_chunks(docs: DataFrame, budget: int = BUDGET, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """Character chunks of (id, body)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(i, k, t) for i, body in zip(b.id, b.body, strict=True) for k, t in enumerate(split_text(body or "", budget, overlap))], columns=["id", "chunk", "text"])
-
-    return docs.select("id", "body").mapInPandas(run, "id long, chunk int, text string")
+    return _each(docs.select("id", "body"), lambda row: list(enumerate(split_text(row["body"] or "", budget, overlap))), "id long, chunk int, text string")
 
 
 def class_groups(members: DataFrame) -> DataFrame:

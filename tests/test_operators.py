@@ -409,3 +409,27 @@ def test_direct_neighbours_once(spark):
     assert rows(found, "node", "other") == [(1, 2), (1, 3)]
     plan = found._jdf.queryExecution().analyzed().toString()
     assert re.search("Dedup|Distinct|Aggregate", plan).start() < plan.index("Join")
+
+
+def test_chunks_leave_a_worker_as_they_come(spark, monkeypatch):
+    monkeypatch.setattr(N, "OUT_CHARS", 1000)
+    made, real = [], N.pa.RecordBatch
+
+    class Batch(real):
+        @classmethod
+        def from_arrays(cls, *a, **k):
+            made.append(real.from_arrays(*a, **k))
+            return made[-1]
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            body = ["x" * 40 + "\n" + "y" * 4000] * 5
+            return list(run(iter([real.from_arrays([N.pa.array(range(5)), N.pa.array(body)], ["id", "body"])])))
+
+    monkeypatch.setattr(N.pa, "RecordBatch", Batch)
+    out = N.text_chunks(Frame(), 500)
+    assert len(out) > 5 and max(sum(map(len, b.column(2).to_pylist())) for b in out) < 2000
+    assert [t for b in out for t in b.column(2).to_pylist()] == 5 * N.split_text("x" * 40 + "\n" + "y" * 4000, 500)
