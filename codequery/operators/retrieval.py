@@ -49,6 +49,24 @@ def postings(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return rows.select("field", "term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions", "len")
 
 
+def with_places(tokens: str) -> Column:
+    return F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+
+
+def by_term(each: Column) -> Column:
+    """(term, positions) of each term of an array of (term, pos): sorted once and cut where the term changes, within the
+    row and without comparing each term with all words."""
+
+    def cut(s: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"])
+        run = lambda at, i, k: F.slice(s, i + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - i).getField("pos")
+        runs = lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i)["term"].alias("term"), run(at, i, k).alias("positions")))
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        return X.bound(F.filter(places, new), runs)
+
+    return X.bound(F.sort_array(each), cut)
+
+
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -99,13 +117,10 @@ def batch_terms(*tables: DataFrame) -> list[str]:
 def scanned(tokens: DataFrame, terms: list[str]) -> Matches:
     """Matches by one pass over ``tokens`` (doc_id, field, tokens, len): of each row the tokens that are among the terms,
     gathered in the row; row-local. The statistics come from the same pass."""
-    each = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    hits = F.filter(each, lambda x: x["term"].isin(terms)) if terms else F.array().cast("array<struct<term:string,pos:int>>")
-    rows = checkpointed(tokens.select("doc_id", "field", "len", hits.alias("hits")))
+    hits = F.filter(with_places("tokens"), lambda x: x["term"].isin(terms)) if terms else F.array().cast("array<struct<term:string,pos:int>>")
+    rows = checkpointed(tokens.select("doc_id", "field", "len", by_term(hits).alias("m")))
     stats = rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    at = lambda t: F.transform(F.filter("hits", lambda x: x["term"] == t), lambda x: x["pos"])
-    names = F.array_distinct(F.transform("hits", lambda x: x["term"]))
-    rows = rows.where(F.size("hits") > 0).select("doc_id", "field", "len", F.explode(F.transform(names, lambda t: F.struct(t.alias("term"), at(t).alias("positions")))).alias("m"))
+    rows = rows.select("doc_id", "field", "len", F.explode("m").alias("m"))
     return Matches(rows.select("doc_id", "field", "len", "m.term", F.size("m.positions").cast("long").alias("tf"), "m.positions"), checkpointed(stats))
 
 

@@ -433,3 +433,12 @@ def test_chunks_leave_a_worker_as_they_come(spark, monkeypatch):
     out = N.text_chunks(Frame(), 500)
     assert len(out) > 5 and max(sum(map(len, b.column(2).to_pylist())) for b in out) < 2000
     assert [t for b in out for t in b.column(2).to_pylist()] == 5 * N.split_text("x" * 40 + "\n" + "y" * 4000, 500)
+
+
+def test_matches_are_gathered_in_one_pass_over_a_row(spark):
+    d = spark.createDataFrame([(1, "b a b c a b"), (2, "c"), (3, None)], "doc_id long, body string")
+    found = R.scanned(R.field_tokens(d, ("body",)), ["a", "b"])
+    assert rows(found.rows, "doc_id", "term", "tf", "positions", "len") == [(1, "a", 2, [1, 4], 6), (1, "b", 3, [0, 2, 5], 6)]
+    assert rows(found.stats, "n_docs") == [(2,)]
+    assert rows(d.select(F.size(R.by_term(R.with_places(X.tokens(F.col("body"))))).alias("n")), "n") == [(0,), (1,), (3,)]
+    assert R.scanned(R.field_tokens(d, ("body",)), []).rows.count() == 0
