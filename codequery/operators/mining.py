@@ -10,6 +10,8 @@ from codequery.functions import text as X
 from codequery.session import checkpointed
 
 STAT_WEIGHT, POSITION_WEIGHT, WINDOW, TOP = 0.4, 0.6, 5, 10
+#: Up to so many ranked documents, or names, go to every task.
+BROADCAST_ROWS = 100_000
 #: Stop words of characteristic terms.
 STOP_WORDS = [
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on",
@@ -36,13 +38,17 @@ def background(terms: DataFrame) -> DataFrame:
 
 def characteristic(docs: DataFrame, ranked: DataFrame, fields: tuple[str, ...], top: int = TOP, window: int = WINDOW) -> DataFrame:
     """Of each query's ranked documents the terms that set them apart: frequency against all documents, and early ranks."""
-    every = checkpointed(terms_of(docs, fields))  # the texts are read once; what it keeps is an inverted table's keys
+    every = terms_of(docs, fields)
+    ranked = checkpointed(ranked)
+    # The terms of a few ranked documents are cut from their texts alone; of many, the keys of all are joined.
+    few = ranked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    own = terms_of(docs.join(F.broadcast(ranked.select("doc_id").distinct()), "doc_id", "left_semi"), fields) if few else every
     n_docs = docs.count()
     ahead = ranked.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    hits = every.join(ahead.select("query_id", "doc_id", "rank", "n"), "doc_id").select("query_id", "doc_id", "term", "rank", "n").distinct()
+    hits = own.join(ahead.select("query_id", "doc_id", "rank", "n"), "doc_id").select("query_id", "doc_id", "term", "rank", "n").distinct()
     early = F.when(F.col("rank") <= window, 1 / F.sqrt(F.col("rank").cast("double"))).otherwise(0.0)
     front = hits.groupBy("query_id", "term").agg(F.count("*").alias("fg"), F.max("n").alias("n"), F.sum(early).alias("pos"))
-    wanted = background(every.join(front.select("term").distinct(), "term", "left_semi"))
+    wanted = background(every)  # counted before it meets the terms, so that no row of a text is shuffled
     stat = F.greatest(F.lit(0.0), F.log((F.col("fg") / F.col("n")) / (F.greatest(F.col("df"), F.lit(1)) / F.lit(float(n_docs)))))
     out = front.join(wanted, "term").withColumn("stat", stat)
     w = Window.partitionBy("query_id")

@@ -16,6 +16,7 @@ from codequery.operators import evaluation as E
 from codequery.operators import fusion as U
 from codequery.operators import graph as G
 from codequery.operators import index as K
+from codequery.operators import mining as M
 from codequery.operators import retrieval as R
 from codequery.operators import routing as Q
 from codequery.plans.views import part_edges
@@ -435,6 +436,15 @@ def test_chunks_leave_a_worker_as_they_come(spark, monkeypatch):
     assert [t for b in out for t in b.column(2).to_pylist()] == 5 * N.split_text("x" * 40 + "\n" + "y" * 4000, 500)
 
 
+def test_terms_of_a_few_ranked_documents_and_of_many(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma{i % 2} delta") for i in range(12)], "doc_id long, body string")
+    r = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 5)], "query_id int, rank int, doc_id long")
+    few = M.characteristic(d, r, ("body",))
+    assert "posexplode" not in few._jdf.queryExecution().analyzed().toString() and "LeftSemi" in few._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 1)
+    assert rows(few, *few.columns) == rows(M.characteristic(d, r, ("body",)), *few.columns)
+
+
 def test_matches_are_gathered_in_one_pass_over_a_row(spark):
     d = spark.createDataFrame([(1, "b a b c a b"), (2, "c"), (3, None)], "doc_id long, body string")
     found = R.scanned(R.field_tokens(d, ("body",)), ["a", "b"])
