@@ -136,15 +136,31 @@ def package_paths(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(F.transform(parts, F.lower)).alias("lhs"), F.col("class").alias("rhs")).distinct()
 
 
+def places(words: Column) -> Column:
+    """The places of an array, from 0; none of an empty one."""
+    return F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def context_windows(docs: DataFrame, names: DataFrame, text: str, width: int = 5, least: int = 2, top: int = 15) -> DataFrame:
     """(lhs, rhs, n): of the terms within ``width`` words of a class's name, or of a word of it, those seen ``least``
     times, the ``top`` of each class. ``docs`` (doc_id, text), ``names`` (token, class)."""
     stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    words = docs.select("doc_id", F.posexplode(X.tokens(F.col(text))).alias("pos", "token"))
-    hits = words.join(names.groupBy("token").agg(F.min("class").alias("class")), "token")
-    steps = F.array(*(F.lit(k) for k in range(-width, width + 1) if k))
-    near = hits.select("doc_id", "class", F.explode(F.transform(steps, lambda k: F.col("pos") + k)).alias("pos"))
-    near = near.join(words, ["doc_id", "pos"]).select(X.normal_term(F.col("token"), stop).alias("lhs"), F.col("class").alias("rhs"))
+    names = checkpointed(names.groupBy("token").agg(F.min("class").alias("class")))
+    wanted = [r.token for r in names.select("token").limit(BROADCAST_ROWS + 1).collect()]
+    if len(wanted) <= BROADCAST_ROWS:
+        # few names: their windows are cut within the row
+        at = lambda t: F.filter(places(t), lambda i: F.get(t, i).isin(wanted))
+        before = lambda i: F.least(i, F.lit(width))
+        around = lambda t, i: F.concat(F.slice(t, i - before(i) + 1, before(i)), F.slice(t, i + 2, F.lit(width)))
+        windows = X.bound(X.tokens(F.col(text)), lambda t: F.transform(at(t), lambda i: F.struct(F.get(t, i).alias("token"), around(t, i).alias("near"))))
+        near = docs.select(F.explode(windows).alias("w")).select("w.token", "w.near").join(F.broadcast(names), "token")
+        near = near.select("class", F.explode("near").alias("token"))
+    else:
+        words = docs.select("doc_id", F.posexplode(X.tokens(F.col(text))).alias("pos", "token"))
+        steps = F.array(*(F.lit(k) for k in range(-width, width + 1) if k))
+        near = words.join(names, "token").select("doc_id", "class", F.explode(F.transform(steps, lambda k: F.col("pos") + k)).alias("pos"))
+        near = near.join(words, ["doc_id", "pos"])
+    near = near.select(X.normal_term(F.col("token"), stop).alias("lhs"), F.col("class").alias("rhs"))
     found = near.where("lhs IS NOT NULL").groupBy("lhs", "rhs").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy("rhs").orderBy(F.desc("n"), "lhs"))
     return found.withColumn("_k", rank).where(F.col("_k") <= top).drop("_k")

@@ -445,6 +445,16 @@ def test_terms_of_a_few_ranked_documents_and_of_many(spark, monkeypatch):
     assert rows(few, *few.columns) == rows(M.characteristic(d, r, ("body",)), *few.columns)
 
 
+def test_windows_are_cut_within_the_row(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "red license uno due license"), (2, None), (3, "license"), (4, "red red license uno")], "doc_id long, body string")
+    n = spark.createDataFrame([("license", "L"), ("license", "K"), ("none", "N")], "token string, class string")
+    few = M.context_windows(d, n, "body", width=2, least=1)
+    assert "posexplode" not in few._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 1)
+    many = M.context_windows(d, n, "body", width=2, least=1)
+    assert rows(few, "lhs", "rhs", "n") == rows(many, "lhs", "rhs", "n") == [("due", "K", 2), ("red", "K", 3), ("uno", "K", 3)]
+
+
 def test_matches_are_gathered_in_one_pass_over_a_row(spark):
     d = spark.createDataFrame([(1, "b a b c a b"), (2, "c"), (3, None)], "doc_id long, body string")
     found = R.scanned(R.field_tokens(d, ("body",)), ["a", "b"])
